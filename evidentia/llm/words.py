@@ -76,14 +76,13 @@ class Words:
         h = self.hashes() if hashes is None else hashes
         if len(h) < k:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        out, have, width, block, r = None, 0, 1, h, WINDOW_R
+        out, have, width, block = None, 0, 1, h
         while width <= k:  # a window of k words out of blocks of 1, 2, 4, ... words
             if k & width:
                 out = block if out is None else block[: len(h) - have - width + 1] * _power(have) + out[width:][: len(h) - have - width + 1]
                 have += width
             if 2 * width <= k:
-                block = block[:-width] * r + block[width:]
-                r = r * r
+                block = block[:-width] * _power(width) + block[width:]
             width *= 2
         last = np.repeat(self.first[1:], self.n) - np.arange(len(h))
         at = np.flatnonzero(last >= k)
