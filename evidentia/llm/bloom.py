@@ -8,6 +8,7 @@ Beyond the capacity more single keys pass the test; results stay exact, as passi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,11 @@ def test(packed: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
 
 
+def id_words(ids: np.ndarray) -> np.ndarray:
+    """The digest words under which ``members`` holds ids."""
+    return np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in ids.tolist()), "<u8").reshape(-1, 4)
+
+
 def members(keys: DataFrame, column: str, n: int) -> tuple[Broadcast, int]:
     """A plain filter (positions counted once and more) of 64-bit ids."""
     doubled = keys.select(F.unhex(F.sha2(F.col(column).cast("string"), 256)).alias("key"))

@@ -21,13 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .store import cut
+from .store import cut, join_groups
 from .words import as_bytes
 
-#: A group with at least 1 / HOT_SHARE of the rows is joined by broadcast; there are at most HOT_SHARE of them.
-HOT_SHARE = 1000
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, rid, sha) per row: the SHA-256 of the normalised text and a number of the row's own."""
 
@@ -56,10 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = rows.mapInArrow(flag, "id long, rid long, sha binary, maybe boolean")
     maybe = tested.filter("maybe").drop("maybe")
     groups = maybe.groupBy("sha").agg(F.max(F.struct("id", "rid")).alias("last"), F.count("*").alias("group_size"))
-    hot_rows = max(2, n // HOT_SHARE)
-    hot = F.broadcast(groups.filter(F.col("group_size") >= hot_rows))
-    cold = groups.filter(F.col("group_size") < hot_rows)
-    grouped = maybe.join(hot, "sha").unionByName(maybe.join(hot.select("sha"), "sha", "left_anti").join(cold, "sha"))
+    grouped = join_groups(maybe, groups, "sha", "group_size", n)
     out = grouped.select("id", F.col("last.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("last.rid")).alias("kept"), "sha")
     single = tested.filter("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return single.unionByName(out).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

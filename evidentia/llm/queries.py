@@ -27,9 +27,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
 
 ORACLES = {
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_AZ}, '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+c AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.y AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS y FROM c GROUP BY x) m ON m.x = d.doc_id""",
     "op1_substring_dedup": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),

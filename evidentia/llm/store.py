@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
@@ -22,3 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A group with at least 1 / HOT_SHARE of the rows is joined by broadcast; there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with one row a group, where ``size`` counts a group's rows and one group may hold most of all ``total``."""
+    hot_rows = max(2, total // HOT_SHARE)
+    hot = F.broadcast(groups.filter(F.col(size) >= hot_rows))
+    cold = groups.filter(F.col(size) < hot_rows)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
