@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -33,7 +35,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import read_token_ids, write_token_ids
+
+    folder = scratch(spark, "token-ids")
+    write_token_ids(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), 0)
+    return read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op3_token_ids": op3_token_ids,
     "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
 
 ORACLES = {
