@@ -49,7 +49,15 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op5_packing": op5_packing,
     "op3_token_ids": op3_token_ids,
     "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
 
