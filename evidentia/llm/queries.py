@@ -56,7 +56,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
     "op5_packing": op5_packing,
     "op3_token_ids": op3_token_ids,
     "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
