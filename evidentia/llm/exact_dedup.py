@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .dropping import flag_ids
 from .store import cut, join_groups
 from .words import as_bytes
 
@@ -66,18 +67,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = cut(exact_dedup(docs.select(id_col, text_col), id_col, text_col).filter("group_size > 1").select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "kept"))
     ids = found.groupBy("__id").agg(F.max("kept").alias("kept"))
-    filter_, bits = bloom.members(ids, "__id", found.count())
-
-    @F.pandas_udf("boolean")
-    def maybe(s):
-        import pandas as pd
-
-        if not len(s):
-            return pd.Series([], dtype=bool)
-        keys = bloom.words_of(pa.array([hashlib.sha256(x.encode()).digest() for x in s], pa.binary()))
-        return pd.Series(bloom.test(filter_.value, bits, keys))
-
-    flagged = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__maybe", maybe("__id"))
+    flagged = flag_ids(docs, id_col, ids, found.count())
     straight = flagged.filter("not __maybe").drop("__maybe", "__id")
     kept = flagged.filter("__maybe").drop("__maybe").join(ids, "__id", "left").filter("coalesce(kept, true)")
     # rows with one id and one text were one document twice: one of them stays
