@@ -83,7 +83,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal_quality import ordinal_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op9_chat_format": op9_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op5_packing": op5_packing,

@@ -23,7 +23,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text worked on at once: numpy needs about 60 times as much memory for a moment.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
 
@@ -62,14 +62,20 @@ class Words:
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.begin)
         self.n = np.diff(self.first)
+        self._sums = None
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
+        return self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any spans of bytes, none of them empty."""
+        if not len(start):
             return np.zeros(0, U64)
         up, down = _power_tables(len(self.buf) + 1)
-        sums = np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], dtype=U64)
-        before = np.where(self.start > 0, sums[self.start - 1], U64(0))
-        return mix((sums[self.end - 1] - before) * down[self.start] + (self.end - self.start).astype(U64))
+        if self._sums is None:
+            self._sums = np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], dtype=U64)
+        before = np.where(start > 0, self._sums[start - 1], U64(0))
+        return mix((self._sums[end - 1] - before) * down[start] + (end - start).astype(U64))
 
     def windows(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all windows of k words inside one text: (index of the first word, hash)."""
@@ -99,11 +105,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[slice]:
-    """Runs of rows of about ``most`` bytes; a longer row is a run of its own."""
+def slices(sizes: list[int], most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[slice]:
+    """Runs of at most ``rows`` rows of about ``most`` bytes; a longer row is a run of its own."""
     begin = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > most:
+        if total and total + size > most or i - begin == rows:
             yield slice(begin, i)
             begin, total = i, 0
         total += size
