@@ -1,17 +1,19 @@
 """N-gram Jaccard self-join with set-relation skipping: connected components at a similarity of 0.75.
 
 A document's set is its distinct 5-word shingles. Equal sets form a class, so copies are never compared.
-The join is exact prefix filtering: in one global order of shingles (rare ones first, those found frequent
-by lossy counting last) two sets that link share a shingle among the first |x| - ceil(0.75 |x|) + 1 of each.
+The join is exact prefix filtering: in one global order of shingles (rare ones first, by grades of their
+counts in a sketch of bounded size; the order bears on the work alone) two sets that link share a shingle among the first |x| - ceil(0.75 |x|) + 1 of each.
 
 Set relations skip work at two levels. Index level: a shingle's list is sorted by set size, and a position
 in the list bounds the overlap still possible, so blocks of partners that are too small, too large or too
-late are skipped. Answer level: in a long list every set is compared with one leader only; a set verified
-as similar to the leader takes over the leader's answer (its component), and only sets whose components
-still differ are compared, with blocks of one component skipped. Overlaps are computed exactly.
+late are skipped. Answer level: sets that share long lists form a group, which meets in one place (or in
+blocks of it of bounded size). There the most central sets are compared with all others; a set found similar
+to one takes over its answer and is not looked up itself, and at last only the sets outside the largest
+component are. No pair of a group is ever a row. Pairs from short lists are compared one by one, first on 16
+bits a shingle, which never counts too little, then exactly; pairs inside a group are answered already.
 
 Defined results: A-Z are lower-cased; a text of 1 to 4 words is one shingle; null and empty texts have an
-empty set and link with nothing, so they are their own component. A null id is never smaller than another.
+empty set and link with nothing, so they are their own component. A null id counts as larger than any other.
 Rows of the same id are one document for the component. Other columns are not read.
 """
 
@@ -20,7 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +35,25 @@ from .store import cut, join_groups
 from .words import WINDOW_R, Words, as_bytes, mix, slices
 
 SHINGLE = 5
-#: Lists of up to so many sets are compared pair by pair, longer ones through their leader.
+#: The sets of longer lists form groups; those of lists up to so long are compared pair by pair.
 SHORT_LIST = 16
-#: A shingle in more than 1 / HOT of the documents comes last in the order; at most HOT_MOST do.
-HOT = 2000
-HOT_MOST = 1 << 20
+#: Bytes of sets in a block of a group; a task has two blocks at most.
+GROUP_BYTES = 12 << 20
+#: Shingles counted by one cell of the sketch on average, and cells at most (a byte each is broadcast).
+CELL_LOAD, MOST_CELLS, SEGMENT = 8, 1 << 27, 1 << 18
 COUNT_AT_ONCE = 4 << 20
 BUCKET_BYTES = 12 << 20
 SATURATED = 0xFFFF
+#: Stands for a null id.
+NO_ID = 2**63 - 1
+TOKEN_BITS = np.uint64(52)
+#: Grades of frequency by which shingles are ordered, the rare ones first.
+GRADES = 8
 POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("size", "<u2"), ("at", "<u2")])
 
 
 def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash) sorted and distinct, and the size of each document's set."""
+    """(document, shingle hash of 52 bits) sorted and distinct, and the size of each document's set."""
     w = Words(texts, lower=True)
     h = w.hashes()
     at, s = w.windows(SHINGLE, h)
@@ -58,11 +69,10 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.
         doc, s = np.r_[doc[at], few], np.r_[s, mix(np.array(own, np.uint64))]
     else:
         doc = doc[at]
-    by = np.lexsort((s, doc))
-    doc, s = doc[by], s[by]
-    new = np.ones(len(s), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
-    doc, s = doc[new], s[new]
+    key = doc.astype(np.uint64) << TOKEN_BITS | s >> (np.uint64(64) - TOKEN_BITS)  # texts come by 4,096 at most
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    doc, s = (key >> TOKEN_BITS).astype(np.int64), key & ((np.uint64(1) << TOKEN_BITS) - np.uint64(1))
     return doc, s, np.bincount(doc, minlength=len(texts))
 
 
@@ -74,40 +84,50 @@ def _classes(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total + n.astype(np.uint64)).view(np.int64)
 
 
-def _scan(min_share: int):
-    """Rows of kind 0: a document, its set's size and class; of kind 1: a shingle and its count in one lot of documents."""
-    names, types = ["kind", "id", "n", "cls"], (pa.int8(), pa.int64(), pa.int64(), pa.int64())
-
-    def frequent(lots: list[np.ndarray], docs: int) -> pa.RecordBatch:
-        token, times = np.unique(np.concatenate(lots), return_counts=True)
-        often = times >= max(2, docs // (2 * min_share))
-        token, times = token[often], times[often]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token)), t) if i == 0 else pa.array(x, t) for i, (t, x) in enumerate(zip(types, (None, np.zeros(len(token), np.int64), times, token.view(np.int64))))], names)
+def _scan(cells: int):
+    """Rows of kind 0: a document, its set's size and class; of kind 1: a segment of one task's sketch."""
+    names, types = ["kind", "id", "n", "cls", "counts"], (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots, held, docs = [], 0, 0
+        counts, lots, held = np.zeros(cells, np.uint16), [], 0
+
+        def add() -> None:
+            at, times = np.unique(np.concatenate(lots), return_counts=True)
+            counts[at] = np.minimum(counts[at] + times, 0xFFFF)
+
         for b in batches:
             texts = as_bytes(b.column(1))
             for part in slices([len(t or b"") for t in texts]):
                 doc, s, n = shingle_sets(texts[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n)), types[0]), b.column(0)[part.start : part.stop], pa.array(n, types[2]), pa.array(_classes(doc, s, n), types[3])], names)
-                lots.append(s)
-                held, docs = held + len(s), docs + len(n)
+                rows = len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows), types[0]), b.column(0)[part], pa.array(n, types[2]), pa.array(_classes(doc, s, n), types[3]), pa.nulls(rows, types[4])], names)
+                lots.append((s & np.uint64(cells - 1)).astype(np.uint32))
+                held += len(s)
                 if held >= COUNT_AT_ONCE:
-                    yield frequent(lots, docs)
-                    lots, held, docs = [], 0, 0
+                    add()
+                    lots, held = [], 0
         if lots:
-            yield frequent(lots, docs)
+            add()
+        salt = TaskContext.get().partitionId() // bloom.FAN_IN
+        for k in range(0, cells, SEGMENT):
+            own = counts[k : k + SEGMENT]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((1, k, salt, None, zstandard.compress(own.tobytes(), 1)), types)], names)
 
     return run
 
 
-def _post(hot: tuple, buckets: int):
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zstandard.decompress(x), np.uint16).astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [0], "counts": [zstandard.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)]})
+
+
+def _post(sketch: Broadcast, buckets: int):
     """Postings of the prefixes, packed for the bucket of each shingle; a class is posted once a lot."""
 
     def flush(lot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         p = np.concatenate(lot)
-        bucket = (p["token"] >> np.uint64(13)) % np.uint64(buckets)
+        bucket = mix(p["token"]) % np.uint64(buckets)
         by = np.argsort(bucket, kind="stable")
         p, cuts = p[by], np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
         full = np.flatnonzero(np.diff(cuts))
@@ -116,7 +136,7 @@ def _post(hot: tuple, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([p[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = hot[0].value
+        grades = sketch.value
         seen, lot, held = set(), [], 0
         for b in batches:
             texts = as_bytes(b.column(0))
@@ -128,12 +148,8 @@ def _post(hot: tuple, buckets: int):
                     if n[i] and c not in seen:
                         seen.add(c)
                         fresh[i] = True
-                key = s >> np.uint64(1)
-                if len(often) and len(s):
-                    i = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    found = often[i] == s
-                    key[found] = np.uint64(1 << 63) | rank[i[found]]
-                by = np.lexsort((key, doc))
+                grade = grades[(s & np.uint64(len(grades) - 1)).astype(np.int64)]
+                by = np.argsort(doc.astype(np.uint16) * np.uint16(GRADES) + grade.astype(np.uint16), kind="stable")
                 doc, s = doc[by], s[by]
                 first = np.r_[0, np.cumsum(n)]
                 at = np.arange(len(s)) - first[doc]
@@ -173,7 +189,7 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Rows (a, b) of two classes to compare, and rows (null, null, postings) of a long list."""
+    """Rows (a, b, grouped): two classes to compare, or two neighbours in a long list."""
     p = np.concatenate([np.frombuffer(x, POSTING) for x in table.column("postings").to_pylist()])
     p = p[np.lexsort((p["cls"], p["token"]))]
     new = np.ones(len(p), bool)
@@ -182,7 +198,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     p = p[np.lexsort((p["at"], p["size"], p["token"]))]
     begin = np.flatnonzero(np.r_[True, p["token"][1:] != p["token"][:-1]])
     length = np.diff(np.r_[begin, len(p)])
-    pairs, lists = [], []
+    pairs = []
     for n in range(2, SHORT_LIST + 1):
         i, j = np.triu_indices(n, 1)
         own = begin[length == n]
@@ -190,130 +206,148 @@ def _candidates(table: pa.Table) -> pa.Table:
             x, y = p[(some[:, None] + i).ravel()], p[(some[:, None] + j).ravel()]
             ok = _possible(x, y)
             pairs.append(_distinct([(x["cls"][ok], y["cls"][ok])]))
-    for i, n in zip(begin[length > SHORT_LIST], length[length > SHORT_LIST]):
-        own = p[i : i + n]
-        leader = np.argmin(own["cls"])
-        ok = _possible(np.repeat(own[leader : leader + 1], n), own)
-        ok[leader] = False
-        pairs.append((np.repeat(own["cls"][leader], ok.sum()), own["cls"][ok]))
-        lists.append(own.tobytes())
+    long = np.repeat(length > SHORT_LIST, length)
+    near = p["size"][:-1].astype(np.int64) * 4 >= p["size"][1:].astype(np.int64) * 3
+    near = np.flatnonzero(long[1:] & (p["token"][1:] == p["token"][:-1]) & (near | (p["size"][1:] == SATURATED)))
+    chained = _distinct([(p["cls"][near], p["cls"][near + 1])])
     a, b = _distinct(pairs)
-    pad = [None] * len(lists)
-    return pa.table({"a": pa.array(a.tolist() + pad, pa.int64()), "b": pa.array(b.tolist() + pad, pa.int64()), "postings": pa.array([None] * len(a) + lists, pa.binary())})
-
-
-def _between(table: pa.Table) -> pa.Table:
-    """Pairs of one long list whose components differ."""
-    size, at, cls = (table.column(c).to_numpy() for c in ("size", "at", "cls"))
-    comp = table.column("comp").to_numpy()
-    out = []
-    if (comp != comp[0]).any():
-        by = np.lexsort((at, size))
-        p = np.zeros(len(by), POSTING)
-        p["size"], p["at"], p["cls"], comp = size[by], at[by], cls[by], comp[by]
-        saturated = np.searchsorted(p["size"], SATURATED)
-        for i in range(len(p) - 1):  # sorted by size: what follows the last possible size is skipped as a block
-            last = len(p) if p["size"][i] == SATURATED else max(np.searchsorted(p["size"], int(p["size"][i]) * 4 // 3, "right"), i + 1)
-            rest = np.flatnonzero(comp[i + 1 : last] != comp[i]) + i + 1
-            if last <= saturated < len(p):
-                rest = np.r_[rest, np.arange(max(saturated, i + 1), len(p))]
-            y = p[rest]
-            ok = _possible(np.repeat(p[i : i + 1], len(y)), y)
-            out.append((np.repeat(p["cls"][i], ok.sum()), y["cls"][ok]))
-    a, b = _distinct(out)
-    return pa.table({"a": a, "b": b})
-
-
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of two sets, seven times the overlap against three times the sum of the sizes."""
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            ok.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(x) + len(y)))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+    return pa.table({"a": np.r_[a, chained[0]], "b": np.r_[b, chained[1]], "grouped": np.r_[np.zeros(len(a), bool), np.ones(len(chained[0]), bool)]})
+
+
+def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets that connect all that are connected by links."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by = np.argsort(token, kind="stable")
+    lists, begin = owner[by], np.r_[0, np.cumsum(times)]
+    first = np.r_[0, np.cumsum(size)]
+    component, links = np.arange(len(sets)), []
+
+    def look_up(x: int) -> np.ndarray:
+        """Links x with all sets similar to it, skipping lists that only it is in, and gives them."""
+        own = token[first[x] : first[x + 1]]
+        own = own[times[own] > 1]
+        n = times[own]
+        at = np.repeat(begin[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        same = np.bincount(lists[at], minlength=len(sets))
+        similar = np.flatnonzero(7 * same >= 3 * (size + size[x]))
+        similar = similar[similar != x]
+        for y in similar[component[similar] != component[x]]:
+            if component[y] != component[x]:
+                links.append((x, int(y)))
+                component[component == component[y]] = component[x]
+        return similar
+
+    central = np.bincount(owner, times[token] - 1, len(sets)) / np.maximum(size, 1)
+    looked, answered = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    for x in np.argsort(-central, kind="stable").tolist():
+        if not answered[x] and central[x] > 0:
+            looked[x] = answered[x] = True
+            answered[look_up(x)] = True
+    while True:  # what is outside the largest component has not given its own answer yet
+        values, n = np.unique(component, return_counts=True)
+        rest = np.flatnonzero((component != values[np.argmax(n)]) & ~looked & (central > 0))
+        if not len(rest):
+            return links
+        looked[rest[0]] = True
+        look_up(int(rest[0]))
+
+
+def _in_group(table: pa.Table) -> pa.Table:
+    table = table.sort_by("rep")
+    reps = table.column("rep").to_numpy()
+    links = spanning_links([np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()])
+    return pa.table({"u": pa.array([int(reps[x]) for x, _ in links], pa.int64()), "v": pa.array([int(reps[y]) for _, y in links], pa.int64())})
+
+
+def _overlap(kind: str):
+    """Keeps pairs with 7 times the overlap at least 3 times the sum of the sizes, which is a similarity of 0.75."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(4), b.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                if kind == "<u8":
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                else:  # several shingles may share 16 bits
+                    same = int(np.minimum(np.bincount(x, minlength=1 << 16), np.bincount(y, minlength=1 << 16)).sum())
+                ok.append(7 * same >= 3 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:4]], ["a", "ra", "b", "rb"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row per row of ``docs``."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    scan = cut(texts.mapInArrow(_scan(HOT), "kind byte, id long, n long, cls long"))
+    cells = min(MOST_CELLS, max(SEGMENT, 1 << (size // (6 * CELL_LOAD)).bit_length()))
+    scan = cut(texts.mapInArrow(_scan(cells), "kind byte, id long, n long, cls long, counts binary"))
     rows = scan.filter("kind = 0").select("id", "n", "cls")
-    total = rows.count()
-    often = (
-        scan.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("times")).filter(F.col("times") >= max(2, total // HOT))
-        .orderBy(F.desc("times"), "cls").limit(HOT_MOST).toPandas()
-    )
-    token = often["cls"].to_numpy(np.int64).view(np.uint64)
-    rank = np.arange(len(token), 0, -1).astype(np.uint64)  # the most frequent come last
-    by = np.argsort(token)
-    hot = (spark.sparkContext.broadcast((token[by], rank[by])),)
-
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    total, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = scan.filter("kind = 1").select("id", "n", "counts")
+    kind = "id long, n long, counts binary"
+    grades = np.zeros(cells, np.uint8)
+    usual = max(1.0, shingles / cells)
+    for r in parts.groupBy("id", "n").applyInPandas(_merge, kind).groupBy("id").applyInPandas(_merge, kind).toLocalIterator():
+        counts = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint16)
+        grades[r["id"] : r["id"] + SEGMENT] = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8)
+    sketch = spark.sparkContext.broadcast(grades)
+
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
     buckets = max(16, -(-size // BUCKET_BYTES))
-    posted = texts.select("text").mapInArrow(_post(hot, buckets), "bucket long, postings binary")
-    found = cut(posted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, postings binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, as ids (u, v) of their classes' first documents."""
-        some = cut(pairs)
-        if some.isEmpty():
-            return spark.createDataFrame([], "u long, v long")
-        nodes = some.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "rep")
-        nodes = cut(nodes)
-        filter_, bits = bloom.members(nodes, "cls", nodes.count())
+    posted = texts.select("text").mapInArrow(_post(sketch, buckets), "bucket long, postings binary")
+    found = cut(posted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grouped boolean"))
+
+    def sets_of(nodes: DataFrame, n: int, exact: bool) -> DataFrame:
+        """(cls, id, items) of the documents whose id is in ``nodes.rep``, and of few others."""
+        filter_, bits = bloom.members(nodes, "rep", n)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packed, seen = filter_.value, set()
+            packed = filter_.value
             for b in batches:
-                texts = as_bytes(b.column(0))
+                ids = b.column(0).to_numpy()
+                own = np.flatnonzero(bloom.test(packed, bits, bloom.id_words(ids))) if len(ids) else []
+                texts = as_bytes(b.column(1).take(pa.array(own, pa.int64())))
                 for part in slices([len(t or b"") for t in texts]):
                     doc, s, n = shingle_sets(texts[part])
-                    cls = _classes(doc, s, n)
-                    own = bloom.test(packed, bits, bloom.id_words(cls)) if len(cls) else np.zeros(0, bool)
-                    first = np.r_[0, np.cumsum(n)]
-                    take = []
-                    for i in np.flatnonzero(own & (n > 0)):
-                        if cls[i] not in seen:
-                            seen.add(cls[i])
-                            take.append(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[take], pa.int64()), pa.array([s[first[i] : first[i + 1]].tobytes() for i in take], pa.binary())], ["cls", "items"])
-
-        own = texts.select("text").mapInArrow(sets, "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items"))
-        both = (
-            some.join(own.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-            .join(own.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        )
-        links = both.mapInArrow(_overlap, "u long, v long")
-        rep = nodes.select("cls", "rep")
-        links = links.join(rep.withColumnRenamed("cls", "u").withColumnRenamed("rep", "ru"), "u").join(rep.withColumnRenamed("cls", "v").withColumnRenamed("rep", "rv"), "v")
-        return cut(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-
-    pairs = found.filter("postings is null").select("a", "b").distinct()
-    links = verified(pairs)
-    comp = components(links)
-    lists = found.filter("postings is not null").select(F.monotonically_increasing_id().alias("list"), "postings")
-    if not lists.isEmpty():
-
-        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    p = np.frombuffer(data, POSTING)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), name)), *(pa.array(p[c].astype(np.int64)) for c in ("cls", "size", "at"))], ["list", "cls", "size", "at"])
-
-        of_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-        open_ = lists.mapInArrow(members, "list long, cls long, size long, at long").join(of_class, "cls")
-        mixed = open_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
-        more = open_.join(mixed, "list", "left_semi").groupBy("list").applyInArrow(_between, "a long, b long").distinct()
-        links2 = verified(more.join(pairs, ["a", "b"], "left_anti"))
-        if not links2.isEmpty():
-            comp = components(links.unionByName(links2))
+                    first, items = np.r_[0, np.cumsum(n)], s if exact else (mix(s) >> np.uint64(48)).astype("<u2")
+                    blobs = [items[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(_classes(doc, s, n)), pa.array(ids[own[part]]), pa.array(blobs, pa.binary())], ["cls", "id", "items"])
+
+        return texts.mapInArrow(sets, "cls long, id long, items binary")
+
+    # groups of sets that share long lists
+    edges = found.filter("grouped").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    chained = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    members = cut(chained.join(classes.select("cls", "rep", "n"), "cls"))
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).alias("blocks"))
+    dealt = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
+    others = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block")))
+    dealt = dealt.select("cls", "rep", "group", "block", F.explode(others).alias("other")).select("cls", "rep", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    own = sets_of(members.select("rep").distinct(), members.count(), True).withColumnRenamed("id", "rep")
+    inside = cut(own.join(dealt, ["cls", "rep"]).groupBy("group", "i", "j").applyInArrow(_in_group, "u long, v long"))
+
+    # pairs of short lists, but for those inside a group
+    group = members.select("cls", "group")
+    pairs = found.filter("not grouped").select("a", "b").distinct()
+    pairs = pairs.join(group.toDF("a", "ga"), "a", "left").join(group.toDF("b", "gb"), "b", "left").filter("coalesce(ga <> gb, true)")
+    rep = classes.select("cls", "rep")
+    some = cut(pairs.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select("a", "ra", "b", "rb"))
+    for exact in (False, True):
+        nodes = cut(some.select(F.explode(F.array("ra", "rb")).alias("rep")).distinct())
+        own = sets_of(nodes, nodes.count(), exact)
+        x, y = (own.select(F.col("cls").alias(c), F.col("id").alias(f"r{c}"), F.col("items").alias(f"items_{c}")) for c in "ab")
+        both = some.join(x, ["a", "ra"]).join(y, ["b", "rb"]).select("a", "ra", "b", "rb", "items_a", "items_b")
+        some = cut(both.mapInArrow(_overlap("<u8" if exact else "<u2"), "a long, ra long, b long, rb long"))
+
+    comp = components(inside.unionByName(some.select(F.col("ra").alias("u"), F.col("rb").alias("v"))))
     groups = classes.join(comp, classes["rep"] == comp["node"], "left").select("cls", F.coalesce("component", "rep").alias("component"), "copies")
     none = rows.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     linked = join_groups(rows.filter("n > 0"), groups, "cls", "copies", total).select("id", "n", F.coalesce("component", "id").alias("component"))
-    return none.unionByName(linked).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return none.unionByName(linked).select(F.expr(f"nullif(id, {NO_ID})").alias(id_col), F.col("n").alias("n_shingles"), F.expr(f"nullif(component, {NO_ID})").alias("component_id"))
