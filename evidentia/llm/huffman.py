@@ -5,7 +5,7 @@ Layout under one folder, written by Spark's own writers so that any store will d
 - ``code``: one row with the code length of every id (0: not in use). Codes are canonical, of at most
   ``LIMIT`` bits, built by package-merge from the counts of all ids.
 - ``blocks``: rows (shard, block, start, doc_ids, n_tokens, offsets, bits). A block holds whole documents of
-  about ``BLOCK_TOKENS`` ids and is decoded on its own. ``offsets`` are the bit positions of every
+  about ``BLOCK_BYTES`` of text and is decoded on its own. ``offsets`` are the bit positions of every
   ``STRIDE``-th id, from which the lanes of the table-driven decoder run side by side. Shards are ranges of
   the document id; ``start`` counts the ids before the block in its shard.
 - ``shards``: (shard, first), the ids before each shard; one row a shard, so it is small by construction.
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from .store import cut, shuffle_partitions
 from .tokens import encoder
+from .words import as_bytes
 
 LIMIT = 16
-BLOCK_TOKENS = 1 << 17
+BLOCK_BYTES = 1 << 20
 STRIDE = 256
+#: Ids turned into bits at once, a multiple of STRIDE.
+PIECE = 1 << 15
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -75,12 +78,17 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of the ids and the offset of every STRIDE-th."""
-    size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    total = int(end[-1]) if len(end) else 0
-    left = np.repeat(end, size) - np.arange(total) - 1
-    bits = np.repeat(code[ids], size) >> left.astype(np.uint32) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes(), (end - size)[::STRIDE].astype(np.uint32)
+    bits, offsets, before = [], [], 0
+    for i in range(0, len(ids), PIECE):
+        own = ids[i : i + PIECE]
+        size = lengths[own].astype(np.int32)
+        end = np.cumsum(size)
+        left = np.repeat(end, size) - np.arange(int(end[-1]), dtype=np.int64) - 1
+        bits.append((np.repeat(code[own], size) >> left.astype(np.uint32) & 1).astype(np.uint8))
+        offsets.append(before + (end - size)[::STRIDE])
+        before += int(end[-1])
+    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return np.packbits(cat(bits, np.uint8)).tobytes(), cat(offsets, np.uint32)
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +141,11 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], ["shard", "block", "start", "doc_ids", "nulls", "n_tokens", "ids"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 ids.append(i)
-                texts.append(t or "")
-                held += len(texts[-1]) + 1
-                if held >= 2 * BLOCK_TOKENS:  # two characters a token and more
+                texts.append(t)
+                held += len(t or b"") + 1
+                if held >= BLOCK_BYTES:
                     yield flush()
         if ids:
             yield flush()

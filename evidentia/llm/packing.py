@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .store import cut
 from .tokens import encoder
+from .words import as_bytes
 
 WINDOW = 4096
 GRAIN = 32
-BLOCK_CHARS = 1 << 18
+BLOCK_BYTES = 1 << 20
 #: Neighbours summed by one task for running totals, and ids of gaps and residual documents matched by one.
 RUN = 1 << 16
 FULL = 0  # the "length" under which full windows are counted
@@ -169,11 +170,11 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], ["part", "block", "doc_ids", "nulls", "n", "ids"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 ids.append(i)
-                texts.append(t or "")
-                held += len(texts[-1]) + 1
-                if held >= BLOCK_CHARS:
+                texts.append(t)
+                held += len(t or b"") + 1
+                if held >= BLOCK_BYTES:
                     yield flush()
         if ids:
             yield flush()
