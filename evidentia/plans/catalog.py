@@ -1,4 +1,391 @@
-"""Named queries over the driver's tables and their SQL twins."""
+"""Named queries over the driver's tables and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables stand for the model's: documents are sources and canonical texts, passages of ``benchmark`` are
+quotes, orders are dated number claims by customer, conversations are statements by topic, pages are pages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, text
+from ..operators import chunking, claims, contradictions, gates, lint, publishing, retrieval
+from ..operators.schema_rules import validate
+from ..sources import files, pages
+from ..streaming import windows
+
+QUERY = "the reason of a nation and the hain ering"
+TERMS = "documents with rare terms tion ering hain"
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _texts(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _chunks(spark, d):
+    """Each document as one chunk."""
+    docs = t(spark, d, "documents")
+    return docs.select(F.format_string("src_%d#c0000", "doc_id").alias("chunk_id"), F.format_string("src_%d", "doc_id").alias("source_id"), "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _html(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
+
+
+# --------------------------------------------------------------------------- queries
+
+
+def normalized_hash(spark, d):
+    canonical = text.normalize(F.coalesce("text", F.lit("")))
+    return t(spark, d, "documents").select("doc_id", F.length(canonical).cast("long").alias("text_len"), ids.sha256(canonical).alias("sha256"))
+
+
+def source_ids(spark, d):
+    locator = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    return t(spark, d, "documents").select("doc_id", ids.source_id(locator, ids.sha256(F.col("text"))).alias("src_id"), ids.claim_id(F.col("text")).alias("clm_id"), ids.cluster_id(F.col("source")).alias("cls_id"), ids.paste_locator(F.col("text")).alias("paste"))
+
+
+def url_canonical(spark, d):
+    return t(spark, d, "pages").select("page_id", ids.canonical_url(F.col("url")).alias("url"))
+
+
+def url_dup_groups(spark, d):
+    found = t(spark, d, "pages").select(F.regexp_replace(ids.canonical_url(F.col("url")), r"\?.*$", "").alias("url"))
+    return found.groupBy("url").agg(F.count("*").alias("n"))
+
+
+def term_df(spark, d):
+    index = retrieval.build_index(_chunks(spark, d))
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def doclen(spark, d):
+    index = retrieval.build_index(_chunks(spark, d))
+    return index.doclen.crossJoin(F.broadcast(index.stats)).select("chunk_id", "dl", "n_docs", F.round("avgdl", 4).alias("avgdl"))  # stats is one row
+
+
+def bm25_topk(spark, d):
+    best = retrieval.top_k(retrieval.bm25(retrieval.build_index(_chunks(spark, d)), QUERY))
+    return best.select("chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def bm25_restricted(spark, d):
+    best = retrieval.top_k(retrieval.bm25(retrieval.build_index(_chunks(spark, d)), TERMS, "src_1"))
+    return best.select("chunk_id", F.round("score", 4).alias("score"))
+
+
+def bm25_per_source_topk(spark, d):
+    chunks = _chunks(spark, d)
+    scores = retrieval.bm25(retrieval.build_index(chunks), QUERY).join(chunks.select("chunk_id", "source"), "chunk_id")
+    return retrieval.top_k_per(scores, F.col("source"), 3).select("source", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def search_hits(spark, d):
+    chunks = _chunks(spark, d)
+    return retrieval.search(retrieval.build_index(chunks), chunks, QUERY).select("chunk_id", F.col("rank").cast("long").alias("rank"), "preview")
+
+
+def _spans(spark, d):
+    passages = t(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    return retrieval.find_passages(_texts(spark, d), passages)
+
+
+def find_benchmark_spans(spark, d):
+    return _spans(spark, d).select(F.col("source_id").alias("doc_id"), F.col("passage_id").alias("item_id"), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
+
+
+def find_in_text(spark, d):
+    return retrieval.find(_texts(spark, d), "the", every=True).groupBy("source_id", "status").agg(F.count("span_start").alias("n"), F.sum("span_start").alias("starts")).select(F.col("source_id").alias("doc_id"), "status", "n", "starts")
+
+
+def _evidence(spark, d):
+    """Evidence from passages found in documents; every fifth passage is tampered with."""
+    spans = _spans(spark, d).join(t(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("said")), "passage_id")
+    said = F.when(F.col("passage_id") % 5 == 0, F.concat(F.lit("#"), F.substring("said", 2, 100000))).otherwise(F.col("said"))
+    return spans.select(F.col("passage_id").alias("claim_id"), "source_id", F.col("span_start").cast("int").alias("start"), F.col("span_end").cast("int").alias("end"), said.alias("quote"), F.lit(None).cast("string").alias("quote_sha256"), F.lit(False).alias("redacted"))
+
+
+def quote_gate(spark, d):
+    return gates.checked_evidence(_evidence(spark, d), _texts(spark, d)).select(F.col("source_id").alias("doc_id"), F.col("claim_id").alias("item_id"), F.coalesce("code", F.lit("ok")).alias("code"))
+
+
+def quote_budget(spark, d):
+    quotes = _evidence(spark, d).withColumns({"ord": F.col("claim_id") * 1_000_000_000 + F.col("source_id"), "quote": F.substring("quote", 1, 120)}).withColumn("source_id", F.col("source_id") % 7)
+    return claims.budget(quotes, distinct_spans=False).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("granted").alias("granted"), F.coalesce(F.sum(F.when(F.col("granted"), F.length("quote"))), F.lit(0)).alias("chars"))
+
+
+def chunk_coverage(spark, d):
+    texts = _texts(spark, d)
+    cover = chunking.coverage(chunking.chunk(texts), texts)
+    return cover.select(F.col("source_id").cast("long").alias("doc_id"), F.col("first_start").cast("long").alias("first_start"), F.col("max_gap").cast("long").alias("max_gap"), F.col("covered").cast("long").alias("covered"))
+
+
+def chunk_rows(spark, d):
+    return chunking.chunk(_texts(spark, d))
+
+
+def chunk_index(spark, d):
+    texts = _texts(spark, d)
+    return retrieval.build_index(chunking.chunk_texts(chunking.chunk(texts), texts)).postings
+
+
+def _ledger(spark, d):
+    """Claims with a tiered source: documents with labels."""
+    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    tier = F.element_at(F.array(*map(F.lit, "ABCD")), n % 4 + 1)
+    evidence = F.array(F.struct(F.col("source").alias("source_id"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.substring("text", 1, 1).alias("quote"), F.lit(None).cast("string").alias("quote_sha256"), F.lit(1).alias("length"), F.lit(False).alias("redacted")))
+    rows = docs.select(
+        F.col("doc_id").alias("id"), "text", F.when(F.col("toxic") == 1, "statement").otherwise("number").alias("kind"), F.when(F.col("quality") == 1, "verified").otherwise("reported").alias("confidence"),
+        F.lit("active").alias("status"), (F.col("doc_id") % 3 == 0).alias("volatile"), F.when(F.col("doc_id") % 2 == 0, "2024-01-01").alias("as_of"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("ftp://x/"), F.col("doc_id").cast("string"))).alias("recheck"), evidence.alias("evidence"), "source", tier.alias("tier"),
+    )
+    sources = rows.select(F.col("source").alias("id"), "tier").distinct().withColumn("tier_reason", F.when(F.col("tier") == "A", "primary"))
+    return rows.drop("source", "tier"), sources
+
+
+def tier_gate(spark, d):
+    return gates.tiers(*_ledger(spark, d)).select("code", "subject")
+
+
+def volatility_gate(spark, d):
+    return gates.volatility(_ledger(spark, d)[0]).groupBy("code", "subject").agg(F.count("*").alias("n"))
+
+
+def gate_report(spark, d):
+    rows, sources = _ledger(spark, d)
+    return gates.report(gates.union(gates.tiers(rows, sources), gates.volatility(rows), gates.confidence(rows)))
+
+
+def _orders(spark, d):
+    rows = t(spark, d, "orders")
+    return rows.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("topic_key"), F.lit("").alias("text"), F.lit("number").alias("kind"), F.col("o_totalprice").alias("number"),
+        (F.col("o_orderstatus") == "O").alias("volatile"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("as_of"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"),
+    )
+
+
+def _conversations(spark, d):
+    rows = t(spark, d, "conversations").filter("text is not null")
+    return rows.select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("topic_key"), "text", F.lit("statement").alias("kind"), F.lit(False).alias("volatile"), F.lit(None).cast("string").alias("as_of"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"))
+
+
+def _members(df: DataFrame, detector: str) -> DataFrame:
+    return contradictions.flags(df).filter(F.col(f"is_{detector}")).select("topic_key", "id")
+
+
+def topic_numeric_conflict(spark, d):
+    return _members(_orders(spark, d), "numeric")
+
+
+def topic_recency_spread(spark, d):
+    return _members(_orders(spark, d), "recency")
+
+
+def topic_polarity(spark, d):
+    return _members(_conversations(spark, d), "polarity")
+
+
+def topic_all_detectors(spark, d):
+    both = _orders(spark, d).unionByName(_conversations(spark, d).withColumn("topic_key", F.concat(F.lit("c"), "topic_key")).withColumn("number", F.lit(None).cast("double")))
+    found = contradictions.detect(both)
+    return found.select("cluster_id", "topic_key", F.size("claim_ids").cast("long").alias("n"), F.array_join("detectors", "+").alias("detectors"), "status")
+
+
+def _adjudications(spark, d):
+    """Customers' conflicts: those with an even number are settled, for the first claim or for all."""
+    found = contradictions.detect(_orders(spark, d)).filter("cast(topic_key as long) % 2 = 0")
+    outcome = F.element_at(F.array(*map(F.lit, ("supersede", "both_stand", "retract", "scope_split"))), (F.col("topic_key").cast("long") / 2 % 4 + 1).cast("int"))
+    return found.select("cluster_id", "topic_key", outcome.alias("outcome"), F.array_min("claim_ids").alias("winner"), "claim_ids")
+
+
+def adjudicate_apply(spark, d):
+    done = contradictions.apply_outcomes(_orders(spark, d).withColumn("superseded_by", F.lit(None).cast("string")), _adjudications(spark, d))
+    return done.select("id", "status", "confidence", "superseded_by")
+
+
+def adjudicate_unapplied(spark, d):
+    return contradictions.unapplied(_orders(spark, d), _adjudications(spark, d)).select("id", F.coalesce("new_status", "new_confidence").alias("change"))
+
+
+def plan_orphans(spark, d):
+    placed = t(spark, d, "orders").select(F.lit("s").alias("section"), F.col("o_custkey").alias("id"))
+    held = t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "retracted").otherwise("active").alias("status"), F.lit("reported").alias("confidence"))
+    return gates.plan(held, placed).groupBy("code", "subject").agg(F.count("*").alias("n"))
+
+
+def ordinals(spark, d):
+    lines = t(spark, d, "lineitem")
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("active").alias("status"), F.when(F.col("p_size") == 1, "inferred").otherwise("reported").alias("confidence"))
+    placed = lines.select(F.col("l_linenumber").alias("section"), F.col("l_orderkey").alias("position"), F.col("l_partkey").alias("id"))
+    return claims.ordinals(rows, placed).select("id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def dialogue_plan(spark, d):
+    lines = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("n"), F.lit("all").alias("segment"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    return publishing.dialogue_plan(lines, ["conv_id"]).select("conv_id", "segment_id", F.col("pause_after_ms").cast("long").alias("pause_after_ms"))
+
+
+def package_checksums(spark, d):
+    docs = t(spark, d, "documents")
+    return publishing.checksums(docs.select(F.concat(F.lit("sources/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")))
+
+
+def page_lang_title(spark, d):
+    return lint.lint(_html(spark, d), rules=["a11y.lang-title"]).select("doc_id", "rule", "detail")
+
+
+def page_lint(spark, d):
+    return lint.lint(_html(spark, d), {"copy.em-dash": "house style"}).groupBy("rule", "severity", "waived").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("pages"))
+
+
+def page_text(spark, d):
+    read = pages.html_to_markdown(F.col("html"), F.col("url"))
+    return _html(spark, d).select("doc_id", read.alias("m")).select("doc_id", "m.*")
+
+
+def page_nodes(spark, d):
+    return pages.dom_nodes(_html(spark, d)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def page_images(spark, d):
+    return publishing.images(pages.dom_nodes(_html(spark, d)))
+
+
+def fetch_refusals(spark, d):
+    return t(spark, d, "pages").select("page_id", files.refusal(F.col("url")).alias("why"))
+
+
+EVENT_SCHEMA = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "string", "minLength": 2}}, "additionalProperties": True}
+
+
+def props_schema(spark, d):
+    return validate(t(spark, d, "events").select(F.col("event_id").alias("subject"), F.col("props").alias("json")), EVENT_SCHEMA).groupBy("pointer", "message").agg(F.count("*").alias("n"))
+
+
+def numbers_and_dates(spark, d):
+    facts = t(spark, d, "documents").select("doc_id", text.leading_number(F.col("text")).alias("number"), F.size(text.iso_dates(F.col("text"))).cast("long").alias("dates"), text.negated(F.col("text")).alias("negated"), text.word_count(F.col("text")).cast("long").alias("words"))
+    return facts
+
+
+def event_windows(spark, d):
+    return windows.windowed(t(spark, d, "events"), "ts", ["event_type"], "1 day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def events_as_of(spark, d):
+    events = t(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    buys = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
+    return windows.as_of(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), buys, "user_id", "ts", "last_value").select("event_id", "last_value")
+
+
+def order_cube(spark, d):
+    return t(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (
+    normalized_hash, source_ids, url_canonical, url_dup_groups, term_df, doclen, bm25_topk, bm25_restricted, bm25_per_source_topk, search_hits, find_benchmark_spans, find_in_text, quote_gate,
+    quote_budget, chunk_coverage, chunk_rows, chunk_index, tier_gate, volatility_gate, gate_report, topic_numeric_conflict, topic_recency_spread, topic_polarity, topic_all_detectors, adjudicate_apply,
+    adjudicate_unapplied, plan_orphans, ordinals, dialogue_plan, package_checksums, page_lang_title, page_lint, page_text, page_nodes, page_images, fetch_refusals, props_schema, numbers_and_dates,
+    event_windows, events_as_of, order_cube,
+)}
+
+# ------------------------------------------------------------------------ SQL twins
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_FOLD = "array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || chr(769) WHEN c = 'ß' THEN 'ss' ELSE lower(c) END), '')"
+_TOKENS = f"""
+tok AS (SELECT doc_id, source, text, list_filter(regexp_extract_all(lower({_FOLD}), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS w FROM documents),
+dl AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS dl FROM tok),
+post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY term, doc_id),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+st AS (SELECT count(*) AS n_docs, round(avg(dl), 4) AS avgdl FROM dl)"""
+
+
+def _bm25(query: str, where: str = "true") -> str:
+    terms = [w for w in query.split() if len(w) > 1 and w not in text.STOPWORDS]
+    values = ", ".join(f"('{w}')" for w in terms)
+    return f"""{_TOKENS},
+q AS (SELECT * FROM (VALUES {values}) AS v(term)),
+sc AS (SELECT post.doc_id, 'src_' || post.doc_id || '#c0000' AS chunk_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+       FROM q JOIN post ON q.term = post.term JOIN df ON df.term = post.term JOIN dl ON dl.doc_id = post.doc_id, st WHERE {where} GROUP BY post.doc_id)"""
+
+
+_NORM_WS = r"trim(regexp_replace(text, '[\t\n\x0b\x0c\r ]+', ' ', 'g'))"
+_SPANS = "sp AS (SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS span_start, instr(d.text, b.text) - 1 + length(b.text) AS span_end, b.text AS said, d.text AS whole FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_O = "o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS topic_key, o_totalprice AS x, o_orderstatus = 'O' AS v, CAST(o_orderdate AS DATE) AS dt FROM orders)"
+_NUM = "abs(a.x - b.x) / greatest(abs(a.x), abs(b.x)) > 0.05"
+_REC = "a.v AND b.v AND abs(date_diff('day', a.dt, b.dt)) > 180"
+_NEG = "regexp_matches(lower(text), '\\b(not|no|never|cannot|can''t|without|fails to|does not|do not|is not|are not|lacks|absent|excludes|unavailable|non-)\\b')"
+_CV = f"c AS (SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS topic_key, {_NEG} AS neg FROM conversations WHERE text IS NOT NULL)"
+_CLS = "'cls_' || substr(sha256(topic_key), 1, 12)"
+_PAIRS = f"p AS (SELECT a.topic_key, a.id, {_NUM} AS num, {_REC} AS rec FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND (({_NUM}) OR ({_REC})))"
+_ADJ = f"""m AS (SELECT topic_key, min(id) AS winner, list(DISTINCT id) AS members FROM p GROUP BY topic_key),
+adj AS (SELECT topic_key, winner, unnest(members) AS id, ['supersede', 'both_stand', 'retract', 'scope_split'][CAST(CAST(topic_key AS BIGINT) // 2 % 4 + 1 AS INT)] AS outcome FROM m WHERE CAST(topic_key AS BIGINT) % 2 = 0)"""
+_LEDGER = """l AS (SELECT d.doc_id, source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 4 AS t, CASE WHEN toxic = 1 THEN 'statement' ELSE 'number' END AS kind, quality FROM documents d JOIN labels USING (doc_id))"""
+_TIERS = """tg AS (SELECT 'E-TIER-D' AS code, CAST(doc_id AS VARCHAR) AS subject FROM l WHERE t = 3 AND quality = 1
+  UNION ALL SELECT 'E-TIER-WEAK', CAST(doc_id AS VARCHAR) FROM l WHERE t = 2 AND quality = 1 AND kind = 'number'
+  UNION ALL SELECT DISTINCT 'E-TIER-REASON', source FROM l WHERE t = 3)"""
+_VOL = """vg AS (SELECT 'E-RECHECK-SCHEME' AS code, CAST(doc_id AS VARCHAR) AS subject FROM l WHERE doc_id % 5 <> 0
+  UNION ALL SELECT 'E-VOLATILE-UNDATED', CAST(doc_id AS VARCHAR) FROM l WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0
+  UNION ALL SELECT 'E-VOLATILE-UNDATED', CAST(doc_id AS VARCHAR) FROM l WHERE doc_id % 3 = 0 AND doc_id % 5 = 0)"""
+_URL = r"""u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS head,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(string_split(p, '=')[1]), '^(utm_.*|gclid|fbclid|mc_[ce]id|ref|si|igshid)$'))) AS q FROM pages)"""
+_HEAD = "head || CASE WHEN path = '/' THEN '' ELSE path END"
+
+ORACLES = {
+    "normalized_hash": r"""WITH n AS (SELECT doc_id, rtrim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') || chr(10) AS c FROM documents)
+SELECT doc_id, CAST(length(c) AS BIGINT) AS text_len, sha256(c) AS sha256 FROM n""",
+    "source_ids": f"""SELECT doc_id, 'src_' || substr(sha256(source || '/' || doc_id || chr(10) || sha256(text)), 1, 12) AS src_id, 'clm_' || substr(sha256(lower({_NORM_WS})), 1, 12) AS clm_id,
+'cls_' || substr(sha256(source), 1, 12) AS cls_id, 'paste:' || substr(sha256({_NORM_WS}), 1, 16) AS paste FROM documents""",
+    "url_canonical": f"WITH {_URL} SELECT page_id, {_HEAD} || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM u",
+    "url_dup_groups": f"WITH {_URL} SELECT {_HEAD} AS url, count(*) AS n FROM u GROUP BY 1",
+    "term_df": f"WITH {_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term",
+    "doclen": f"WITH {_TOKENS} SELECT 'src_' || doc_id || '#c0000' AS chunk_id, dl, n_docs, avgdl FROM dl, st",
+    "bm25_topk": f"WITH {_bm25(QUERY)} SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, round(score, 4) AS score FROM sc ORDER BY rank LIMIT 8",
+    "bm25_restricted": f"WITH {_bm25(TERMS, "starts_with('src_' || post.doc_id, 'src_1')")} SELECT chunk_id, round(score, 4) AS score FROM sc ORDER BY sc.score DESC, chunk_id LIMIT 8",
+    "bm25_per_source_topk": f"WITH {_bm25(QUERY)}, r AS (SELECT source, chunk_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, chunk_id) AS rank, score FROM sc JOIN documents USING (doc_id)) SELECT source, chunk_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3",
+    "search_hits": f"WITH {_bm25(QUERY)}, r AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM sc) SELECT chunk_id, rank, substr({_NORM_WS}, 1, 160) AS preview FROM r JOIN documents USING (doc_id) WHERE rank <= 8",
+    "find_benchmark_spans": f"WITH {_SPANS} SELECT doc_id, item_id, span_start, span_end FROM sp",
+    "find_in_text": """WITH p AS (SELECT doc_id, unnest(range(1, length(text) - 1)) AS i, text FROM documents), h AS (SELECT doc_id, count(*) AS n, sum(i - 1) AS starts FROM p WHERE substr(text, i, 3) = 'the' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN 'nomatch' ELSE 'exact' END AS status, coalesce(n, 0) AS n, CAST(starts AS BIGINT) AS starts FROM documents LEFT JOIN h USING (doc_id)""",
+    "quote_gate": f"WITH {_SPANS} SELECT doc_id, item_id, CASE WHEN item_id % 5 = 0 THEN 'E-QUOTE-MISMATCH' ELSE 'ok' END AS code FROM sp",
+    "quote_budget": f"""WITH RECURSIVE {_SPANS}, e AS (SELECT doc_id % 7 AS source_id, doc_id, item_id, length(q) AS size, len(list_filter(string_split(q, ' '), lambda w: w <> '')) AS words FROM (SELECT doc_id, item_id, substr(CASE WHEN item_id % 5 = 0 THEN '#' || substr(said, 2) ELSE said END, 1, 120) AS q FROM sp)),
+a AS (SELECT source_id, size, row_number() OVER (PARTITION BY source_id ORDER BY item_id, doc_id) AS k FROM e WHERE words <= 25 AND size BETWEEN 1 AND 200),
+f AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS chars FROM e
+      UNION ALL SELECT f.source_id, a.k, f.n + CASE WHEN f.n < 3 AND f.chars + size <= 500 THEN 1 ELSE 0 END, f.chars + CASE WHEN f.n < 3 AND f.chars + size <= 500 THEN size ELSE 0 END FROM f JOIN a ON a.source_id = f.source_id AND a.k = f.k + 1),
+z AS (SELECT source_id, max(n) AS granted, max(chars) AS chars FROM f GROUP BY source_id)
+SELECT e.source_id, count(*) AS n, any_value(z.granted) AS granted, any_value(z.chars) AS chars FROM e JOIN z USING (source_id) GROUP BY e.source_id""",
+    "chunk_coverage": "SELECT doc_id, 0::BIGINT AS first_start, 0::BIGINT AS max_gap, CAST(length(text) AS BIGINT) AS covered FROM documents WHERE length(text) > 0",
+    "tier_gate": f"WITH {_LEDGER}, {_TIERS} SELECT * FROM tg",
+    "volatility_gate": f"WITH {_LEDGER}, {_VOL} SELECT code, subject, count(*) AS n FROM vg GROUP BY code, subject",
+    "gate_report": f"WITH {_LEDGER}, {_TIERS}, {_VOL} SELECT 'tiers' AS gate, count(*) AS errors, 0::BIGINT AS warnings FROM tg UNION ALL SELECT 'volatility', count(*), 0 FROM vg",
+    "topic_numeric_conflict": f"WITH {_O} SELECT DISTINCT a.topic_key, a.id FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND {_NUM}",
+    "topic_recency_spread": f"WITH {_O} SELECT DISTINCT a.topic_key, a.id FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND {_REC}",
+    "topic_polarity": f"WITH {_CV} SELECT DISTINCT a.topic_key, a.id FROM c a JOIN c b ON a.topic_key = b.topic_key AND a.neg <> b.neg",
+    "topic_all_detectors": f"""WITH {_O}, {_CV}, {_PAIRS}, k AS (SELECT topic_key, id, num, rec, false AS pol FROM p UNION ALL SELECT 'c' || a.topic_key, a.id, false, false, true FROM c a JOIN c b ON a.topic_key = b.topic_key AND a.neg <> b.neg)
+SELECT {_CLS} AS cluster_id, topic_key, count(DISTINCT id) AS n, array_to_string(list_filter([CASE WHEN bool_or(num) THEN 'numeric' END, CASE WHEN bool_or(pol) THEN 'polarity' END, CASE WHEN bool_or(rec) THEN 'recency' END], lambda x: x IS NOT NULL), '+') AS detectors, 'OPEN' AS status FROM k GROUP BY topic_key""",
+    "adjudicate_apply": f"""WITH {_O}, {_PAIRS}, {_ADJ}
+SELECT o.id, CASE WHEN outcome = 'supersede' AND adj.id <> winner THEN 'superseded' WHEN outcome = 'retract' AND adj.id <> winner THEN 'retracted' ELSE 'active' END AS status,
+CASE WHEN outcome = 'both_stand' THEN 'contested' ELSE 'reported' END AS confidence, CASE WHEN outcome = 'supersede' AND adj.id <> winner THEN winner END AS superseded_by FROM o LEFT JOIN adj ON adj.id = o.id""",
+    "adjudicate_unapplied": f"""WITH {_O}, {_PAIRS}, {_ADJ}
+SELECT id, CASE outcome WHEN 'supersede' THEN 'superseded' WHEN 'retract' THEN 'retracted' ELSE 'contested' END AS change FROM adj WHERE outcome = 'both_stand' OR (outcome <> 'scope_split' AND id <> winner)""",
+    "plan_orphans": """SELECT 'E-PLAN-ORPHAN' AS code, CAST(o_custkey AS VARCHAR) AS subject, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey
+WHERE c_custkey IS NULL OR c_mktsegment = 'BUILDING' GROUP BY o_custkey""",
+    "ordinals": """WITH f AS (SELECT l_partkey AS id, min((l_linenumber, l_orderkey)) AS pos FROM lineitem GROUP BY 1)
+SELECT p_partkey AS id, row_number() OVER (ORDER BY pos IS NULL, pos, p_partkey) AS ordinal FROM part LEFT JOIN f ON f.id = p_partkey WHERE p_size <> 1""",
+    "dialogue_plan": r"""WITH w AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS more FROM conversations)
+SELECT conv_id, 's' || lpad(CAST(turn AS VARCHAR), 4, '0') AS segment_id, CAST(CASE WHEN more IS NULL THEN 600 WHEN nxt <> role THEN 320 WHEN regexp_matches(trim(text), '[.!?]"?$') THEN 180 ELSE 0 END AS BIGINT) AS pause_after_ms FROM w""",
+    "package_checksums": "SELECT DISTINCT 'sources/' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "page_lang_title": """SELECT page_id AS doc_id, 'a11y.lang-title' AS rule, unnest(list_filter([CASE WHEN NOT regexp_matches(html, '<html[^>]*lang=.') THEN 'missing lang attribute' END, CASE WHEN NOT contains(html, '<title') THEN 'missing <title>' END,
+CASE WHEN NOT regexp_matches(html, '<meta[^>]*name=.?viewport') THEN 'missing viewport meta' END], lambda x: x IS NOT NULL)) AS detail FROM pages""",
+    "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "events_as_of": """SELECT e.event_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b ON e.user_id = b.user_id AND e.ts >= b.ts""",
+    "order_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "numbers_and_dates": f"""SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(-?\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(text, '(?i)(-?\\d[\\d,]*(?:\\.\\d+)?)\\s*(%|k\\b|m\\b|bn\\b|b\\b|million|billion|thousand)?', 2))
+WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END AS number,
+CAST(len(list_distinct(regexp_extract_all(text, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b'))) AS BIGINT) AS dates, {_NEG} AS negated, CAST(len(list_filter(string_split({_NORM_WS}, ' '), lambda w: w <> '')) AS BIGINT) AS words FROM documents""",
+}
