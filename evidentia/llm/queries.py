@@ -90,7 +90,21 @@ def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_sampling import sample_segmentations
+
+    out = sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "rank", (F.octet_length("ids") / 2).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "score", "inclusion")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "families", "n_findings", "findings")
+
+
 QUERIES = {
+    "op7_license_scan": op7_license_scan, "op8_piece_sampling": op8_piece_sampling,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op9_chat_format": op9_chat_format,
     "op6_quality_rules": op6_quality_rules,
