@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import components
 from .store import cut, join_groups
-from .words import WINDOW_R, Words, as_bytes, mix, slices
+from .words import WINDOW_R, Words, as_bytes, mix, release, slices
 
 SHINGLE = 5
 #: The sets of longer lists form groups; those of lists up to so long are compared pair by pair.
@@ -113,6 +113,8 @@ def _scan(cells: int):
             own = counts[k : k + SEGMENT]
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((1, k, salt, None, zstandard.compress(own.tobytes(), 1)), types)], names)
+        del counts
+        release()
 
     return run
 
@@ -165,6 +167,8 @@ def _post(sketch: Broadcast, buckets: int):
                     seen, lot, held = set(), [], 0
         if held:
             yield from flush(lot)
+        lot.clear()
+        release()
 
     return run
 
@@ -211,6 +215,8 @@ def _candidates(table: pa.Table) -> pa.Table:
     near = np.flatnonzero(long[1:] & (p["token"][1:] == p["token"][:-1]) & (near | (p["size"][1:] == SATURATED)))
     chained = _distinct([(p["cls"][near], p["cls"][near + 1])])
     a, b = _distinct(pairs)
+    del p
+    release()
     return pa.table({"a": np.r_[a, chained[0]], "b": np.r_[b, chained[1]], "grouped": np.r_[np.zeros(len(a), bool), np.ones(len(chained[0]), bool)]})
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .store import cut
 from .tokens import encoder
-from .words import as_bytes
+from .words import as_bytes, release
 
 WINDOW = 4096
 GRAIN = 32
@@ -178,6 +178,7 @@ def _encode(path: str, end_id: int):
                     yield flush()
         if ids:
             yield flush()
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, Words, as_bytes, slices
+from .words import SPACE, Words, as_bytes, release, slices
 
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 12_000
@@ -227,5 +227,6 @@ def drop_rejected(docs: DataFrame, model: Trees | None, text_col: str = "text")
             for part in slices([len(t or b"") for t in texts]):
                 kept = _judge(shared.value, statistics(texts[part]))[1]
                 yield b[part].filter(pa.array(kept))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_bytes, slices
+from .words import Words, as_bytes, release, slices
 
 WINDOW = 20
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_ID = -(2**63)
 
 
@@ -70,6 +70,7 @@ def _send(window: int, buckets: int):
         c = _chunk_of(table, window, buckets)
         full = np.flatnonzero(np.diff(c.cuts))
         h = c.hashes[c.sent]
+        release()
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "chunk": pa.array(np.full(len(full), table.column("chunk")[0].as_py()), pa.int64()),
@@ -87,6 +88,8 @@ def _answer(table: pa.Table) -> pa.Table:
     again = np.zeros(len(h), bool)
     again[by[1:]] = h[by[1:]] == h[by[:-1]]
     ends = np.cumsum([len(p) for p in parts])
+    del by, h
+    release()
     bits = [np.packbits(again[e - len(p) : e]).tobytes() for p, e in zip(parts, ends)]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
@@ -124,6 +127,7 @@ def _cut(window: int, buckets: int):
             keep = np.r_[0, begin[edge], len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(keep[::2], keep[1::2])))
         take = pa.array(c.order, pa.int64())
+        release()
         return pa.table({
             "id": table.column("id").take(take),
             "text": pa.array(kept, pa.binary()).cast(pa.string()),

@@ -7,6 +7,8 @@ mixed at the end; equal words have equal hashes on every executor.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,10 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
+_name = ctypes.util.find_library("c")
+_libc = ctypes.CDLL(_name) if _name else None
+if _libc is not None and not hasattr(_libc, "malloc_trim"):
+    _libc = None
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +55,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a list of texts (bytes; None counts as empty). ``first[d]:first[d+1]`` are those of text d."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, space: np.ndarray = SPACE):
         parts = [t or b"" for t in texts]
         lengths = np.fromiter((len(t) for t in parts), np.int64, len(parts))
         #: Where each text begins in ``buf``; the texts are held apart by one space.
@@ -57,7 +63,7 @@ class Words:
         self.buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
         if lower:
             self.buf = LOWER[self.buf]
-        inside = ~SPACE[self.buf]
+        inside = ~space[self.buf]
         edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.begin)
@@ -105,6 +111,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give memory that numpy and Arrow no longer use back to the system; Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(sizes: list[int], most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[slice]:
     """Runs of at most ``rows`` rows of about ``most`` bytes; a longer row is a run of its own."""
     begin = total = 0
