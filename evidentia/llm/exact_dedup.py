@@ -12,6 +12,7 @@ their names, are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .dropping import flag_ids
+from .dropping import flag_ids, id_key
 from .store import cut, join_groups
 from .words import as_bytes
 
@@ -65,11 +66,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows whose id isn't in a Bloom filter of the ids in groups of equal texts pass straight through; the
     others meet the ids to drop by a shuffled join. A null id counts as an id of its own.
     """
-    found = cut(exact_dedup(docs.select(id_col, text_col), id_col, text_col).filter("group_size > 1").select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "kept"))
-    ids = found.groupBy("__id").agg(F.max("kept").alias("kept"))
-    flagged = flag_ids(docs, id_col, ids, found.count())
+    found = cut(exact_dedup(docs.select(id_col, text_col), id_col, text_col).filter("group_size > 1").select(id_key(id_col), F.col("text_sha256").alias("__sha"), "kept"))
+    flagged = flag_ids(docs, id_col, found.select("__id"), found.count())
     straight = flagged.filter("not __maybe").drop("__maybe", "__id")
-    kept = flagged.filter("__maybe").drop("__maybe").join(ids, "__id", "left").filter("coalesce(kept, true)")
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    groups = found.groupBy("__id", "__sha").agg(F.max("kept").alias("__kept"))
+    met = flagged.filter("__maybe").drop("__maybe").withColumn("__sha", F.sha2(lower, 256)).join(groups, ["__id", "__sha"], "left").filter("coalesce(__kept, true)")
     # rows with one id and one text were one document twice: one of them stays
-    kept = kept.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates(["__id", "__sha"])
+    kept = met.dropDuplicates(["__id", "__sha"])
     return straight.unionByName(kept.select(*docs.columns))
