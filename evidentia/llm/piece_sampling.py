@@ -10,7 +10,7 @@ The best-first search keeps disjoint regions of segmentations, each with a Gumbe
 perturbed weight of its best member. Taking the best region emits its best member and splits the rest at each
 step: the same beginning, another edge there. Bounds of the parts are drawn below the parent's, so the k
 emitted segmentations are distinct and a sample without replacement. The (k + 1)-th bound gives each one's
-probability of inclusion. All draws are functions of the row's key, the rank and the step.
+log probability of inclusion. All draws are functions of the row's key, the rank and the step.
 
 Defined results: a null or empty text has the empty segmentation alone, with probability 1. A text with fewer
 than k segmentations gives all of them. Rows of one id draw alike. Other columns are not read.
@@ -344,7 +344,7 @@ _lattices: dict[tuple, Lattices] = {}
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = K, tau: float = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, rank, ids, log_prob, score, inclusion) for the k segmentations of each row; ids are little-endian, two or four bytes each."""
+    """(id_col, rank, ids, log_prob, score, log_inclusion) for the k segmentations of each row; ids are little-endian, two or four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (model, tau) not in _lattices:
@@ -356,12 +356,13 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = K, tau: float = T
                 seeds, rows = np.array([i or 0 for i in given[part]], np.int64), []
                 for d, found in sample(lat, seeds, texts[part], k):
                     for rank, (edges, logp, score, rest) in enumerate(found):
-                        inside = 1.0 if not np.isfinite(rest) else float(-np.expm1(-np.exp(logp - rest)))
+                        gap = logp - rest  # the log of 1 - exp(-exp(gap)) is gap itself where that is small
+                        inside = 0.0 if not np.isfinite(rest) else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 3.0)))))
                         rows.append((given[part.start + d], rank, lat.spell(edges).astype(lat.kind).tobytes(), logp, score, inside))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()))], [id_col, "rank", "ids", "log_prob", "score", "inclusion"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()))], [id_col, "rank", "ids", "log_prob", "score", "log_inclusion"])
         release()
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, rank int, ids binary, log_prob double, score double, inclusion double")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, rank int, ids binary, log_prob double, score double, log_inclusion double")
 
 
 def decode(segmentations: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

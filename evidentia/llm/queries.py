@@ -94,7 +94,7 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_sampling import sample_segmentations
 
     out = sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
-    return out.select("doc_id", "rank", (F.octet_length("ids") / 2).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "score", "inclusion")
+    return out.select("doc_id", "rank", (F.octet_length("ids") / 2).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "score", "log_inclusion")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
