@@ -97,9 +97,9 @@ def literal(x: Column) -> Column:
 
 def find_all(text: Column, needle: Column) -> Column:
     """Offsets of all matches, overlapping ones too: the text is cut before each match, and the lengths add up."""
-    cut = F.split(text, F.concat(F.lit("(?="), literal(needle), F.lit(")")))
+    cut = F.transform(F.split(text, F.concat(F.lit("(?="), literal(needle), F.lit(")"))), lambda x, i: F.struct(F.length(x).alias("n"), (i > 0).alias("later")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when(x.startswith(needle), F.array_append(s["found"], s["at"])).otherwise(s["found"]).alias("found"))
+    step = lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.when(x["later"] | text.startswith(needle), F.array_append(s["found"], s["at"])).otherwise(s["found"]).alias("found"))
     return F.when(F.length(needle) > 0, F.aggregate(cut, start, step)["found"]).otherwise(F.array().cast("array<int>"))
 
 
