@@ -280,3 +280,21 @@ def test_html_gate(spark):
     rows = ledger(spark, dict(id="a"), dict(id="b", volatile=True, as_of="2024-01-01"), dict(id="old", status="retracted"), dict(id="c"), dict(id="i", confidence="inferred"), dict(id="h", confidence="contested"))
     got = codes(gates.html(rows, pages.dom_nodes(html), pages.page_texts(html)))
     assert got == [("E-ASOF-MISSING", "b"), ("E-CITE-INFERRED", "i"), ("E-CLAIM-UNKNOWN", "old"), ("E-CLAIM-UNKNOWN", "zz"), ("E-CONTESTED-HIDDEN", "h"), ("E-IMG-EVIDENCE", "g.png"), ("E-LEDGER-ORPHAN", "c"), ("E-MARK-WRONG", "b"), ("E-MARK-WRONG", "i"), ("E-REF-DANGLING", "q")]
+
+
+def test_engine_from_text_to_verdict(spark):
+    from evidentia.engine import Engine
+
+    texts = spark.createDataFrame([("s1", "Hello world. The cat sat.\n")], "source_id string, text string")
+    sources = spark.createDataFrame([("s1", "T", "P", "B", "https://x", "why", "2024", "ready", 1, None)], "id string, title string, publisher string, tier string, locator string, tier_reason string, retrieved_at string, status string, normalizer_version int, normalized_sha256 string")
+    e = Engine(spark, texts=texts, sources=sources, plan=spark.createDataFrame([(0, ["x"])], "ord int, claim_ids array<string>"))
+    assert e.chunk().count() == 1 and e.search(e.index(), "cat").first().source_id == "s1"
+    e.claim_add(ledger(spark, dict(id=None, text="It said hello", evidence=[ev()]), dict(id=None, topic_key="n", kind="number", text="1 m", evidence=[ev(quote="Wrong")]), dict(id=None, topic_key="n", kind="number", text="2 m", evidence=[ev()])))
+    cluster = e.contradictions().first()
+    e.adjudicate(spark.createDataFrame([(cluster.cluster_id, "both_stand", None, list(cluster.claim_ids))], "cluster_id string, outcome string, winner string, claim_ids array<string>"), apply=True)
+    found = [r.code for r in e.verify().collect()]
+    assert sorted(found) == ["E-CONTESTED-HIDDEN", "E-CONTESTED-HIDDEN", "E-PLAN-ORPHAN", "E-QUOTE-MISMATCH"]
+    assert all(e.ledger(f).count() >= 1 for f in ("html", "md", "json", "sources"))
+    assert sum(r.redacted for r in e.package(public=True)[1].collect()) == 0
+    e.register()
+    assert spark.sql("select count(*) n from claims").first().n == 3
