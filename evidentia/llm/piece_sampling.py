@@ -30,8 +30,8 @@ from .words import U64, Words, as_bytes, mix, release, slices
 
 K, TAU = 2, 1.0
 SPACE_MARK = "▁"
-#: Edges that a worker keeps; beyond, it starts anew.
-MOST_EDGES, SLOTS = 4_000_000, 1 << 21
+#: Edges that a worker keeps (20 bytes each); beyond, it starts anew.
+MOST_EDGES, SLOTS = 10_000_000, 1 << 21
 _R = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -58,11 +58,14 @@ class Lattices:
         order = sorted(range(len(plain)), key=lambda j: -self.sp.get_score(plain[j]))
         rank = np.empty(len(plain), np.int64)
         rank[order] = np.arange(len(plain))
-        hashes = mix(np.array([self._hash(p) for p in pieces], U64))
-        by = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[by], np.array(plain)[by], (-tau * np.log(rank + 2.0))[by]
+        #: Every beginning of a piece: a span that isn't one is not looked at longer. ``of``: the piece that it is, or -1.
+        beginnings = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)})
+        place = {p: i for i, p in enumerate(pieces)}
+        self.hashes = mix(np.array([self._hash(p) for p in beginnings], U64))
+        self.of = np.array([place.get(p, -1) for p in beginnings])
+        self.ids, self.weights = np.array(plain), -tau * np.log(rank + 2.0)
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.slots = np.full(1 << 18, -1, np.int32)  # of pieces, by the top bits of their hashes; a later piece goes on to the next free slot
+        self.slots = np.full(1 << 18, -1, np.int32)  # of beginnings, by the top bits of their hashes; a later one goes on to the next free slot
         for j, h in enumerate(self.hashes.tolist()):
             i = h >> 46
             while self.slots[i] >= 0:
@@ -84,12 +87,12 @@ class Lattices:
         self.words = 0
         self.nodes = self.edges = 0
         self.first_node, self.first_edge = np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.int64)
-        #: Of each edge: the probability of it and the node's edges before it, its own and its log, the log of the others' together, the node that it leads to, its piece.
-        self.upto, self.prob, self.logp, self.other = (np.zeros(1 << 18, np.float32) for _ in range(4))
-        self.to, self.piece, self.node_of = (np.zeros(1 << 18, np.int32) for _ in range(3))
+        #: Of each edge: the probability of it and the node's edges before it, the log of its own and of the others' together, the node that it leads to, its piece.
+        self.upto, self.logp, self.other = (np.zeros(MOST_EDGES, np.float32) for _ in range(3))  # untouched pages take no memory
+        self.to, self.piece = (np.zeros(MOST_EDGES, np.int32) for _ in range(2))
 
-    def _piece(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, -1 for none."""
+    def _beginning(self, h: np.ndarray) -> np.ndarray:
+        """The beginning of a piece of each hash, -1 for none."""
         slot = (h >> U64(46)).astype(np.int64)
         out, at = np.full(len(h), -1, np.int64), self.slots[slot]
         open_ = np.flatnonzero(at >= 0)
@@ -126,24 +129,24 @@ class Lattices:
             if not len(alive):
                 break
             rolling[alive] = rolling[alive] * _R + chars[alive + n - 1].astype(U64) + U64(1)
-            at = self._piece(mix(rolling[alive]))
+            at = self._beginning(mix(rolling[alive]))
+            alive, at = alive[at >= 0], self.of[at[at >= 0]]
             hit = at >= 0
+            if n == 1:
+                single = alive[hit]
             start.append(alive[hit])
             stop.append(alive[hit] + n)
             found.append(at[hit])
-            if n == 1:
-                bare = alive[~hit]
+        bare = np.setdiff1d(begin, single)
         start, stop, found = (np.concatenate(x) for x in (start, stop, found))
         width = np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in chars[bare]], np.int64)
         # an edge's piece is an id, or minus the character and one for its bytes
         start, stop = np.r_[start, bare], np.r_[stop, bare + 1]
         piece, weight = np.r_[self.ids[found], -1 - chars[bare]], np.r_[self.weights[found], self.byte_weight * width]
-        by = np.argsort(start, kind="stable")
-        start, stop, piece, weight = start[by], stop[by], piece[by], weight[by]
         left = end_of[start] - start  # characters to the word's end
         beta = np.zeros(len(chars) + 1)
         through = np.zeros(len(start))
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left * (len(chars) + 1) + start)
         cuts = np.searchsorted(left[order], np.arange(1, int(size.max()) + 2))
         for i, j in zip(cuts[:-1], cuts[1:]):
             e = order[i:j]
@@ -153,21 +156,21 @@ class Lattices:
                 head = np.flatnonzero(np.r_[True, start[e][1:] != start[e][:-1]])
                 beta[start[e][head]] = np.logaddexp.reduceat(v, head)
         prob = np.exp(through - beta[start])
-        by = np.lexsort((-prob, start))  # likely edges first, so that a walk looks at few
+        by = np.argsort(start - 0.999 * prob)  # likely edges first, so that a walk looks at few
         start, stop, piece, prob, logp = start[by], stop[by], piece[by], prob[by], (through - beta[start])[by]
         counts = np.bincount(start, minlength=len(chars))
         run = np.cumsum(prob)
         upto = run - np.r_[0.0, run][np.r_[0, np.cumsum(counts)][:-1]][start]
         upto[np.cumsum(counts) - 1] = 2.0
         end = self.edges + len(prob)
-        for name in ("upto", "prob", "logp", "other", "to", "piece", "node_of"):
+        for name in ("upto", "logp", "other", "to", "piece"):
             self._room(name, end)
         own = slice(self.edges, end)
-        self.upto[own], self.prob[own], self.logp[own], self.piece[own] = upto, prob, logp, piece
+        self.upto[own], self.logp[own], self.piece[own] = upto, logp, piece
         with np.errstate(divide="ignore"):
             others = np.log(np.maximum(-np.expm1(logp), 0))
         self.other[own] = np.where(counts[start] == 1, -np.inf, others)
-        self.to[own], self.node_of[own] = np.where(stop == end_of[start], -1, self.nodes + stop), self.nodes + start
+        self.to[own] = np.where(stop == end_of[start], -1, self.nodes + stop)
         self._room("first_edge", self.nodes + len(chars) + 1)
         self._room("first_node", self.words + len(words) + 1)
         self.first_edge[self.nodes + 1 : self.nodes + len(chars) + 1] = self.edges + np.cumsum(counts)
@@ -190,6 +193,9 @@ class Lattices:
             grown[: len(have)] = have
             setattr(self, name, grown)
 
+    def node_of(self, edge: int) -> int:
+        return int(np.searchsorted(self.first_edge[: self.nodes + 1], edge, "right")) - 1
+
     def walk(self, node: np.ndarray, key: np.ndarray, rank: int, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled paths from many nodes to their words' ends: (walk, edge), in order of walks."""
         alive, place, who, edges = np.arange(len(node)), 0, [], []
@@ -247,9 +253,9 @@ class _Text:
         total = float(mass[-1])
         mass = mass[first:] - logp[first:] + lat.other[edge[first:]]
         if banned:
-            node = int(lat.node_of[edge[first]])
+            node = lat.node_of(int(edge[first]))
             rest = np.setdiff1d(np.arange(lat.first_edge[node], lat.first_edge[node + 1]), [*banned, int(edge[first])])
-            left = float(lat.prob[rest].sum(dtype=np.float64))
+            left = float(np.exp(lat.logp[rest].astype(np.float64)).sum())
             mass[0] = mass[0] - lat.other[edge[first]] + np.log(left) if left > 0 else -np.inf
         self.bounds.append(self._below(mass, top))
         self.paths.append((word, edge, first, banned, total))
@@ -279,9 +285,9 @@ class _Text:
     def _other(self, word: np.ndarray, edge: np.ndarray, at: int, without: list[int], rank: int) -> tuple[np.ndarray, np.ndarray]:
         """A sample of the region: the steps before ``at``, another edge there, then on freely."""
         lat, w = self.lat, int(word[at])
-        node = int(lat.node_of[edge[at]])
+        node = lat.node_of(int(edge[at]))
         choice = np.setdiff1d(np.arange(lat.first_edge[node], lat.first_edge[node + 1]), without)
-        p = np.cumsum(lat.prob[choice], dtype=np.float64)
+        p = np.cumsum(np.exp(lat.logp[choice].astype(np.float64)))
         u = float(uniform(np.array([self.key]), rank + (1 << 16), np.array([at]))[0])
         e = int(choice[min(int(np.searchsorted(p, u * p[-1])), len(choice) - 1)])
         tail = np.zeros(0, np.int64)
@@ -317,7 +323,7 @@ def sample(lat: Lattices, ids: np.ndarray, texts: list[bytes | None], k: int) ->
     number = lat.find(h)
     new = np.flatnonzero(number < 0)
     if len(new):
-        if lat.edges > MOST_EDGES or lat.words + len(new) > SLOTS // 2:
+        if lat.edges > 0.95 * MOST_EDGES or lat.words + len(new) > SLOTS // 2:
             lat._clear()
             new = np.arange(len(h))
         keys, at = np.unique(h[new], return_index=True)
