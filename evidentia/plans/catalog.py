@@ -260,7 +260,7 @@ def fetch_refusals(spark, d):
     return t(spark, d, "pages").select("page_id", files.refusal(F.col("url")).alias("why"))
 
 
-EVENT_SCHEMA = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "string", "minLength": 2}}, "additionalProperties": True}
+EVENT_SCHEMA = {"type": "object", "required": ["k", "id"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 49}}, "additionalProperties": False}
 
 
 def props_schema(spark, d):
@@ -388,4 +388,11 @@ CASE WHEN NOT regexp_matches(html, '<meta[^>]*name=.?viewport') THEN 'missing vi
     "numbers_and_dates": f"""SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(-?\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(text, '(?i)(-?\\d[\\d,]*(?:\\.\\d+)?)\\s*(%|k\\b|m\\b|bn\\b|b\\b|million|billion|thousand)?', 2))
 WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END AS number,
 CAST(len(list_distinct(regexp_extract_all(text, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b'))) AS BIGINT) AS dates, {_NEG} AS negated, CAST(len(list_filter(string_split({_NORM_WS}, ' '), lambda w: w <> '')) AS BIGINT) AS words FROM documents""",
+    "props_schema": '''WITH k AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+m AS (SELECT '' AS pointer, concat('missing ', chr(39), 'id', chr(39)) AS message FROM k UNION ALL SELECT '/k', 'beyond the minimum 10' FROM k WHERE k < 10 UNION ALL SELECT '/k', 'beyond the maximum 49' FROM k WHERE k > 49)
+SELECT pointer, message, count(*) AS n FROM m GROUP BY ALL''',
+    "fetch_refusals": "SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN regexp_matches(url, '^https?://[^/?#]*@') THEN 'credentials' END AS why FROM pages",
+    "page_nodes": r'''WITH h AS (SELECT regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '<script>', 'g') AS x FROM pages),
+t AS (SELECT unnest(regexp_extract_all(x, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM h) SELECT lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT '#document', count(*) FROM pages''',
+    "page_images": "SELECT page_id AS doc_id, regexp_extract(html, '<img[^>]*src=.([^ >]*).', 1) AS name FROM pages WHERE contains(html, '<img')",
 }
