@@ -78,7 +78,7 @@ def budget(quotes: DataFrame, distinct_spans: bool = True) -> DataFrame:
     """Which quotes may be printed. ``quotes``: (source_id, start, end, quote, redacted) and ``ord``, the order of printing.
 
     Greedy within a source: a quote that is refused uses up nothing, so a later, shorter one may still fit.
-    The state of the fold is two numbers. With ``distinct_spans`` a span is decided once, at its first place.
+    The fold looks at three quotes of each size at most, whatever a source holds. With ``distinct_spans`` a span is decided once, at its first place.
     """
     quote = F.coalesce("quote", F.lit(""))
     fits = (F.length(quote) > 0) & (F.length(quote) <= MAX_QUOTE_CHARS) & (word_count(quote) <= MAX_QUOTE_WORDS) & ~F.coalesce("redacted", F.lit(False))
@@ -89,6 +89,9 @@ def budget(quotes: DataFrame, distinct_spans: bool = True) -> DataFrame:
     else:
         rows = rows.withColumn("nth", F.lit(1))
     able = rows.filter((F.col("nth") == 1) & F.col("size").isNotNull())
+    # of quotes of one size only the first few can be granted: a later one would fit only if those had, which fills the budget
+    alike = F.row_number().over(Window.partitionBy("source_id", "size").orderBy("ord"))
+    able = able.withColumn("alike", alike).filter(F.col("alike") <= MAX_QUOTES_PER_SOURCE)
     ordered = able.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("in_order"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast(f"array<{dict(rows.dtypes)['ord']}>").alias("granted"))
 

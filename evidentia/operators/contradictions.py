@@ -1,15 +1,15 @@
 """Contradiction detection in linear time, adjudication, and what adjudications still owe.
 
 Comparing all pairs of a topic is quadratic. A claim is in conflict with some other exactly if it is in
-conflict with an extreme of its group, so windows over the topic with minima and maxima find the same claims:
-numbers against the group's least and greatest, dates and negation by whether the group's values differ.
+conflict with an extreme of its group, so minima and maxima by topic, joined back, find the same claims: numbers
+against the group's least and greatest, dates and negation by whether the group's values differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import cluster_id
@@ -18,41 +18,40 @@ from ..functions.text import iso_dates, leading_number, negated
 TOLERANCE, RECENCY_DAYS = 0.05, 180
 
 
-def _topic() -> WindowSpec:
-    return Window.partitionBy("topic_key")
-
-
 def _apart(x: Column, y: Column, tolerance: float) -> Column:
     scale = F.greatest(F.abs(x), F.abs(y))
     return F.coalesce((scale > 0) & (F.abs(x - y) / scale > tolerance), F.lit(False))
 
 
-def numeric(tolerance: float = TOLERANCE) -> Column:
+def _extremes(name: str, x: Column) -> dict[str, Column]:
+    return {f"{name}_lo": F.min(x), f"{name}_hi": F.max(x)}
+
+
+def numeric(tolerance: float = TOLERANCE) -> tuple[dict[str, Column], Column]:
     x = F.when(F.col("kind") == "number", F.col("number"))
-    return _apart(x, F.min(x).over(_topic()), tolerance) | _apart(x, F.max(x).over(_topic()), tolerance)
+    return _extremes("number", x), _apart(x, F.col("number_lo"), tolerance) | _apart(x, F.col("number_hi"), tolerance)
 
 
-def dated() -> Column:
+def dated() -> tuple[dict[str, Column], Column]:
     x = F.when((F.col("kind") == "date") & (F.size("dates") > 0), F.array_join("dates", " "))
-    return F.coalesce(x.isNotNull() & (F.min(x).over(_topic()) != F.max(x).over(_topic())), F.lit(False))
+    return _extremes("dates", x), F.coalesce(x.isNotNull() & (F.col("dates_lo") != F.col("dates_hi")), F.lit(False))
 
 
-def polarity() -> Column:
-    x = F.col("negated")
-    return F.min(x).over(_topic()) != F.max(x).over(_topic())
+def polarity() -> tuple[dict[str, Column], Column]:
+    return _extremes("negated", F.col("negated")), F.col("negated_lo") != F.col("negated_hi")
 
 
-def recency(days: int = RECENCY_DAYS) -> Column:
+def recency(days: int = RECENCY_DAYS) -> tuple[dict[str, Column], Column]:
     x = F.when(F.col("volatile"), F.try_to_date("as_of"))
-    return F.coalesce((F.date_diff(x, F.min(x).over(_topic())) > days) | (F.date_diff(F.max(x).over(_topic()), x) > days), F.lit(False))
+    return _extremes("as_of", x), F.coalesce((F.date_diff(x, F.col("as_of_lo")) > days) | (F.date_diff(F.col("as_of_hi"), x) > days), F.lit(False))
 
 
-#: Detectors by name, each a condition on a claim in its topic. Explicit links are found by a join.
-DETECTORS: dict[str, Callable[[], Column]] = {"numeric": numeric, "date": dated, "polarity": polarity, "recency": recency}
+#: Detectors by name: what to know of a topic, and a condition on a claim that knows it. Explicit links are found by a join.
+DETECTORS: dict[str, Callable[[], tuple[dict[str, Column], Column]]] = {"numeric": numeric, "date": dated, "polarity": polarity, "recency": recency}
 
 
-def register_detector(name: str, condition: Callable[[], Column]) -> None:
-    DETECTORS[name] = condition
+def register_detector(name: str, detector: Callable[[], tuple[dict[str, Column], Column]]) -> None:
+    DETECTORS[name] = detector
 
 
 def _linked(claims: DataFrame) -> DataFrame:
@@ -69,11 +68,15 @@ def flags(claims: DataFrame) -> DataFrame:
         "number": F.col("number") if "number" in claims.columns else leading_number(F.col("text")), "dates": iso_dates(F.col("text")),
         "negated": F.coalesce(negated(F.col("text")), F.lit(False)), "volatile": F.coalesce("volatile", F.lit(False)),
     })
-    out = read.withColumns({f"is_{n}": c() for n, c in DETECTORS.items()} | {"members": F.count("*").over(_topic())})
+    detectors = {n: d() for n, d in DETECTORS.items()}
+    known = {k: v for aggregates, _ in detectors.values() for k, v in aggregates.items()}
+    # extremes are combined before the shuffle, so that a topic with very many claims costs a row a task
+    topics = read.groupBy("topic_key").agg(F.count("*").alias("members"), *(v.alias(k) for k, v in known.items())).filter("members > 1")
+    out = read.join(topics, "topic_key").withColumns({f"is_{n}": condition for n, (_, condition) in detectors.items()}).drop(*known)
     if "contradicts" in claims.columns:
         linked = _linked(active).withColumn("is_explicit", F.lit(True))
-        return out.join(linked, ["topic_key", "id"], "left").withColumn("is_explicit", F.coalesce("is_explicit", F.lit(False))).filter("members > 1")
-    return out.withColumn("is_explicit", F.lit(False)).filter("members > 1")
+        return out.join(linked, ["topic_key", "id"], "left").withColumn("is_explicit", F.coalesce("is_explicit", F.lit(False)))
+    return out.withColumn("is_explicit", F.lit(False))
 
 
 def detect(claims: DataFrame, adjudications: DataFrame | None = None) -> DataFrame:
