@@ -254,7 +254,8 @@ class _Text:
         mass = mass[first:] - logp[first:] + lat.other[edge[first:]]
         if banned:
             node = lat.node_of(int(edge[first]))
-            rest = np.setdiff1d(np.arange(lat.first_edge[node], lat.first_edge[node + 1]), [*banned, int(edge[first])])
+            gone = {*banned, int(edge[first])}
+            rest = [e for e in range(lat.first_edge[node], lat.first_edge[node + 1]) if e not in gone]
             left = float(np.exp(lat.logp[rest].astype(np.float64)).sum())
             mass[0] = mass[0] - lat.other[edge[first]] + np.log(left) if left > 0 else -np.inf
         self.bounds.append(self._below(mass, top))
@@ -286,7 +287,7 @@ class _Text:
         """A sample of the region: the steps before ``at``, another edge there, then on freely."""
         lat, w = self.lat, int(word[at])
         node = lat.node_of(int(edge[at]))
-        choice = np.setdiff1d(np.arange(lat.first_edge[node], lat.first_edge[node + 1]), without)
+        choice = np.array([e for e in range(lat.first_edge[node], lat.first_edge[node + 1]) if e not in without])
         p = np.cumsum(np.exp(lat.logp[choice].astype(np.float64)))
         u = float(uniform(np.array([self.key]), rank + (1 << 16), np.array([at]))[0])
         e = int(choice[min(int(np.searchsorted(p, u * p[-1])), len(choice) - 1)])
@@ -328,8 +329,8 @@ def sample(lat: Lattices, ids: np.ndarray, texts: list[bytes | None], k: int) ->
             new = np.arange(len(h))
         keys, at = np.unique(h[new], return_index=True)
         first = new[at]
-        text = lambda i: (SPACE_MARK if opens[i] else "") + w.buf[start[i] : end[i]].tobytes().decode().replace(" ", SPACE_MARK)
-        lat.learn(keys, [text(i) for i in first])
+        raw, spans = w.buf.tobytes(), zip(opens[first].tolist(), start[first].tolist(), end[first].tolist())
+        lat.learn(keys, [(SPACE_MARK if o else "") + raw[i:j].decode().replace(" ", SPACE_MARK) for o, i, j in spans])
         number = lat.find(h)
     nodes = lat.first_node[number]
     keys = mix(ids.astype(np.int64).view(U64) + U64(0x5851F42D4C957F2D))
