@@ -102,8 +102,8 @@ class Engine:
     def validate(self, records: DataFrame, schema: dict) -> DataFrame:
         return schema_rules.validate(records, schema)
 
-    def verify(self, waivers: dict[str, str] | None = None) -> DataFrame:
-        """Findings of every gate whose tables are there, in one table."""
+    def verify(self, waivers: dict[str, str] | None = None, expect_page: bool = False, expect_dialogue: bool = False) -> DataFrame:
+        """Findings of every gate whose tables are there, in one table; a page or dialogue that is expected and isn't there is a finding."""
         have, rows = self.tables, self["claims"]
         found = [gates.confidence(rows), gates.volatility(rows)]
         if "texts" in have:
@@ -124,6 +124,10 @@ class Engine:
             found.append(self.licenses(strict=True))
         if "lines" in have:
             found.append(gates.dialogue(self["lines"], self["speakers"], rows))
+        if expect_page and "pages" not in have:
+            found.append(gates.missing(self.spark, "html", "E-HTML-MISSING", "page"))
+        if expect_dialogue and "lines" not in have:
+            found.append(gates.missing(self.spark, "podcast", "E-PODCAST-MISSING", "script"))
         return reduce(DataFrame.unionByName, found)
 
     def report(self, findings: DataFrame, revise_count: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import io
 import ipaddress
 import re
 
@@ -92,14 +93,33 @@ def upsert_sources(known: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+@pandas_udf(T.StringType())
+def pdf_text(content: pd.Series) -> pd.Series:
+    """The text of PDFs, where a reader is installed and finds 40 characters and more; else null."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return pd.Series([None] * len(content), dtype=object)
+
+    def read(raw: bytes) -> str | None:
+        try:
+            text = "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages)
+        except Exception:  # a broken file waits for another extractor
+            return None
+        return text if len(text.strip()) >= 40 else None
+
+    return content.map(lambda b: None if b is None else read(bytes(b)))
+
+
 def route(captured: DataFrame) -> DataFrame:
-    """(path, status, text) by media type: text and Markdown as they are, HTML through the reader; PDFs wait for an extractor."""
+    """(path, status, text) by media type: text and Markdown as they are, HTML and PDF through their readers; what has none waits for an extractor."""
     from .pages import html_to_markdown
 
     text = decode(F.col("content"), F.lit(None).cast("string"))
     rows = captured.withColumn("decoded", text).withColumn("md", html_to_markdown(F.col("decoded"), F.lit("")))
+    rows = rows.withColumn("pdf", pdf_text(F.when(F.col("media_type") == "application/pdf", F.col("content"))))
     kind = F.col("media_type")
-    body = F.when(kind == "text/html", F.col("md.md")).when(kind.startswith("text/"), F.col("decoded"))
+    body = F.when(kind == "text/html", F.col("md.md")).when(kind.startswith("text/"), F.col("decoded")).when(kind == "application/pdf", F.col("pdf"))
     return rows.select("path", F.when(body.isNotNull(), "ready").otherwise("needs_extraction").alias("status"), normalize(body).alias("text"))
 
 

@@ -298,3 +298,34 @@ def test_engine_from_text_to_verdict(spark):
     assert sum(r.redacted for r in e.package(public=True)[1].collect()) == 0
     e.register()
     assert spark.sql("select count(*) n from claims").first().n == 3
+
+
+def test_schema_gate_and_extra_checks(spark):
+    import json
+
+    good = dict(id="clm_" + "0" * 12, text="abc", topic_key="a.b", kind="fact", confidence="reported", evidence=[dict(source_id="src_" + "a" * 12, start=0, end=2)], status="active")
+    rows = [("ok", good), ("bad", {**good, "kind": "x", "evidence": [dict(source_id="s", start=-1, end=2, more=1)]}), ("none", {})]
+    df = spark.createDataFrame([(s, json.dumps(r)) for s, r in rows], "subject string, json string")
+    got = [(r.code, r.subject) for r in gates.ordered(gates.schemas(df, "claim")).collect()]
+    assert got == [("E-SCHEMA", "bad")] * 4 + [("E-SCHEMA", "none")] * 7
+    sources = spark.createDataFrame([("s1", "A"), ("s2", "C")], "id string, tier string")
+    thin = gates.thin_topics(ledger(spark, dict(id="a", evidence=[ev("s1"), ev("s2")])), sources).first()
+    assert (thin.subject, thin.detail, thin.severity) == ("t", "1 strong sources", "warn")
+
+
+def test_captures_are_routed(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# T\r\n\r\ntext  \r\n")
+    (tmp_path / "b.html").write_text("<body><p>" + "word " * 60 + "</p></body>")
+    (tmp_path / "c.bin").write_bytes(b"\x00")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF broken")
+    got = {r.path[-4:]: (r.status, r.text) for r in files.route(files.captures(spark, str(tmp_path))).collect()}
+    assert got["a.md"[-4:]] == ("ready", "# T\n\ntext\n") and got["html"][0] == "ready" and got[".bin"] == ("needs_extraction", None) and got[".pdf"][0] == "needs_extraction"
+
+
+def test_css_variables():
+    from evidentia.sources.pages import resolve, style_rules
+
+    props = {"--a": "1px", "--b": "var(--a)", "--c": "var(--b)"}
+    assert [resolve(v, props) for v in ("var(--a)", "var(--b) solid", "var(--c)", "var(--z, 3px)", "var(--z)", "plain")] == ["1px", "1px solid", None, "3px", None, "plain"]
+    css = "/* x */ a{b:c;d:url(x;y)}\n@media print{e{f:g}}\n@keyframes k{from{a:b}}\n@font-face{src:x}"
+    assert [(s, d, at, n) for s, d, at, n in style_rules(css)] == [("a", {"b": "c", "d": "url(x;y)"}, None, 1), ("e", {"f": "g"}, "@media print", 2), ("@keyframes k", {}, "@keyframes k", 3), ("@font-face", {"src": "x"}, None, 4)]
