@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import components
 from .store import cut, join_groups
-from .words import WINDOW_R, Words, as_bytes, mix, release, slices
+from .words import WINDOW_R, Words, mix, release, text_slices
 
 SHINGLE = 5
 #: The sets of longer lists form groups; those of lists up to so long are compared pair by pair.
@@ -96,9 +96,8 @@ def _scan(cells: int):
             counts[at] = np.minimum(counts[at] + times, 0xFFFF)
 
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for part in slices([len(t or b"") for t in texts]):
-                doc, s, n = shingle_sets(texts[part])
+            for part, texts in text_slices(b.column(1)):
+                doc, s, n = shingle_sets(texts)
                 rows = len(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows), types[0]), b.column(0)[part], pa.array(n, types[2]), pa.array(_classes(doc, s, n), types[3]), pa.nulls(rows, types[4])], names)
                 lots.append((s & np.uint64(cells - 1)).astype(np.uint32))
@@ -141,9 +140,8 @@ def _post(sketch: Broadcast, buckets: int):
         grades = sketch.value
         seen, lot, held = set(), [], 0
         for b in batches:
-            texts = as_bytes(b.column(0))
-            for part in slices([len(t or b"") for t in texts]):
-                doc, s, n = shingle_sets(texts[part])
+            for part, texts in text_slices(b.column(0)):
+                doc, s, n = shingle_sets(texts)
                 cls = _classes(doc, s, n)
                 fresh = np.zeros(len(n), bool)
                 for i, c in enumerate(cls.tolist()):
@@ -319,9 +317,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for b in batches:
                 ids = b.column(0).to_numpy()
                 own = np.flatnonzero(bloom.test(packed, bits, bloom.id_words(ids))) if len(ids) else []
-                texts = as_bytes(b.column(1).take(pa.array(own, pa.int64())))
-                for part in slices([len(t or b"") for t in texts]):
-                    doc, s, n = shingle_sets(texts[part])
+                for part, texts in text_slices(b.column(1).take(pa.array(own, pa.int64()))):
+                    doc, s, n = shingle_sets(texts)
                     first, items = np.r_[0, np.cumsum(n)], s if exact else (mix(s) >> np.uint64(48)).astype("<u2")
                     blobs = [items[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(_classes(doc, s, n)), pa.array(ids[own[part]]), pa.array(blobs, pa.binary())], ["cls", "id", "items"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_templates import FAMILIES, NEAR_MISSES
-from .words import Words, as_bytes, mix, release, slices
+from .words import Words, mix, release, text_slices
 
 FEATURE_BITS, GRAMS = 18, 3
 COPIES, ROUNDS, STEP, DECAY = 40, 150, 2.0, 2e-4
@@ -182,9 +182,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for part in slices([len(t or b"") for t in texts]):
-                found = _scan(texts[part], model.value)
+            for part, texts in text_slices(b.column(1)):
+                found = _scan(texts, model.value)
                 families = [sorted({f["family"] for f in x if f["confirmed"]}) for x in found]
                 kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_()), ("text", pa.string())]))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(families, pa.list_(pa.string())), pa.array([len(x) for x in found], pa.int64()), pa.array(found, kind)], [id_col, "families", "n_findings", "findings"])

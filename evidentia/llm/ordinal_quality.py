@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, Words, as_bytes, mix, slices
+from .words import SPACE, Words, mix, text_slices
 
 TRAIN_ROWS = 16_000
 FEATURE_BITS = 20
@@ -140,9 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(2))
-            for part in slices([len(t or b"") for t in texts]):
-                d, f = features(texts[part])
+            for part, texts in text_slices(b.column(2)):
+                d, f = features(texts)
                 cuts = np.searchsorted(d, np.arange(part.stop - part.start + 1))
                 packed = [f[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(packed, pa.binary())], ["id", "grade", "features"])
@@ -162,13 +161,12 @@ def ordinal_quality(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for part in slices([len(t or b"") for t in texts]):
+            for part, texts in text_slices(b.column(1)):
                 rows = part.stop - part.start
                 if m is None:
                     expected, top = np.full(rows, 2.0), np.ones(rows)
                 else:
-                    d, f = features(texts[part])
+                    d, f = features(texts)
                     tails = m.tails(np.bincount(d, m.weights[f], rows))
                     expected, top = tails.sum(axis=1), tails[:, -1]
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(expected), pa.array(top), pa.array(top >= least)], [id_col, "expected_grade", "p_top", "kept"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, Words, as_bytes, release, slices
+from .words import SPACE, Words, release, text_slices
 
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 12_000
@@ -183,9 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for part in slices([len(t or b"") for t in texts]):
-                x = matrix(statistics(texts[part]))
+            for part, texts in text_slices(b.column(1)):
+                x = matrix(statistics(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], *(pa.array(c) for c in x.T)], ["good", *FEATURES])
 
     # the sample is bounded by ``rows``, so it is the side to broadcast
@@ -207,9 +206,8 @@ def quality_rules(docs: DataFrame, model: Trees | None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for part in slices([len(t or b"") for t in texts]):
-                s = statistics(texts[part])
+            for part, texts in text_slices(b.column(1)):
+                s = statistics(texts)
                 score, kept = _judge(shared.value, s)
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], *(pa.array(s[c]) for c in _STATS), pa.array(score), pa.array(kept)], [id_col, *_STATS, "score", "kept"])
 
@@ -223,9 +221,8 @@ def drop_rejected(docs: DataFrame, model: Trees | None, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(at))
-            for part in slices([len(t or b"") for t in texts]):
-                kept = _judge(shared.value, statistics(texts[part]))[1]
+            for part, texts in text_slices(b.column(at)):
+                kept = _judge(shared.value, statistics(texts))[1]
                 yield b[part].filter(pa.array(kept))
         release()
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -128,3 +129,10 @@ def slices(sizes: list[int], most: int = SLICE_BYTES, rows: int = 4096) -> Itera
         total += size
     if begin < len(sizes):
         yield slice(begin, len(sizes))
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """A column's texts in runs of about SLICE_BYTES, with the rows that they are of; only one run is copied at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for part in slices(sizes):
+        yield part, as_bytes(column.slice(part.start, part.stop - part.start))
