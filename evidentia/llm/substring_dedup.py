@@ -29,6 +29,8 @@ WINDOW = 20
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 LEAST_ID = -(2**63)
+#: Ranges of ids by quantiles; more chunks are even parts of these.
+MOST_RANGES = 4096
 
 
 class _Chunk:
@@ -144,12 +146,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text, n_words, n_removed, spans, rest): texts without repeated windows, the removed word intervals, and the columns ``carry`` as a struct."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks, buckets = max(16, -(-size // CHUNK_BYTES)), max(16, -(-size // BUCKET_BYTES))
-    at = [(i + 1) / chunks for i in range(chunks - 1)]
-    bounds = np.array(docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, max(10_000, 20 * chunks))).first()[0] or [0], np.int64)
+    ranges = min(chunks, MOST_RANGES)
+    parts, at = -(-chunks // ranges), [(i + 1) / ranges for i in range(ranges - 1)]
+    key = F.col(id_col).cast("long")
+    found = docs.agg(F.percentile_approx(key, at, max(10_000, 20 * ranges)), F.min(key), F.max(key)).first()
+    bounds = np.array(found[0] or [0], np.int64)
+    low, high = np.r_[found[1] or 0, bounds[: ranges - 1]].astype(np.float64), np.r_[bounds[: ranges - 1], found[2] or 0].astype(np.float64)
 
     @F.pandas_udf("long")
     def chunk(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, i.fillna(LEAST_ID).astype("int64").to_numpy(), "left"))
+        """The range of an id, and its even part of the range, both growing with the id."""
+        own = i.fillna(LEAST_ID).astype("int64").to_numpy()
+        r = np.searchsorted(bounds[: ranges - 1], own, "left")
+        part = np.floor((own - low[r]) / np.maximum(high[r] - low[r], 1) * parts)
+        return pd.Series(r * parts + np.clip(part, 0, parts - 1).astype(np.int64))
 
     rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest")).withColumn("chunk", chunk("id"))

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
+import pytest
 
 from evidentia.llm import jaccard_join as J
 from evidentia.llm.exact_dedup import drop_copies, exact_dedup
@@ -81,7 +81,9 @@ def brute_substring(rows, window=20):
     return out
 
 
-def test_substring_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("ranges", [3, 4096])
+def test_substring_dedup(spark, monkeypatch, ranges):
+    monkeypatch.setattr("evidentia.llm.substring_dedup.MOST_RANGES", ranges)
     monkeypatch.setattr("evidentia.llm.substring_dedup.CHUNK_BYTES", 300)
     monkeypatch.setattr("evidentia.llm.substring_dedup.BUCKET_BYTES", 500)
     rows = corpus()
