@@ -24,6 +24,7 @@ SEGMENT_BITS = 1 << 20
 BITS_PER_KEY = 16
 #: Partial filters that one task merges.
 FAN_IN = 256
+KEYS_A_TASK = 100_000
 
 
 def bits_for(n: int) -> int:
@@ -48,9 +49,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint8)
 
 
-def repeated(digests: DataFrame, column: str, n: int) -> tuple[Broadcast, int]:
-    """The positions counted twice and more, as a broadcast of packed bits, and the number of positions."""
+def repeated(digests: DataFrame, column: str, n: int, least: int = 2) -> tuple[Broadcast, int]:
+    """The positions counted at least once or twice, as a broadcast of packed bits, and the number of positions."""
     bits = bits_for(n)
+    digests = digests.select(column).coalesce(max(1, -(-n // KEYS_A_TASK)))  # few keys don't need many partial filters
+    tasks = digests.rdd.getNumPartitions()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [positions(words_of(b.column(0)), bits) for b in batches if b.num_rows]
@@ -81,12 +84,14 @@ def repeated(digests: DataFrame, column: str, n: int) -> tuple[Broadcast, int]:
         return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "salt": [0], "one": [zstandard.compress(one.tobytes(), 1)], "two": [zstandard.compress(two.tobytes(), 1)]})
 
     schema = "segment int, salt int, one binary, two binary"
-    parts = digests.select(column).mapInArrow(count, schema)
-    merged = parts.groupBy("segment", "salt").applyInPandas(merge, schema).groupBy("segment").applyInPandas(merge, schema)
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "two").toLocalIterator():
+    merged = digests.mapInArrow(count, schema)
+    if tasks > FAN_IN:
+        merged = merged.groupBy("segment", "salt").applyInPandas(merge, schema)
+    merged = merged.groupBy("segment").applyInPandas(merge, schema)
+    out, kept = np.zeros(bits // 8, np.uint8), "two" if least > 1 else "one"
+    for row in merged.select("segment", kept).collect():  # at most CAP_BITS / 8 bytes
         at = row["segment"] * SEGMENT_BITS // 8
-        out[at : at + SEGMENT_BITS // 8] = _unpack(bytes(row["two"]))
+        out[at : at + SEGMENT_BITS // 8] = _unpack(bytes(row[kept]))
     return digests.sparkSession.sparkContext.broadcast(out), bits
 
 
@@ -102,5 +107,4 @@ def id_words(ids: np.ndarray) -> np.ndarray:
 
 def members(keys: DataFrame, column: str, n: int) -> tuple[Broadcast, int]:
     """A plain filter (positions counted once and more) of 64-bit ids."""
-    doubled = keys.select(F.unhex(F.sha2(F.col(column).cast("string"), 256)).alias("key"))
-    return repeated(doubled.union(doubled), "key", n)
+    return repeated(keys.select(F.unhex(F.sha2(F.col(column).cast("string"), 256)).alias("key")), "key", n, 1)

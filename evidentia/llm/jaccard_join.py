@@ -298,7 +298,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = "id long, n long, counts binary"
     grades = np.zeros(cells, np.uint8)
     usual = max(1.0, shingles / cells)
-    for r in parts.groupBy("id", "n").applyInPandas(_merge, kind).groupBy("id").applyInPandas(_merge, kind).toLocalIterator():
+    if scan.rdd.getNumPartitions() > bloom.FAN_IN:
+        parts = parts.groupBy("id", "n").applyInPandas(_merge, kind)
+    for r in parts.groupBy("id").applyInPandas(_merge, kind).collect():  # at most two bytes a cell, packed
         counts = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint16)
         grades[r["id"] : r["id"] + SEGMENT] = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8)
     sketch = spark.sparkContext.broadcast(grades)
