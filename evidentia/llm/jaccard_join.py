@@ -123,6 +123,17 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [0], "counts": [zstandard.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)]})
 
 
+def _grade(usual: float):
+    """Grades of frequency from all partial counts of a segment; most are 0, so they pack well."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(zstandard.decompress(_merge(pdf)["counts"].iloc[0]), np.uint16)
+        grades = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "grades": [zstandard.compress(grades.tobytes(), 1)]})
+
+    return run
+
+
 def _post(sketch: Broadcast, buckets: int):
     """Postings of the prefixes, packed for the bucket of each shingle; a class is posted once a lot."""
 
@@ -300,9 +311,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usual = max(1.0, shingles / cells)
     if scan.rdd.getNumPartitions() > bloom.FAN_IN:
         parts = parts.groupBy("id", "n").applyInPandas(_merge, kind)
-    for r in parts.groupBy("id").applyInPandas(_merge, kind).collect():  # at most two bytes a cell, packed
-        counts = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint16)
-        grades[r["id"] : r["id"] + SEGMENT] = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8)
+    for r in parts.groupBy("id").applyInPandas(_grade(usual), "id long, grades binary").collect():  # at most a byte a cell, packed
+        grades[r["id"] : r["id"] + SEGMENT] = np.frombuffer(zstandard.decompress(bytes(r["grades"])), np.uint8)
     sketch = spark.sparkContext.broadcast(grades)
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
