@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.dropping import without
+from evidentia.llm.dropping import drop_linked
 from evidentia.llm.exact_dedup import drop_copies
 from evidentia.llm.jaccard_join import jaccard_components
 from evidentia.llm.packing import pack
@@ -33,9 +33,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard_components(docs)
-    return without(docs, found.filter("not doc_id <=> component_id").select("doc_id"))
+    """Of each group of linked rows the one with the smallest id stays.
+
+    A row is a document of its own, told apart by (id, text): a null id is larger than any other and stands for
+    no other row, and rows of a repeated id are judged by their own texts. Texts without words link with nothing.
+    """
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = jaccard_components(rows, "__row").filter("n_shingles > 0").select("__row", "component_id")
+    return drop_linked(rows, found, "__row")
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

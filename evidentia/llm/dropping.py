@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .store import cut
+from .store import cut, join_groups
 
 
 def id_key(column: str):
@@ -32,9 +32,22 @@ def flag_ids(docs: DataFrame, id_col: str, ids: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("__id", id_key(id_col)).withColumn("__maybe", maybe("__id"))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped``; only rows that the filter can't rule out are shuffled."""
-    ids = cut(dropped.select(id_key(id_col)).distinct())
-    flagged = flag_ids(docs, id_col, ids, ids.count())
-    met = flagged.filter("__maybe").drop("__maybe").join(ids, "__id", "left_anti")
-    return flagged.filter("not __maybe").select(*docs.columns).unionByName(met.select(*docs.columns))
+def drop_linked(docs: DataFrame, found: DataFrame, row: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without ``row``, and of each component in ``found(row, component_id)`` only the first row.
+
+    ``row`` tells rows apart, whatever their ids. First is the smallest id, a null id being larger than any
+    other, then the smallest ``row``; of rows with the same ``row`` in a component one stays. Rows that are not
+    in ``found`` stay. Only rows that the filter can't rule out are shuffled with their texts.
+    """
+    ids = docs.groupBy(row).agg(F.first(id_col).alias("__first_id"), F.count("*").alias("__copies"))
+    nodes = cut(found.groupBy(row).agg(F.first("component_id").alias("__component")).join(ids, row))
+    order = F.struct(F.col("__first_id").isNull(), F.col("__first_id"), F.col(row))
+    groups = nodes.groupBy("__component").agg(F.min(order)[row].alias("__least"), F.sum("__copies").alias("__rows"), F.count("*").alias("__nodes")).filter("__rows > 1")
+    linked = join_groups(nodes, groups, "__component", "__nodes", nodes.count())
+    decided = cut(linked.select(id_key(row), (F.col(row) == F.col("__least")).alias("__kept")))
+    flagged = flag_ids(docs, row, decided.select("__id"), decided.count())
+    met = flagged.filter("__maybe").join(decided, "__id", "left")
+    columns = [c for c in docs.columns if c != row]
+    first = met.filter("__kept").dropDuplicates(["__id"])
+    free = flagged.filter("not __maybe").select(*columns).unionByName(met.filter("__kept is null").select(*columns))
+    return free.unionByName(first.select(*columns))

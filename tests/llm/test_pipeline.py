@@ -48,3 +48,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_pieces(list(got.items()), out["packing"].collect(), plain, 2)
     final = corpus_pipeline.run(spark, folder)
     assert final.count() == out["packing"].count() and np.sum([r.length for r in final.collect()]) == np.sum([r.length for r in out["packing"].collect()])
+
+
+def test_near_stage_judges_rows_and_not_ids(spark):
+    say = lambda k: [f"w{k}x{i}" for i in range(60)]
+    full, short = (lambda k: " ".join(say(k))), (lambda k: " ".join(say(k)[:-3]))
+    rows = [
+        (7, full(0)), (None, short(0)),  # a null id beside a document with an id
+        (None, full(1)), (None, "alone"), (None, None), (None, ""),  # linked with nothing
+        (None, full(2)), (None, short(2)),  # near copies without ids
+        (3, full(3)), (5, short(3)), (5, full(4)),  # a repeated id, one text of it linked
+        (9, full(5)), (None, short(5)),  # another null id, not to tie 7 and 9
+        (11, full(6)), (11, short(6)), (12, full(7)), (12, full(7)), (13, None), (13, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sum(t in (full(2), short(2)) for _, t in got) == 1 and sum(t in (full(6), short(6)) for _, t in got) == 1
+    got = [r for r in got if r[1] not in (full(2), short(2), full(6), short(6))]
+    want = [(7, full(0)), (None, full(1)), (None, "alone"), (None, None), (None, ""), (3, full(3)), (5, full(4)), (9, full(5)), (12, full(7)), (13, None), (13, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near(spark, df.limit(0), "").count() == 0
