@@ -147,7 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(packed, pa.binary())], ["id", "grade", "features"])
 
     # the sample is bounded by ``rows``, so it is the side to broadcast
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "grade", "text")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # of the rows of a repeated id the one with the smallest text hash, so ``rows`` bounds them too
+    joined = joined.groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     got = sorted(joined.mapInArrow(run, "id long, grade int, features binary").toLocalIterator(), key=lambda r: (r["id"], r["grade"], bytes(r["features"])))
     lists = [np.frombuffer(bytes(r["features"]), "<u4") for r in got]
     doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])

@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], *(pa.array(c) for c in x.T)], ["good", *FEATURES])
 
     # the sample is bounded by ``rows``, so it is the side to broadcast
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("good", "text")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # of the rows of a repeated id the one with the smallest text hash, so ``rows`` bounds them too
+    joined = joined.groupBy("id", "good").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("good", "text")
     got = joined.mapInArrow(run, "good boolean, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     order = np.lexsort(got.to_numpy(np.float64).T)  # the same trees, however the rows arrive
     got = got.iloc[order]

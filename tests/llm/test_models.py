@@ -176,3 +176,15 @@ def test_piece_sampling_gives_all_of_few_and_round_trips(spark):
     again = {(r.doc_id, r.rank): bytes(r.ids) for r in piece_sampling.sample_segmentations(df.repartition(3), path, k=4).collect()}
     assert again == {(r.doc_id, r.rank): bytes(r.ids) for r in rows}
     assert piece_sampling.sample_segmentations(df.limit(0), path).count() == 0
+
+
+def test_training_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+    n, fit_trees, fit_grades = [], quality_rules.fit, ordinal_quality.fit
+    monkeypatch.setattr(quality_rules, "fit", lambda x, good: n.append(len(good)) or fit_trees(x, good))
+    monkeypatch.setattr(ordinal_quality, "fit", lambda doc, f, grade: n.append(len(grade)) or fit_grades(doc, f, grade))
+    docs = spark.createDataFrame([(i if i < 20 else 7, f"text number {i} of many") for i in range(60)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    quality_rules.train(docs, labels)
+    ordinal_quality.train(docs, labels)
+    quality_rules.train(docs, labels, rows=5)
+    assert n == [20, 20, 5]
