@@ -1,32 +1,41 @@
 """N-gram Jaccard self-join with set-relation skipping: connected components at a similarity of 0.75.
 
 A document's set is its distinct 5-word shingles. Equal sets form a class, so copies are never compared.
-The join is exact prefix filtering: in one global order of shingles (rare ones first, by grades of their
-counts in a sketch of bounded size; the order bears on the work alone) two sets that link share a shingle among the first |x| - ceil(0.75 |x|) + 1 of each.
-
-Set relations skip work at two levels. Index level: a shingle's list is sorted by set size, and a position
-in the list bounds the overlap still possible, so blocks of partners that are too small, too large or too
-late are skipped. Answer level: sets that share long lists form a group, which meets in one place (or in
-blocks of it of bounded size). There the most central sets are compared with all others; a set found similar
-to one takes over its answer and is not looked up itself, and at last only the sets outside the largest
-component are. No pair of a group is ever a row. Pairs from short lists are compared one by one, first on 16
-bits a shingle, which never counts too little, then exactly; pairs inside a group are answered already.
+Prefix filtering is exact: in one global order of shingles (rare ones first, by grades of their counts in a
+sketch of bounded size; the order bears on the work alone) two sets that link share a shingle among the first
+|x| - ceil(0.75 |x|) + 1 of each.
+
+Index level: the position of a shingle in a set of n bounds the size of a partner. With u shingles from there on,
+a partner has at most ``cap`` = floor((7 u - 3 n) / 3), and two sets of one list may link only if each one's size is
+within the other's cap. A list sorted by size is cut where a size exceeds all caps before it, so blocks of
+postings are skipped without being read against each other; templates too small a share of their sets to link
+them are cut into single postings.
+
+Answer level: blocks with few possible pairs give those pairs. In a long, dense block no pairs are formed; it is
+worked off in rounds. In a round some centres (1, then 16, 256, ...) are compared with the block's sets, which all
+then know the centre's answer. Sets that are connected by now are never compared again, and a block whose sets
+are all connected is done; so a block of copies of one text takes a round or two. From the second round on the answers of a pair are
+derived, where they decide, from the overlaps of both with the block's first centre (its anchor): at most
+min(s, t) + min(|x| - s, |y| - t) shingles and at least s + t - |anchor| are shared. Only pairs that these bounds
+leave open are compared. All rounds are joins of rows: no task holds a block, and blocks meet no blocks. Dense
+blocks of sets that are neither connected nor told apart by the bounds cost comparisons of all their pairs.
 
 Defined results: A-Z are lower-cased; a text of 1 to 4 words is one shingle; null and empty texts have an
 empty set and link with nothing, so they are their own component. A null id counts as larger than any other.
-Rows of the same id are one document for the component. Other columns are not read.
+Rows are judged by their own texts: a repeated id doesn't connect its rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -35,21 +44,24 @@ from .store import cut, join_groups
 from .words import WINDOW_R, Words, mix, release, text_slices
 
 SHINGLE = 5
-#: The sets of longer lists form groups; those of lists up to so long are compared pair by pair.
-SHORT_LIST = 16
-#: Bytes of sets in a block of a group; a task has two blocks at most.
-GROUP_BYTES = 12 << 20
+#: Blocks with up to so many possible partners a posting are compared pair by pair.
+FEW_PARTNERS = 8
+#: Centres of a block by round, the last number again and again.
+CENTRES = (1, 16, 256, 1024)
+#: Pairs of one centre that are compared in one place.
+PAIRS_AT_ONCE = 200
 #: Shingles counted by one cell of the sketch on average, and cells at most (a byte each is broadcast).
-CELL_LOAD, MOST_CELLS, SEGMENT = 8, 1 << 27, 1 << 18
+CELL_LOAD, MOST_CELLS, SEGMENT = 8, 1 << 26, 1 << 18
+#: Postings of a shingle whose cell counts so many, and so many times the usual, don't meet in a bucket but are dealt by set.
+HOT_LIST, HOT_TIMES = 1 << 15, 16
 COUNT_AT_ONCE = 4 << 20
 BUCKET_BYTES = 12 << 20
-SATURATED = 0xFFFF
 #: Stands for a null id.
 NO_ID = 2**63 - 1
 TOKEN_BITS = np.uint64(52)
 #: Grades of frequency by which shingles are ordered, the rare ones first.
-GRADES = 8
-POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("size", "<u2"), ("at", "<u2")])
+GRADES, HOT = 8, 0x80
+POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("cap", "<i4")])
 
 
 def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,37 +123,49 @@ def _scan(cells: int):
         for k in range(0, cells, SEGMENT):
             own = counts[k : k + SEGMENT]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((1, k, salt, None, zstandard.compress(own.tobytes(), 1)), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((1, k, salt, None, zstandard.compress(own.astype("<u4").tobytes(), 1)), types)], names)
         del counts
         release()
 
     return run
 
 
+def _total(parts: pd.Series) -> np.ndarray:
+    total = np.zeros(SEGMENT, np.int64)
+    for x in parts:
+        own = np.frombuffer(zstandard.decompress(x), "<u4")
+        total[: len(own)] += own
+    return total
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zstandard.decompress(x), np.uint16).astype(np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [0], "counts": [zstandard.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)]})
+    total = np.minimum(_total(pdf["counts"]), 0xFFFFFFFF).astype("<u4")
+    return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [0], "counts": [zstandard.compress(total.tobytes(), 1)]})
 
 
 def _grade(usual: float):
-    """Grades of frequency from all partial counts of a segment; most are 0, so they pack well."""
+    """Grades of frequency from all partial counts of a segment, with the mark of hot cells; most are 0, so they pack well."""
+    hot = max(HOT_LIST, HOT_TIMES * usual)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(zstandard.decompress(_merge(pdf)["counts"].iloc[0]), np.uint16)
-        grades = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8)
+        counts = _total(pdf["counts"])
+        grades = np.clip(np.log2(np.maximum(counts, 1) / usual), 0, GRADES - 1).astype(np.uint8) | np.where(counts >= hot, HOT, 0).astype(np.uint8)
         return pd.DataFrame({"id": [pdf["id"].iloc[0]], "grades": [zstandard.compress(grades.tobytes(), 1)]})
 
     return run
 
 
 def _post(sketch: Broadcast, buckets: int):
-    """Postings of the prefixes, packed for the bucket of each shingle; a class is posted once a lot."""
+    """Postings of the prefixes, packed for the bucket of each shingle; a class is posted once a lot.
 
-    def flush(lot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        p = np.concatenate(lot)
-        bucket = mix(p["token"]) % np.uint64(buckets)
+    Those of hot shingles go to buckets of their own, from ``buckets`` on, by their class.
+    """
+
+    def flush(lot: list[np.ndarray], warm: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        p, hot = np.concatenate(lot), np.concatenate(warm)
+        bucket = np.where(hot, mix(p["cls"].view(np.uint64)), mix(p["token"])) % np.uint64(buckets) + hot * np.uint64(buckets)
         by = np.argsort(bucket, kind="stable")
-        p, cuts = p[by], np.searchsorted(bucket[by], np.arange(buckets + 1).astype(np.uint64))
+        p, cuts = p[by], np.searchsorted(bucket[by], np.arange(2 * buckets + 1).astype(np.uint64))
         full = np.flatnonzero(np.diff(cuts))
         for i in range(0, len(full), 256):
             some = full[i : i + 256]
@@ -149,7 +173,7 @@ def _post(sketch: Broadcast, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades = sketch.value
-        seen, lot, held = set(), [], 0
+        seen, lot, warm, held = set(), [], [], 0
         for b in batches:
             for part, texts in text_slices(b.column(0)):
                 doc, s, n = shingle_sets(texts)
@@ -160,35 +184,29 @@ def _post(sketch: Broadcast, buckets: int):
                         seen.add(c)
                         fresh[i] = True
                 grade = grades[(s & np.uint64(len(grades) - 1)).astype(np.int64)]
-                by = np.argsort(doc.astype(np.uint16) * np.uint16(GRADES) + grade.astype(np.uint16), kind="stable")
-                doc, s = doc[by], s[by]
+                by = np.argsort(doc.astype(np.uint16) * np.uint16(GRADES) + (grade & np.uint8(GRADES - 1)).astype(np.uint16), kind="stable")
+                doc, s, hot = doc[by], s[by], grade[by] >= HOT
                 first = np.r_[0, np.cumsum(n)]
                 at = np.arange(len(s)) - first[doc]
                 size = n[doc]
                 keep = fresh[doc] & (at < size - (3 * size + 3) // 4 + 1)
                 p = np.zeros(int(keep.sum()), POSTING)
                 p["token"], p["cls"] = s[keep], cls[doc[keep]]
-                p["size"], p["at"] = np.minimum(size[keep], SATURATED), np.minimum(at[keep], SATURATED)
+                p["size"], p["cap"] = size[keep], (7 * (size[keep] - at[keep]) - 3 * size[keep]) // 3
                 lot.append(p)
+                warm.append(hot[keep])
                 held += len(p)
                 if held >= COUNT_AT_ONCE // 4:
-                    yield from flush(lot)
-                    seen, lot, held = set(), [], 0
+                    yield from flush(lot, warm)
+                    seen, lot, warm, held = set(), [], [], 0
         if held:
-            yield from flush(lot)
+            yield from flush(lot, warm)
         lot.clear()
         release()
 
     return run
 
 
-def _possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """May these postings of one shingle, taken as the first that the sets share, belong to linked sets?"""
-    nx, ny = x["size"].astype(np.int64), y["size"].astype(np.int64)
-    most = 1 + np.minimum(nx - x["at"] - 1, ny - y["at"] - 1)
-    return (7 * most >= 3 * (nx + ny)) | (nx == SATURATED) | (ny == SATURATED)
-
-
 def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -201,79 +219,133 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return a[new], b[new]
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Rows (a, b, grouped): two classes to compare, or two neighbours in a long list."""
-    p = np.concatenate([np.frombuffer(x, POSTING) for x in table.column("postings").to_pylist()])
-    p = p[np.lexsort((p["cls"], p["token"]))]
-    new = np.ones(len(p), bool)
-    new[1:] = (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])
-    p = p[new]
-    p = p[np.lexsort((p["at"], p["size"], p["token"]))]
-    begin = np.flatnonzero(np.r_[True, p["token"][1:] != p["token"][:-1]])
-    length = np.diff(np.r_[begin, len(p)])
-    pairs = []
-    for n in range(2, SHORT_LIST + 1):
-        i, j = np.triu_indices(n, 1)
-        own = begin[length == n]
-        for some in np.array_split(own, max(1, len(own) * len(i) // 1_000_000)):
-            x, y = p[(some[:, None] + i).ravel()], p[(some[:, None] + j).ravel()]
-            ok = _possible(x, y)
-            pairs.append(_distinct([(x["cls"][ok], y["cls"][ok])]))
-    long = np.repeat(length > SHORT_LIST, length)
-    near = p["size"][:-1].astype(np.int64) * 4 >= p["size"][1:].astype(np.int64) * 3
-    near = np.flatnonzero(long[1:] & (p["token"][1:] == p["token"][:-1]) & (near | (p["size"][1:] == SATURATED)))
-    chained = _distinct([(p["cls"][near], p["cls"][near + 1])])
-    a, b = _distinct(pairs)
-    del p
-    release()
-    return pa.table({"a": np.r_[a, chained[0]], "b": np.r_[b, chained[1]], "grouped": np.r_[np.zeros(len(a), bool), np.ones(len(chained[0]), bool)]})
-
-
-def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets that connect all that are connected by links."""
-    size = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    by = np.argsort(token, kind="stable")
-    lists, begin = owner[by], np.r_[0, np.cumsum(times)]
-    first = np.r_[0, np.cumsum(size)]
-    component, links = np.arange(len(sets)), []
-
-    def look_up(x: int) -> np.ndarray:
-        """Links x with all sets similar to it, skipping lists that only it is in, and gives them."""
-        own = token[first[x] : first[x + 1]]
-        own = own[times[own] > 1]
-        n = times[own]
-        at = np.repeat(begin[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        same = np.bincount(lists[at], minlength=len(sets))
-        similar = np.flatnonzero(7 * same >= 3 * (size + size[x]))
-        similar = similar[similar != x]
-        for y in similar[component[similar] != component[x]]:
-            if component[y] != component[x]:
-                links.append((x, int(y)))
-                component[component == component[y]] = component[x]
-        return similar
-
-    central = np.bincount(owner, times[token] - 1, len(sets)) / np.maximum(size, 1)
-    looked, answered = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
-    for x in np.argsort(-central, kind="stable").tolist():
-        if not answered[x] and central[x] > 0:
-            looked[x] = answered[x] = True
-            answered[look_up(x)] = True
-    while True:  # what is outside the largest component has not given its own answer yet
-        values, n = np.unique(component, return_counts=True)
-        rest = np.flatnonzero((component != values[np.argmax(n)]) & ~looked & (central > 0))
-        if not len(rest):
-            return links
-        looked[rest[0]] = True
-        look_up(int(rest[0]))
+def blocks(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first posting of each block, each posting's block, and how many that follow it its cap admits; p is sorted by (token, size)."""
+    of = np.cumsum(np.r_[0, p["token"][1:] != p["token"][:-1]]) << 33
+    size, cap = of + p["size"], of + np.maximum(p["cap"], 0)
+    reach = np.maximum.accumulate(cap)
+    begin = np.flatnonzero(np.r_[True, size[1:] > reach[:-1]])
+    after = np.maximum(np.searchsorted(size, cap, "right") - np.arange(len(p)) - 1, 0)
+    return begin, np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(p)])), after
+
+
+FOUND = "a long, b long, token long, block int, size int, cap int"
+
+
+def _candidates(hot_from: int):
+    """Rows (a, b) of classes to compare, and rows (a, token, block, size, cap) of postings in long blocks; ``block`` is the least size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = np.concatenate([np.frombuffer(x, POSTING) for x in table.column("postings").to_pylist()])
+        p = p[np.lexsort((p["cls"], p["token"]))]
+        new = np.ones(len(p), bool)
+        new[1:] = (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1])
+        p = p[new]
+        pairs, long, block = [], p, np.full(len(p), -1)
+        if table.column("bucket")[0].as_py() < hot_from:
+            p = p[np.lexsort((p["size"], p["token"]))]
+            begin, of, after = blocks(p)
+            few = (np.bincount(of, after) <= FEW_PARTNERS * np.bincount(of))[of]
+            own = np.flatnonzero(few & (after > 0))
+            for some in np.array_split(own, max(1, int(after[own].sum()) // 1_000_000)):
+                n = after[some]
+                i = np.repeat(some, n)
+                j = i + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+                ok = p["size"][i] <= p["cap"][j]
+                pairs.append(_distinct([(p["cls"][i[ok]], p["cls"][j[ok]])]))
+            long, block = p[~few], p["size"][begin][of[~few]]
+        a, b = _distinct(pairs)
+        del p
+        release()
+        ends = lambda x, kind: pa.concat_arrays([pa.nulls(len(a), kind), pa.array(x, kind)])
+        return pa.table({
+            "a": pa.array(np.r_[a, long["cls"]]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(long), pa.int64())]), "token": ends(long["token"].astype(np.int64), pa.int64()),
+            "block": ends(block.astype(np.int32), pa.int32()), "size": ends(long["size"], pa.int32()), "cap": ends(long["cap"], pa.int32()),
+        })
+
+    return run
 
 
-def _in_group(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rep")
-    reps = table.column("rep").to_numpy()
-    links = spanning_links([np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()])
-    return pa.table({"u": pa.array([int(reps[x]) for x, _ in links], pa.int64()), "v": pa.array([int(reps[y]) for _, y in links], pa.int64())})
+LIST = ["token", "block"]
+
+
+def _cut_hot(postings: DataFrame) -> DataFrame:
+    """Postings of hot shingles with their blocks, cut as ``blocks`` does, but from the caps of each size."""
+    sizes = postings.groupBy("token", "size").agg(F.max("cap").alias("reach"), F.count("*").alias("__n"))
+    order = Window.partitionBy("token").orderBy("size")
+    first = F.col("size") > F.coalesce(F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    sizes = sizes.withColumn("first", F.when(first, F.col("size"))).withColumn("block", F.max("first").over(order)).select("token", "size", "block", "__n")
+    return join_groups(postings.drop("block"), sizes, ["token", "size"], "__n", postings.count()).select("cls", *LIST, "size", "cap")
+
+
+def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, c, sizes, same): the overlaps of the distinct ``pairs(a, c, sizes)``; pairs of one centre c are spread over many places."""
+    counts = pairs.groupBy("c").agg(F.count("*").alias("__n"))
+    spread = F.ceil(F.col("__n") / PAIRS_AT_ONCE)
+    placed = join_groups(pairs, counts, "c", "__n", pairs.count()).select("a", "c", "sizes", F.pmod(F.xxhash64("a"), spread).alias("place"))
+    centres = counts.join(own.toDF("c", "items_c"), "c").select("c", "items_c", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("place"))
+    both = placed.join(own.toDF("a", "items_a"), "a").join(centres, ["c", "place"]).select("a", "c", "sizes", "items_a", "items_c")
+    return both.mapInArrow(_shared, "a long, c long, sizes int, same int")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        same = np.zeros(b.num_rows, np.int32)
+        for i, (x, y) in enumerate(zip(b.column(3), b.column(4))):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
+            both.sort()
+            same[i] = (both[1:] == both[:-1]).sum()
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same)], ["a", "c", "sizes", "same"])
+
+
+def block_links(postings: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (u, v) between classes: they connect all that links inside the blocks of ``postings(cls, token, block, size, cap)`` connect.
+
+    ``own`` has each class's (cls, items).
+    """
+    links = postings.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    component = links.toDF("cls", "now")
+    live = cut(postings.select("cls", *LIST, "size", "cap", F.col("cls").alias("label"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("anchor")))
+    central = F.struct((F.col("cap") / F.col("size")).alias("central"), "cls", "size", "cap", "label", "s")
+    for turn in count():
+        most, total = CENTRES[min(turn, len(CENTRES) - 1)], live.count()
+        if not total:
+            return links
+        if turn:  # what is outside each block's largest part, in as many slots as the round has centres
+            slot = F.when(F.col("rest") <= most, F.col("cls")).otherwise(F.pmod(F.xxhash64("cls"), F.lit(most)))
+            chosen = live.filter("label <> top").groupBy(*LIST, slot.alias("slot")).agg(F.max(central).alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"))
+        else:
+            chosen = live.groupBy(*LIST).agg(F.max(central).alias("c"), F.count("*").alias("n"), F.count("*").alias("rest"))
+        chosen = cut(chosen)
+        centres = chosen.groupBy(*LIST).agg(F.collect_list("c").alias("centres"), F.max("n").alias("__n"))  # ``most`` at most
+        met = join_groups(live.select("cls", *LIST, "size", "cap", "label", "s", "anchor"), centres, LIST, "__n", total)
+        met = met.withColumn("chosen", F.exists("centres", lambda x: x["cls"] == F.col("cls"))).withColumn("c", F.explode("centres"))
+        met = met.filter("label <> c.label and size <= c.cap and c.size <= cap and (not chosen or cls < c.cls)")
+        bounds = "least(s, c.s) + least(size - s, c.size - c.s)", "s + c.s - anchor"
+        met = met.filter(f"coalesce(7 * ({bounds[0]}) >= 3 * (size + c.size), true)").withColumn("sure", F.expr(f"coalesce(7 * ({bounds[1]}) >= 3 * (size + c.size), false)"))
+        pairs = cut(met.groupBy(F.col("cls").alias("a"), F.col("c.cls").alias("c")).agg(F.max("sure").alias("sure"), F.max(F.col("size") + F.col("c.size")).alias("sizes")))
+        same = cut(_compared(pairs.filter("not sure"), own))
+        new = cut(same.filter("7 * same >= 3 * sizes").select("a", "c").unionByName(pairs.filter("sure").select("a", "c")).toDF("u", "v"))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            component = cut(components(links)).toDF("cls", "now")
+
+        # the centres have met their block, and where they were all outside its largest part, so has everything
+        label = F.coalesce("now", "label").alias("label")
+        live = cut(live.select("cls", *LIST, "size", "cap", "label", "s", "anchor").join(component, "cls", "left").select("cls", *LIST, "size", "cap", label, "s", "anchor"))
+        gone = chosen.select("c.cls", *LIST, "c.label").join(component, "cls", "left").select("cls", *LIST, label)
+        left = live.groupBy(*LIST, "label").agg(F.count("*").alias("n")).unionByName(gone.select(*LIST, "label", F.lit(-1).cast("long").alias("n")))
+        left = left.groupBy(*LIST, "label").agg(F.sum("n").alias("n")).filter("n > 0")
+        top = left.groupBy(*LIST).agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+        if turn:
+            top = top.join(chosen.filter(F.col("rest") <= most).select(*LIST).distinct(), LIST, "left_anti")
+        top = top.select(*LIST, F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("rest"), "n", F.col("n").alias("__n"))
+        live = join_groups(live, top, LIST, "__n", total).drop("__n").join(gone.select("cls", *LIST), ["cls", *LIST], "left_anti")
+        if not turn:  # each block's first centre is its anchor: its sets know what they share with it
+            anchors = chosen.select(*LIST, F.col("c.cls").alias("c"), F.col("c.size").alias("anchor"), F.col("n").alias("__n"))
+            live = join_groups(live.drop("s", "anchor"), anchors, LIST, "__n", total).drop("__n")
+            live = live.join(same.select(F.col("a").alias("cls"), "c", F.col("same").alias("s")), ["cls", "c"], "left").drop("c")
+        live = cut(live)
 
 
 def _overlap(kind: str):
@@ -318,7 +390,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
     buckets = max(16, -(-size // BUCKET_BYTES))
     posted = texts.select("text").mapInArrow(_post(sketch, buckets), "bucket long, postings binary")
-    found = cut(posted.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grouped boolean"))
+    found = cut(posted.groupBy("bucket").applyInArrow(_candidates(buckets), FOUND))
 
     def sets_of(nodes: DataFrame, n: int, exact: bool) -> DataFrame:
         """(cls, id, items) of the documents whose id is in ``nodes.rep``, and of few others."""
@@ -337,21 +409,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return texts.mapInArrow(sets, "cls long, id long, items binary")
 
-    # groups of sets that share long lists
-    edges = found.filter("grouped").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    chained = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("group"))
-    members = cut(chained.join(classes.select("cls", "rep", "n"), "cls"))
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).alias("blocks"))
-    dealt = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
-    others = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("block")))
-    dealt = dealt.select("cls", "rep", "group", "block", F.explode(others).alias("other")).select("cls", "rep", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    own = sets_of(members.select("rep").distinct(), members.count(), True).withColumnRenamed("id", "rep")
-    inside = cut(own.join(dealt, ["cls", "rep"]).groupBy("group", "i", "j").applyInArrow(_in_group, "u long, v long"))
-
-    # pairs of short lists, but for those inside a group
-    group = members.select("cls", "group")
-    pairs = found.filter("not grouped").select("a", "b").distinct()
-    pairs = pairs.join(group.toDF("a", "ga"), "a", "left").join(group.toDF("b", "gb"), "b", "left").filter("coalesce(ga <> gb, true)")
+    # long blocks, in rounds
+    postings = found.filter("b is null").withColumnRenamed("a", "cls")
+    postings = postings.filter("block >= 0").select("cls", *LIST, "size", "cap").unionByName(_cut_hot(postings.filter("block < 0")))
+    members = cut(postings.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
+    own = sets_of(members, members.count(), True).withColumnRenamed("id", "rep").join(members, ["cls", "rep"], "left_semi")
+    inside = block_links(postings, cut(own.dropDuplicates(["cls"]).select("cls", "items")))
+    label = cut(components(inside))
+
+    # pairs of other blocks, but for those that are connected already
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    pairs = pairs.join(label.toDF("a", "ga"), "a", "left").join(label.toDF("b", "gb"), "b", "left").filter("coalesce(ga <> gb, true)")
     rep = classes.select("cls", "rep")
     some = cut(pairs.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select("a", "ra", "b", "rb"))
     for exact in (False, True):
@@ -361,8 +429,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = some.join(x, ["a", "ra"]).join(y, ["b", "rb"]).select("a", "ra", "b", "rb", "items_a", "items_b")
         some = cut(both.mapInArrow(_overlap("<u8" if exact else "<u2"), "a long, ra long, b long, rb long"))
 
-    comp = components(inside.unionByName(some.select(F.col("ra").alias("u"), F.col("rb").alias("v"))))
-    groups = classes.join(comp, classes["rep"] == comp["node"], "left").select("cls", F.coalesce("component", "rep").alias("component"), "copies")
+    comp = components(inside.unionByName(some.select(F.col("a").alias("u"), F.col("b").alias("v")))).toDF("cls", "label")
+    labelled = cut(classes.join(comp, "cls", "left").select("cls", "rep", "copies", F.coalesce("label", "cls").alias("label")))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("__n"))
+    groups = join_groups(labelled, least, "label", "__n", total).select("cls", "component", "copies")
     none = rows.filter("n = 0").select("id", "n", F.col("id").alias("component"))
-    linked = join_groups(rows.filter("n > 0"), groups, "cls", "copies", total).select("id", "n", F.coalesce("component", "id").alias("component"))
+    linked = join_groups(rows.filter("n > 0"), groups, "cls", "copies", total).select("id", "n", "component")
     return none.unionByName(linked).select(F.expr(f"nullif(id, {NO_ID})").alias(id_col), F.col("n").alias("n_shingles"), F.expr(f"nullif(component, {NO_ID})").alias("component_id"))

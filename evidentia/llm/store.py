@@ -46,9 +46,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HOT_SHARE = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with one row a group, where ``size`` counts a group's rows and one group may hold most of all ``total``."""
+    keys = [key] if isinstance(key, str) else key
     hot_rows = max(2, total // HOT_SHARE)
     hot = F.broadcast(groups.filter(F.col(size) >= hot_rows))
     cold = groups.filter(F.col(size) < hot_rows)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

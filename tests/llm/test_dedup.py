@@ -6,7 +6,7 @@ import pytest
 
 from evidentia.llm import jaccard_join as J
 from evidentia.llm.exact_dedup import drop_copies, exact_dedup
-from evidentia.llm.jaccard_join import jaccard_components, spanning_links
+from evidentia.llm.jaccard_join import jaccard_components
 from evidentia.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,11 +142,75 @@ def test_jaccard_components(spark):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
-def test_jaccard_groups_of_near_copies(spark, monkeypatch):
-    # all near copies in groups, dealt in blocks that hold a few sets only
-    monkeypatch.setattr(J, "SHORT_LIST", 3)
-    monkeypatch.setattr(J, "GROUP_BYTES", 20_000)
-    check_components(spark, corpus(seed=8, near=70))
+@pytest.mark.parametrize("hot, centres", [(1 << 15, (1, 4, 16)), (8, (1, 8))])
+def test_jaccard_long_blocks_in_rounds(spark, monkeypatch, hot, centres):
+    # all lists are long, with shingles dealt by set or not, and blocks that take many rounds
+    monkeypatch.setattr(J, "FEW_PARTNERS", 0)
+    monkeypatch.setattr(J, "HOT_LIST", hot)
+    monkeypatch.setattr(J, "HOT_TIMES", 0)
+    monkeypatch.setattr(J, "CENTRES", centres)
+    monkeypatch.setattr(J, "PAIRS_AT_ONCE", 5)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    lost = []
+    for i in range(24):  # copies of a text that isn't there: some link with each other, some with none
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+        lost.append((20_000 + i, " ".join(own), "x", "y", "z"))
+    check_components(spark, corpus(seed=8, near=20) + lost)
+
+
+def test_jaccard_judges_rows_of_a_repeated_id_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(4, a), (4, b), (9, a), (2, b), (4, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()) == [(2, 36, 2), (4, 36, 2), (4, 36, 4), (4, 36, 4), (9, 36, 4)]
+
+
+def postings(sets):
+    """A bucket of postings of all shingles in the order of their counts, as the first pass sends them."""
+    import collections
+
+    import numpy as np
+    import pyarrow as pa
+
+    times = collections.Counter(x for s in sets for x in s)
+    rows = []
+    for cls, own in enumerate(sets):
+        n = len(own)
+        for at, x in enumerate(sorted(own, key=lambda x: (times[x], x))[: n - (3 * n + 3) // 4 + 1]):
+            rows.append((x, cls, n, (7 * (n - at) - 3 * n) // 3))
+    return pa.table({"bucket": [0], "postings": pa.array([np.array(rows, J.POSTING).tobytes()], pa.binary())})
+
+
+@pytest.mark.parametrize("shared, size", [(5, 15), (80, 100)])
+def test_templates_that_do_not_link_are_skipped(shared, size):
+    import time
+
+    took = []
+    for n in (1000, 2000):
+        table = postings([[*range(shared), *range(shared + (k // 2) * size, shared + (k // 2) * size + size - shared - 1), 10**7 + k] for k in range(n)])
+        began = time.perf_counter()
+        out = J._candidates(1)(table)
+        took.append(time.perf_counter() - began)
+        assert out.num_rows == n // 2 and out.column("b").null_count == 0  # the pairs that link, and no block
+    assert took[1] < 4 * took[0] + 0.5
+
+
+def test_posting_blocks_hold_all_possible_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    p = np.zeros(400, J.POSTING)
+    p["token"], p["size"] = rng.integers(0, 6, 400), rng.integers(1, 90, 400)
+    p["cap"] = p["size"] * rng.uniform(0.6, 4 / 3, 400)
+    p["cls"] = np.arange(400)
+    p = p[np.lexsort((p["size"], p["token"]))]
+    _, block, after = J.blocks(p)
+    for i in range(400):
+        for j in range(i + 1, 400):
+            if p["token"][i] == p["token"][j] and p["size"][i] <= p["cap"][j] and p["size"][j] <= p["cap"][i]:
+                assert block[i] == block[j] and j - i <= after[i]
 
 
 def test_jaccard_empty_and_null_ids(spark):
@@ -156,37 +220,6 @@ def test_jaccard_empty_and_null_ids(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
-def test_spanning_links_connect_as_all_links_do():
-    import numpy as np
-
-    rng = random.Random(1)
-    for _ in range(20):
-        base = rng.sample(range(10_000), 60)
-        sets = []
-        for _ in range(30):
-            own = set(base) - set(rng.sample(base, rng.randint(0, 14))) | set(rng.sample(range(10_000), rng.randint(0, 10)))
-            sets.append(np.array(sorted(own), np.uint64))
-
-        def parts(links):
-            up = list(range(len(sets)))
-            for a, b in links:
-                a, b = (next(r for r in [x] if True) for x in (a, b))
-                while up[a] != a:
-                    a = up[a]
-                while up[b] != b:
-                    b = up[b]
-                up[max(a, b)] = min(a, b)
-            roots = []
-            for i in range(len(sets)):
-                while up[i] != i:
-                    i = up[i]
-                roots.append(i)
-            return roots
-
-        every = [(i, j) for i in range(30) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))]
-        assert parts(spanning_links(sets)) == parts(every)
-
-
 def test_components_of_a_chain(spark):
     from evidentia.llm.components import components
 
