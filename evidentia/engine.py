@@ -42,7 +42,7 @@ class Engine:
         return spans
 
     def index(self, folder: str | None = None) -> retrieval.Index:
-        built = retrieval.build_index(self["chunks"])
+        built = retrieval.build_index(self["chunks"], self.tables.get("sources"))
         if folder:
             built.write(folder)
             built = retrieval.Index.read(self.spark, folder)
@@ -89,7 +89,11 @@ class Engine:
             return claims.render_json(full)
         ordered = claims.evidence_rows(full).join(full.select(F.col("id").alias("claim_id"), "ordinal"), "claim_id").withColumn("ord", F.struct("ordinal", "claim_id", "position"))
         granted = claims.budget(ordered.filter("ordinal is not null"))
-        return (claims.render_html if form == "html" else claims.render_markdown)(full, self["sources"], granted)
+        return (claims.ledger_html if form == "html" else claims.ledger_markdown)(full, self["sources"], granted)
+
+    def inject(self, ledger: DataFrame, begin: str = "<!-- LEDGER -->", end: str = "<!-- /LEDGER -->") -> DataFrame:
+        """Pages with the ledger (one row) between their markers; ``html`` is null where the first marker is missing."""
+        return self["pages"].crossJoin(F.broadcast(ledger.select("body"))).withColumn("html", claims.inject(F.col("html"), F.col("body"), begin, end)).drop("body")  # one row
 
     # gates and publishing
 
@@ -106,6 +110,9 @@ class Engine:
         """Findings of every gate whose tables are there, in one table; a page or dialogue that is expected and isn't there is a finding."""
         have, rows = self.tables, self["claims"]
         found = [gates.confidence(rows), gates.volatility(rows)]
+        for name, table, key in (("sources", "source", "id"), ("claims", "claim", "id"), ("adjudications", "adjudication", "cluster_id"), ("plan", "section", "id"), ("credits", "credit", "name")):
+            if name in have and key in have[name].columns:
+                found.append(gates.record_schemas(have[name], table, key))
         if "texts" in have:
             found.append(gates.quotes(rows, self["texts"]))
         if "sources" in have:

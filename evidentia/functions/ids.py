@@ -45,7 +45,10 @@ def paste_locator(text: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking parameters, parameters sorted by key and value."""
+    """Lower-case scheme and host, no default port, fragment or tracking parameters, parameters sorted by key and value.
+
+    A percent sign that begins no escape stands for itself.
+    """
     url = strip(url)
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), r"#.*$", "")
@@ -56,9 +59,10 @@ def canonical_url(url: Column) -> Column:
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     path = F.regexp_extract(F.regexp_replace(rest, r"^//[^/?]*", ""), r"^([^?]*)", 1)
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
+    decode = lambda x: F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(p.contains("="), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise("")).alias("v")),
+        lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("k"), decode(F.when(p.contains("="), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise("")).alias("v")),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
     encode = lambda x: F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~"))

@@ -4,6 +4,9 @@ Positions are counted 0, 1 or "2 and more". A key that occurs twice has counted
 twice, so a key with a position below 2 occurs once. The filter has at most ``CAP_BITS`` positions: what
 reaches the driver and is broadcast is at most CAP_BITS / 8 bytes (32 MiB), however large the input is.
 Beyond the capacity more single keys pass the test; results stay exact, as passing rows are compared.
+
+Defined results: no key gives a filter that nothing passes; a key that counts a position twice by itself counts it
+once; null keys are the caller's to keep out.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 CAP_BITS = 1 << 28
 SEGMENT_BITS = 1 << 20
 BITS_PER_KEY = 16
+#: Keys of one filter at most; more are dealt into shards by who asks for repeats.
+CAPACITY = CAP_BITS // BITS_PER_KEY
 #: Partial filters that one task merges.
 FAN_IN = 256
 KEYS_A_TASK = 100_000

@@ -1,42 +1,49 @@
 """Chat formatting by schema fingerprints, in SQL functions only.
 
-A record is a VARIANT of any shape. Its nested field paths, without the types of their leaves, are hashed to
-a fingerprint; the fingerprint selects a declarative mapping (``Layout``) that says where the turns, roles
-and texts are. Canonical turns are written as ``### role: text</turn>\\n``. Inside roles and texts a
+A record is a VARIANT of any shape. Its nested field paths (two levels, arrays as ``[]``), without the types of
+their leaves, are hashed to a fingerprint; the fingerprint selects a declarative mapping (``Layout``) that says
+where the turns, roles and texts are. A record with fields that no layout knows has a fingerprint of its own; it
+gets the layout with the most paths among those whose paths it has all. Records that fit no layout are not
+dropped: ``unmatched`` gives them with their fingerprint.
+
+Canonical turns are written as ``### role: text</turn>\\n``. Inside roles and texts a
 backslash is doubled and control strings are broken by one (``#\\##``, ``<\\/turn>``), so that no text can
 end a turn, and taking away one backslash before any character gives the text back. A loss mask holds the
 spans of the assistant's texts.
 
-Defined results: turns are ordered by their position, then role, then text; equal rows are separate turns. A
-null role or text is empty. Null ids form one conversation. A record of an unknown shape has no turns and
-yields no conversation by itself (``fingerprint`` helps to write its layout). Other columns are not read.
+Defined results: ids are strings, whatever their type (1 and "1" are one conversation). Turns are ordered by their
+position, then role, then text; equal rows are separate turns. A null role or text is empty, one that is an object
+or array is its JSON. Null or missing ids form one conversation. A conversation without a turn (an empty array) is
+unmatched. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, ROLE_END, CLOSE = "### ", ": ", "</turn>\n"
 LOSS_ROLE = "assistant"
-_LEAF = r": (?:STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(?:_NTZ)?|BINARY|DECIMAL\(\d+,\s*\d+\))"
 TURNS = "array<struct<pos:bigint,role:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``paths``: the shape of a record, as ``schema_of_variant`` gives it without leaf types.
+    """``needs``: the paths that a record must have; ``may``: paths that the mapping reads where they are there.
 
     Turns are an array at ``turns`` with fields ``role`` and ``text``; or the record is one turn at
-    ``position``; or each of ``fixed`` is a role and the paths whose texts, joined by a blank line, it says.
+    ``position``; or each of ``fixed`` is a role and the fields whose texts, joined by a blank line, it says.
     """
 
     name: str
-    paths: str
-    id: str = "$.id"
+    needs: tuple[str, ...]
+    may: tuple[str, ...] = ("id",)
+    id: str = "id"
     turns: str | None = None
     role: str = "role"
     text: str = "content"
@@ -44,8 +51,10 @@ class Layout:
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = field(default=())
 
-    def fingerprint(self) -> str:
-        return hashlib.sha256(self.paths.encode()).hexdigest()[:16]
+    def fingerprints(self) -> list[str]:
+        """Of records that have what the layout needs and any of what it may read, and nothing else."""
+        some = chain.from_iterable(combinations(self.may, n) for n in range(len(self.may) + 1))
+        return [hashlib.sha256("\n".join(sorted((*self.needs, *x))).encode()).hexdigest()[:16] for x in some]
 
     def _role(self, role: Column) -> Column:
         out = F.coalesce(role, F.lit(""))
@@ -55,50 +64,71 @@ class Layout:
 
     def canonical(self, record: Column) -> Column:
         """The record's turns as an array."""
-        get = lambda path, kind="string": F.try_variant_get(record, path, kind)
+        get = lambda v, name, kind="string": F.try_variant_get(v, f"$.{name}", kind)
+        turn = lambda pos, v: F.struct(pos.alias("pos"), self._role(get(v, self.role)).alias("role"), F.coalesce(get(v, self.text), F.lit("")).alias("text"))
         if self.position:
-            one = F.struct(get(self.position, "bigint").alias("pos"), self._role(get(f"$.{self.role}")).alias("role"), F.coalesce(get(f"$.{self.text}"), F.lit("")).alias("text"))
-            return F.array(one)
+            return F.array(turn(get(record, self.position, "bigint"), record))
         if self.turns:
-            items = F.try_variant_get(record, self.turns, f"array<struct<{self.role}:string,{self.text}:string>>")
-            return F.transform(items, lambda x, i: F.struct(i.cast("long").alias("pos"), self._role(x[self.role]).alias("role"), F.coalesce(x[self.text], F.lit("")).alias("text")))
+            return F.transform(get(record, self.turns, "array<variant>"), lambda v, i: turn(i.cast("long"), v))
         said = []
-        for i, (role, paths) in enumerate(self.fixed):
-            parts = F.filter(F.array(*(get(p) for p in paths)), lambda x: x.isNotNull() & (x != ""))
+        for i, (role, names) in enumerate(self.fixed):
+            parts = F.filter(F.array(*(get(record, n) for n in names)), lambda x: x.isNotNull() & (x != ""))
             said.append(F.struct(F.lit(i).cast("long").alias("pos"), F.lit(role).alias("role"), F.array_join(parts, "\n\n").alias("text")))
         return F.array(*said)
 
 
 LAYOUTS = (
-    Layout("turn rows", "OBJECT<conv_id, role, text, turn>", id="$.conv_id", position="$.turn", text="text"),
-    Layout("messages", "OBJECT<id, messages: ARRAY<OBJECT<content, role>>>", turns="$.messages"),
-    Layout("from and value", "OBJECT<conversations: ARRAY<OBJECT<from, value>>, id>", turns="$.conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
-    Layout("instruction", "OBJECT<id, input, instruction, output>", fixed=(("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
-    Layout("prompt and completion", "OBJECT<completion, id, prompt>", fixed=(("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
-    Layout("prompt and response", "OBJECT<id, prompt, response>", fixed=(("user", ("$.prompt",)), ("assistant", ("$.response",)))),
-    Layout("system, prompt and response", "OBJECT<id, prompt, response, system>", fixed=(("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.response",)))),
+    Layout("turn rows", ("conv_id", "role", "text", "turn"), may=(), id="conv_id", position="turn", text="text"),
+    Layout("messages", ("messages", "messages[].content", "messages[].role"), turns="messages"),
+    Layout("from and value", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout("instruction", ("instruction", "output"), may=("id", "input"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Layout("prompt and completion", ("completion", "prompt"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
+    Layout("prompt and response", ("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("system, prompt and response", ("prompt", "response", "system"), fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
 )
 
 
 def paths(record: Column) -> Column:
-    return F.regexp_replace(F.schema_of_variant(record), _LEAF, "")
+    """The record's field paths, sorted; none for what is no object."""
+    keys = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    none = F.array().cast("array<string>")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    inner = lambda v: F.coalesce(
+        F.transform(keys(v), lambda f: F.concat(F.lit("."), f)),
+        F.flatten(F.transform(items(v), lambda x: F.transform(F.coalesce(keys(x), none), lambda f: F.concat(F.lit("[]."), f)))), none)
+    fields = F.map_entries(F.try_variant_get(record, "$", "map<string,variant>"))
+    each = F.transform(fields, lambda e: F.concat(F.array(e["key"]), F.transform(F.array_distinct(inner(e["value"])), lambda f: F.concat(e["key"], f))))
+    return F.array_sort(F.array_distinct(F.flatten(F.coalesce(each, F.array().cast("array<array<string>>")))))
 
 
 def fingerprint(record: Column) -> Column:
-    return F.substring(F.sha2(paths(record), 256), 1, 16)
+    return F.substring(F.sha2(F.array_join(paths(record), "\n"), 256), 1, 16)
+
+
+def _mapped(records: DataFrame, record_col: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """(record, print, layout, conv_id, turns); layout is null where none fits."""
+    known = records.select(F.col(record_col).alias("record"), paths(F.col(record_col)).alias("paths"))
+    known = known.withColumn("print", F.substring(F.sha2(F.array_join("paths", "\n"), 256), 1, 16))
+    layout = F.lit(None).cast("string")
+    for x in sorted(layouts, key=lambda x: len(x.needs)):
+        layout = F.when(F.size(F.array_except(F.array(*map(F.lit, x.needs)), "paths")) == 0, F.lit(x.name)).otherwise(layout)
+    for x in layouts:
+        layout = F.when(F.col("print").isin(x.fingerprints()), F.lit(x.name)).otherwise(layout)
+    known = known.withColumn("layout", layout)
+    pick = lambda values, kind: reduce(lambda out, xv: F.when(F.col("layout") == xv[0].name, xv[1]).otherwise(out), zip(layouts, values), F.lit(None).cast(kind))
+    ids = pick([F.try_variant_get("record", f"$.{x.id}", "string") for x in layouts], "string")
+    return known.select("record", "print", "layout", ids.alias("conv_id"), pick([x.canonical(F.col("record")) for x in layouts], TURNS).alias("turns"))
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, pos, role, text, layout), one row a turn, whatever the shape of the record."""
-    record = F.col(record_col)
-    turns, ids, names = F.lit(None).cast(TURNS), F.lit(None).cast("long"), F.lit(None).cast("string")
-    for x in layouts:
-        same = F.col("print") == x.fingerprint()
-        turns = F.when(same, x.canonical(record)).otherwise(turns)
-        ids = F.when(same, F.try_variant_get(record, x.id, "bigint")).otherwise(ids)
-        names = F.when(same, F.lit(x.name)).otherwise(names)
-    known = records.select(record.alias(record_col), fingerprint(record).alias("print"))
-    return known.select(ids.alias("conv_id"), names.alias("layout"), F.explode(turns).alias("t")).select("conv_id", "t.pos", "t.role", "t.text", "layout")
+    return _mapped(records, record_col, layouts).select("conv_id", "layout", F.explode("turns").alias("t")).select("conv_id", "t.pos", "t.role", "t.text", "layout")
+
+
+def unmatched(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(record, fingerprint, paths) of the records that ``canonical_turns`` gives no turn of."""
+    rest = _mapped(records, record_col, layouts).filter("coalesce(size(turns), 0) <= 0")
+    return rest.select("record", F.col("print").alias("fingerprint"), paths(F.col("record")).alias("paths"))
 
 
 def escape(text: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), all distributed."""
+"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), all distributed.
+
+Defined results: edges from a node to itself, and repeated ones, change nothing, and a node with no other edge
+has no row; edges with a null end are left out; no edges give no rows.
+"""
 
 from __future__ import annotations
 

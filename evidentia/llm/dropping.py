@@ -1,4 +1,8 @@
-"""Dropping documents by id without shuffling the texts of those that stay for sure."""
+"""Dropping documents by id without shuffling the texts of those that stay for sure.
+
+Defined results: null ids are one id (the empty string); rows whose id isn't named stay; an empty table gives no rows;
+columns named ``__id``, ``__maybe`` and the like are the module's own, all others pass through.
+"""
 
 from __future__ import annotations
 

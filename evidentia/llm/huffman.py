@@ -11,7 +11,8 @@ Layout under one folder, written by Spark's own writers so that any store will d
 - ``shards``: (shard, first), the ids before each shard; one row a shard, so it is small by construction.
 
 Defined results: a null text is empty, so it is the end id alone. Documents are in ascending id, null ids
-first; rows of one id are ordered by their text. An empty table gives no blocks. Other columns are ignored.
+first; rows of one id are ordered by their text. An empty table gives no blocks. More than 65,536 different
+ids in use don't fit codes of 16 bits and are refused with an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,11 +124,11 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np
 HEAD = "shard int, block long, start long, doc_ids binary, nulls binary, n_tokens binary"
 
 
-def _blocks(path: str, end_id: int):
+def _blocks(path: str, end_id: int, special_as_text: bool = False):
     """Encode a shard's documents, which come in order, and pack them into blocks of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block, start = encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, shard, block, start = encoder(path, special_as_text), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], enc.kind).tobytes()
         ids, texts, held = [], [], 0
 
@@ -153,12 +154,12 @@ def _blocks(path: str, end_id: int):
     return run
 
 
-def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
     """Encode all texts, append ``end_id`` to each, and write the files under ``folder``."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = texts.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    blocks = cut(dealt.mapInArrow(_blocks(tokenizer, end_id), f"{HEAD}, ids binary"))
+    blocks = cut(dealt.mapInArrow(_blocks(tokenizer, end_id, special_as_text), f"{HEAD}, ids binary"))
     kind = encoder(tokenizer).kind
     vocabulary = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
 

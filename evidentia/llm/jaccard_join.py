@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -298,6 +298,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same)], ["a", "c", "sizes", "same"])
 
 
+def _open(c: Column) -> Column:
+    """May a posting's set link with the centre c, as far as labels, caps and what both share with the anchor tell?"""
+    size, cap, s = F.col("size"), F.col("cap"), F.col("s")
+    possible = (F.col("label") != c["label"]) & (size <= c["cap"]) & (c["size"] <= cap) & (~F.col("chosen") | (F.col("cls") < c["cls"]))
+    most = F.least(s, c["s"]) + F.least(size - s, c["size"] - c["s"])
+    return possible & F.coalesce(7 * most >= 3 * (size + c["size"]), F.lit(True))
+
+
 def block_links(postings: DataFrame, own: DataFrame) -> DataFrame:
     """Links (u, v) between classes: they connect all that links inside the blocks of ``postings(cls, token, block, size, cap)`` connect.
 
@@ -319,10 +327,8 @@ def block_links(postings: DataFrame, own: DataFrame) -> DataFrame:
         chosen = cut(chosen)
         centres = chosen.groupBy(*LIST).agg(F.collect_list("c").alias("centres"), F.max("n").alias("__n"))  # ``most`` at most
         met = join_groups(live.select("cls", *LIST, "size", "cap", "label", "s", "anchor"), centres, LIST, "__n", total)
-        met = met.withColumn("chosen", F.exists("centres", lambda x: x["cls"] == F.col("cls"))).withColumn("c", F.explode("centres"))
-        met = met.filter("label <> c.label and size <= c.cap and c.size <= cap and (not chosen or cls < c.cls)")
-        bounds = "least(s, c.s) + least(size - s, c.size - c.s)", "s + c.s - anchor"
-        met = met.filter(f"coalesce(7 * ({bounds[0]}) >= 3 * (size + c.size), true)").withColumn("sure", F.expr(f"coalesce(7 * ({bounds[1]}) >= 3 * (size + c.size), false)"))
+        met = met.withColumn("chosen", F.exists("centres", lambda x: x["cls"] == F.col("cls")))
+        met = met.withColumn("c", F.explode(F.filter("centres", _open))).withColumn("sure", F.expr("coalesce(7 * (s + c.s - anchor) >= 3 * (size + c.size), false)"))
         pairs = cut(met.groupBy(F.col("cls").alias("a"), F.col("c.cls").alias("c")).agg(F.max("sure").alias("sure"), F.max(F.col("size") + F.col("c.size")).alias("sizes")))
         same = cut(_compared(pairs.filter("not sure"), own))
         new = cut(same.filter("7 * same >= 3 * sizes").select("a", "c").unionByName(pairs.filter("sure").select("a", "c")).toDF("u", "v"))

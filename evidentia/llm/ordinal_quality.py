@@ -116,9 +116,8 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> Ordinal | No
             edge = np.r_[-40.0, thresholds, 40.0]
             upper, lower = _sigmoid(edge[grade[own] + 1] - score), _sigmoid(edge[grade[own]] - score)
             slope = 1 - upper - lower  # of the loss, by the score
-            g = np.bincount(f, slope[of], size) if len(f) else np.zeros(size)
-            some = np.unique(f)
-            g = g[some]
+            some, own_place = np.unique(f, return_inverse=True)
+            g = np.bincount(own_place, slope[of], len(some))
             sigma = (np.sqrt(n[some] + g * g) - np.sqrt(n[some])) / ALPHA
             z[some] += g - sigma * weights[some]
             n[some] += g * g

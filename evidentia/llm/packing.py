@@ -155,9 +155,9 @@ def _running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return df.withColumn("__own", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, "__run").withColumn(name, F.col("__own") + F.col("__base")).drop("__run", "__own", "__base")
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special_as_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, block = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, block = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.kind).tobytes()
         ids, texts, held = [], [], 0
 
@@ -242,11 +242,11 @@ def _cut_pieces(kind: str):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """A row (id_col, start, length, doc_tokens, sequence_id, offset, ids) for each piece; ids are unsigned 32-bit little-endian."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = cut(texts.mapInArrow(_encode(tokenizer, end_id), "part long, block long, doc_ids binary, nulls binary, n binary, ids binary"))
+    blocks = cut(texts.mapInArrow(_encode(tokenizer, end_id, special_as_text), "part long, block long, doc_ids binary, nulls binary, n binary, ids binary"))
     kind = encoder(tokenizer).kind.str
     rows = cut(blocks.select("part", "block", "n").mapInArrow(_lengths, "part long, block long, row long, full long, rest long, length long"))
 

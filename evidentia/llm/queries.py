@@ -77,7 +77,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_chats(format_chats(canonical_turns(records)))
     loss = F.array_join("learnt", "")
     return out.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

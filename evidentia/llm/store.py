@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset (tests, one machine) set a temporary folder."""
+    """Use ``spark.checkpoint.dir``; where it is unset, a temporary folder, but only on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("executors share no local folder: set spark.checkpoint.dir to one that they all reach")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evidentia-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ hold costs one hash a chunk. A bucket sorts its hashes and answers with one bit
 earlier in another chunk? With the answer each chunk marks its repeated windows, merges the words that
 they cover into maximal intervals and cuts those from the texts.
 
-Windows are told apart by 64-bit hashes: among n windows about n**2 / 2**65 pairs are taken for equal by
-chance. Both looks at a chunk read one shuffle of the texts, so they see the same rows.
+Windows of different chunks are told apart by 88 bits, a hash of 64 and 24 of a second one: among n windows about
+n**2 / 2**89 pairs are taken for equal by chance, less than one in 100 TB; those of one chunk by 64. Both looks at a chunk read one shuffle of the texts, so they see the same rows.
 
 Defined results: a null text has no words and stays null. A null id counts as smaller than any other; rows
 with the same id are ordered by their text, and equal rows are separate documents. A text of fewer than 20
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_bytes, release, slices
+from .words import WINDOW_Q, Words, as_bytes, release, slices
 
 WINDOW = 20
 CHUNK_BYTES = 4 << 20
@@ -40,10 +40,12 @@ class _Chunk:
         key = [LEAST_ID if i is None else i for i in ids]
         self.order = sorted(range(len(ids)), key=lambda i: (key[i], texts[i] or b""))
         self.texts = [texts[i] for i in self.order]
-        n, start, end, at, hashes, base = [], [], [], [], [], 0
+        n, start, end, at, hashes, more, base = [], [], [], [], [], [], 0
         for part in slices([len(t or b"") for t in self.texts]):
             w = Words(self.texts[part])
-            i, h = w.windows(window)
+            words = w.hashes()
+            i, h = w.windows(window, words)
+            more.append((w.windows(window, words, WINDOW_Q)[1] >> np.uint64(40)).astype(np.uint32))
             begin = np.repeat(w.begin[:-1], w.n)
             n.append(w.n)
             start.append(w.start - begin)
@@ -53,7 +55,7 @@ class _Chunk:
             base += len(w.start)
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.n, self.start, self.end, self.at = (cat(x, np.int64) for x in (n, start, end, at))
-        h = cat(hashes, np.uint64)
+        h, self.more = cat(hashes, np.uint64), cat(more, np.uint32)
         #: Indices of the windows that are the chunk's first with their hash, bucket by bucket.
         self.sent = np.sort(np.unique(h, return_index=True)[1])
         bucket = ((h[self.sent] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
@@ -71,26 +73,43 @@ def _send(window: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         c = _chunk_of(table, window, buckets)
         full = np.flatnonzero(np.diff(c.cuts))
-        h = c.hashes[c.sent]
+        h, more = c.hashes[c.sent], np.ascontiguousarray(c.more[c.sent].view(np.uint8).reshape(-1, 4)[:, :3])
         release()
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "chunk": pa.array(np.full(len(full), table.column("chunk")[0].as_py()), pa.int64()),
             "hashes": pa.array([h[c.cuts[b] : c.cuts[b + 1]].tobytes() for b in full], pa.binary()),
+            "more": pa.array([more[c.cuts[b] : c.cuts[b + 1]].tobytes() for b in full], pa.binary()),
         })
 
     return run
 
 
+def repeats(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Is there an equal pair (h, more) before each?"""
+    by = np.argsort(h, kind="stable")
+    same, differ = h[by[1:]] == h[by[:-1]], more[by[1:]] != more[by[:-1]]
+    again = np.zeros(len(h), bool)
+    again[by[1:]] = same & ~differ
+    if (same & differ).any():  # different windows with one hash: their runs are looked at pair by pair
+        run = np.cumsum(np.r_[True, ~same])
+        for r in np.unique(run[1:][same & differ]):
+            seen: set[int] = set()
+            for i in by[run == r].tolist():
+                again[i] = int(more[i]) in seen
+                seen.add(int(more[i]))
+    return again
+
+
 def _answer(table: pa.Table) -> pa.Table:
     table = table.sort_by("chunk")
     parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(parts)
-    by = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    again[by[1:]] = h[by[1:]] == h[by[:-1]]
+    more = np.zeros((len(h), 4), np.uint8)
+    more[:, :3] = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("more").to_pylist()]).reshape(-1, 3)
+    again = repeats(h, more.view(np.uint32).ravel())
     ends = np.cumsum([len(p) for p in parts])
-    del by, h
+    del h, more
     release()
     bits = [np.packbits(again[e - len(p) : e]).tobytes() for p, e in zip(parts, ends)]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
@@ -163,7 +182,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest")).withColumn("chunk", chunk("id"))
-    hashes = dealt.groupBy("chunk").applyInArrow(_send(window, buckets), "bucket long, chunk long, hashes binary")
+    hashes = dealt.groupBy("chunk").applyInArrow(_send(window, buckets), "bucket long, chunk long, hashes binary, more binary")
     replies = hashes.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, bits binary")
     kind = dealt.schema["rest"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(window, buckets), f"id long, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>, rest {kind}")

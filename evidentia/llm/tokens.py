@@ -4,7 +4,8 @@ Both supported kinds of vocabulary split a text at white space before merging (t
 space with the word that follows), so a text's ids are those of its words in order. A worker keeps the ids
 of the words it has met in numpy arrays, found by their 64-bit hashes. Texts with other white space or
 control characters, and for the byte-level kind texts where more than one space or line feed stands between
-two words or any at an end, are encoded whole.
+two words or any at an end, are encoded whole, and so are texts that hold one of the vocabulary's control strings:
+by the library's default it becomes its id, with ``special_as_text`` it is text like any other.
 """
 
 from __future__ import annotations
@@ -38,11 +39,14 @@ def _odd(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts as little-endian bytes, two or four a token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a control string in a text is ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if not (x.special and special_as_text)]
+        self.control = [x.content.encode() for x in added] + [x.content.lower().encode() for x in added if x.normalized]
+        self.folded = any(x.normalized for x in added)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.spaced = self.tokenizer.normalizer is None
         self._clear()
@@ -94,6 +98,9 @@ class Encoder:
         w = Words(texts)
         plain = np.ones(len(texts), bool)
         plain[np.searchsorted(w.begin, _odd(w.buf), "right") - 1] = False
+        for d, t in enumerate(texts):
+            if any(x in t for x in self.control) or (self.folded and any(x in t.lower() for x in self.control)):
+                plain[d] = False
         h = w.hashes()
         if self.spaced:
             before = np.where(w.start > 0, w.buf[w.start - 1], 0)  # texts are held apart by a space that is none of theirs
@@ -148,11 +155,12 @@ class Encoder:
         return [x for part in slices([len(t) for t in texts]) for x in self._slice(texts[part])]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder a worker, path and way with control strings."""
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -21,6 +21,8 @@ _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=U64)
 _R = U64(0x9E3779B97F4A7C15 | 1)
 _R_INV = U64(pow(int(_R), -1, 2**64))
 WINDOW_R = U64(0xD6E8FEB86659FD93)
+#: For a second, independent hash of the same windows.
+WINDOW_Q = U64(0xA0761D6478BD642F)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,8 +86,9 @@ class Words:
         before = np.where(start > 0, self._sums[start - 1], U64(0))
         return mix((self._sums[end - 1] - before) * down[start] + (end - start).astype(U64))
 
-    def windows(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, k: int, hashes: np.ndarray | None = None, base: np.uint64 = WINDOW_R) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all windows of k words inside one text: (index of the first word, hash)."""
+        _power = lambda n: U64(pow(int(base), n, 2**64))
         h = self.hashes() if hashes is None else hashes
         if len(h) < k:
             return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -102,10 +105,6 @@ class Words:
         return at, mix(out[at])
 
 
-def _power(n: int) -> np.uint64:
-    return U64(pow(int(WINDOW_R), n, 2**64))
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         return column.cast(pa.large_binary()).to_pylist()

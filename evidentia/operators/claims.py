@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +56,21 @@ def placements(plan: DataFrame) -> DataFrame:
 def ordinals(claims: DataFrame, placed: DataFrame) -> DataFrame:
     """(id, ordinal) of citable claims: by first place in the plan, the unplaced ones after, by id.
 
-    Ordinals number the whole ledger, so ranks are kept apart by section; a section's ranks begin where
-    the sections before end.
+    Ordinals number the whole ledger, so ranks are kept apart by section and by stretches of it (65,536 positions or
+    ids, or the ids that begin alike); a stretch's ranks begin where those before end.
     """
     first = placed.groupBy("id").agg(F.min(F.struct("section", "position")).alias("at"))
     cited = claims.filter(citable(F.col("status"), F.col("confidence"))).select("id").join(first, "id", "left")
     keyed = cited.select("id", F.col("at.section").alias("section"), F.col("at.position").alias("position"))
-    own = Window.partitionBy("section").orderBy("position", "id")
-    sizes = keyed.groupBy("section").agg(F.count("*").alias("n"))  # a row for each section of the plan
-    before = Window.orderBy(F.asc_nulls_last("section")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(sizes.select("section", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    ranked = keyed.withColumn("own", F.row_number().over(own))
-    return ranked.join(bases, ranked["section"].eqNullSafe(bases["section"])).select("id", (F.col("own") + F.col("base")).alias("ordinal"))
+    begins = F.substring("id", 1, 7) if dict(claims.dtypes)["id"] == "string" else F.floor(F.col("id") / 65536)
+    keyed = keyed.withColumns({"stretch": F.floor(F.col("position") / 65536), "begins": F.when(F.col("position").isNull(), begins)})
+    place = ["section", "stretch", "begins"]
+    sizes = keyed.groupBy(*place).agg(F.count("*").alias("n"))  # a row for each stretch
+    before = Window.orderBy(*(F.asc_nulls_last(c) for c in place)).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*(F.col(c).alias(f"{c}_") for c in place), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = keyed.withColumn("own", F.row_number().over(Window.partitionBy(*place).orderBy("position", "id")))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in place))
+    return ranked.join(bases, same).select("id", (F.col("own") + F.col("base")).alias("ordinal"))
 
 
 def evidence_rows(claims: DataFrame) -> DataFrame:
@@ -166,6 +171,27 @@ def render_html(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> Da
     return ledger.join(lines, ledger["id"] == lines["claim_id"], "left").select("ordinal", "id", body.alias("body"))
 
 
+def _joined(rows: DataFrame, order: list[str], body: str = "body") -> DataFrame:
+    """One row: the bodies in order, a line each. What a reader opens is one file, so one task writes it."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, body))), lambda x: x[body])
+    return rows.agg(F.array_join(lines, "\n").alias("body"))
+
+
+def ledger_html(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
+    """(body,): the whole HTML ledger, cited claims in an ordered list and then the thin ones, if there are any."""
+    items = render_html(ledger, sources, granted)
+    cited, thin = _joined(items.filter("ordinal is not null"), ["ordinal"]), _joined(items.filter("ordinal is null"), ["id"])
+    note = '<li class="ledger-note">Inferences of the author. They are recorded and cited nowhere, since no source stands behind them.</li>'
+    tail = F.when(F.length("thin") > 0, F.concat(F.lit(f'<ul class="ledger ledger-thin">\n{note}\n'), "thin", F.lit("\n</ul>\n"))).otherwise("")
+    both = cited.crossJoin(thin.withColumnRenamed("body", "thin"))  # a row each
+    return both.select(F.concat(F.lit('<ol class="ledger">\n'), "body", F.when(F.length("body") > 0, "\n").otherwise(""), F.lit("</ol>\n"), tail).alias("body"))
+
+
+def ledger_markdown(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
+    """(body,): the whole Markdown ledger."""
+    return _joined(render_markdown(ledger, sources, granted), ["ordinal"]).select(F.concat(F.lit("# Ledger\n\n"), "body").alias("body"))
+
+
 def source_listing(sources: DataFrame, claims: DataFrame) -> DataFrame:
     """(tier, title, id, locator, tier_reason, retrieved_at, n_claims) by tier and title."""
     used = evidence_rows(claims).groupBy("source_id").agg(F.countDistinct("claim_id").alias("n_claims"))
@@ -175,6 +201,7 @@ def source_listing(sources: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def inject(page: Column, ledger: Column, begin: str, end: str) -> Column:
-    """Replaces what stands between two markers; null where either is missing."""
-    inside = F.concat(F.substring_index(page, begin, 1), F.lit(begin), F.lit("\n"), ledger, F.lit(end), F.substring(page, F.position(F.lit(end), page) + len(end), F.length(page)))
-    return F.when(page.contains(begin) & page.contains(end), inside)
+    """Replaces what stands between two markers, or inserts and closes where only the first one stands; null without it."""
+    after = page.substr(F.position(F.lit(begin), page) + len(begin), F.length(page))
+    tail = F.when(after.contains(end), after.substr(F.position(F.lit(end), after) + len(end), F.length(after))).otherwise(after)
+    return F.when(page.contains(begin), F.concat(F.substring_index(page, begin, 1), F.lit(begin + "\n"), F.regexp_replace(ledger, r"\n+$", ""), F.lit("\n" + end), tail))

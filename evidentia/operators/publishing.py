@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import asset_name
 from ..functions.text import is_http_url
-from . import gates
+from . import gates, retrieval
 from .claims import evidence_rows
 
 PAUSE_BOUNDARY, PAUSE_SPEAKER, PAUSE_SENTENCE = 600, 320, 180
@@ -49,31 +49,33 @@ def images(nodes: DataFrame) -> DataFrame:
 
 
 def licenses(nodes: DataFrame, texts: DataFrame, credits: DataFrame, files: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Findings on images and credits (name, origin, source, credit, license, generator, prompt, sha256) of one page.
+    """Findings on the images of pages and their credits (name, origin, source, credit, license, generator, prompt, sha256).
 
-    A share-alike licence is a warning, or an error if ``strict``. ``files``: (name, sha256) of assets at hand.
+    A credit must be visible on every page that shows its image, that of an image shown nowhere on any page. A
+    share-alike licence is a warning, or an error if ``strict``. ``files``: (name, sha256) of assets at hand.
     """
-    used = images(nodes).select("name").distinct()
-    page = F.broadcast(texts.select(F.col("text").alias("page")))  # one page
-    rows = credits.crossJoin(page).withColumns({"lic": F.trim(F.coalesce("license", F.lit(""))), "why": denied(F.coalesce("license", F.lit("")))})
+    used = images(nodes).distinct()
+    rows = credits.withColumns({"lic": F.trim(F.coalesce("license", F.lit(""))), "why": denied(F.coalesce("license", F.lit("")))})
     lacks = lambda *names: F.array_compact(F.array(*(F.when(F.coalesce(F.length(n), F.lit(0)) == 0, F.lit(n)) for n in names)))
     sourced, generated = rows.filter("origin = 'sourced'"), rows.filter("origin = 'generated'")
     fields = sourced.select("name", F.explode(lacks("source", "credit", "license")).alias("f")).unionByName(generated.select("name", F.explode(lacks("generator", "prompt")).alias("f")))
     unusable = sourced.filter(F.col("why").isNotNull() | ~F.lower("lic").isin(*PERMITTED))
-    silent = sourced.filter(F.lower("lic").startswith("cc by") & (F.length("credit") > 0) & ~F.col("page").contains(F.col("credit")))
-    bare = generated.filter(~F.col("page").contains(GENERATED_LABEL)).join(used, "name", "left_semi")
+    owed = sourced.filter(F.lower("lic").startswith("cc by") & (F.length("credit") > 0)).select("name", "credit")
+    seen = retrieval.find_passages(texts.select(F.col("doc_id").alias("source_id"), "text"), owed.select(F.col("name").alias("passage_id"), F.col("credit").alias("text"))).select(F.col("source_id").alias("doc_id"), F.col("passage_id").alias("name"))
+    silent = owed.join(used, "name").join(seen, ["doc_id", "name"], "left_anti").select("name").unionByName(owed.join(used, "name", "left_anti").join(seen, "name", "left_anti").select("name")).distinct()
+    bare = generated.select("name").join(used, "name").join(texts.select("doc_id", "text"), "doc_id").filter(~F.col("text").contains(GENERATED_LABEL)).select("name").distinct()
     out = [
-        gates.finding(used.join(credits.select("name"), "name", "left_anti"), "licenses", "E-IMG-UNCREDITED", "name", "no credits entry"),
-        gates.finding(fields, "licenses", "E-IMG-FIELDS", "name", F.format_string("needs '%s'", "f")),
-        gates.finding(rows.filter("coalesce(origin, '') not in ('sourced', 'generated')"), "licenses", "E-IMG-FIELDS", "name", "origin must be 'sourced' or 'generated'"),
-        gates.finding(unusable, "licenses", "E-IMG-LICENSE", "name", F.format_string("license '%s' is not usable (%s)", F.col("lic"), F.coalesce("why", F.lit("not in the permitted set")))),
-        gates.finding(silent, "licenses", "E-IMG-ATTRIB", "name", "CC BY requires the credit to be visible"),
-        gates.finding(sourced.filter(F.lower("lic").contains("-sa")), "licenses", "W-IMG-SHAREALIKE", "name", "share-alike obligation on the whole", "error" if strict else "warn"),
-        gates.finding(bare, "licenses", "E-IMG-UNLABELED", "name", f"a generated image must render a visible '{GENERATED_LABEL}' label"),
+        gates.finding(used.select("name").distinct().join(credits.select("name"), "name", "left_anti"), "licenses", "E-IMG-UNCREDITED", "name", "shown without an entry in the credits"),
+        gates.finding(fields, "licenses", "E-IMG-FIELDS", "name", F.format_string("the field %s is empty", "f")),
+        gates.finding(rows.filter("coalesce(origin, '') not in ('sourced', 'generated')"), "licenses", "E-IMG-FIELDS", "name", "the origin is neither sourced nor generated"),
+        gates.finding(unusable, "licenses", "E-IMG-LICENSE", "name", F.format_string("cannot be used under '%s': %s", F.col("lic"), F.coalesce("why", F.lit("not among the permitted licences")))),
+        gates.finding(silent, "licenses", "E-IMG-ATTRIB", "name", "its credit is not to be seen"),
+        gates.finding(sourced.filter(F.lower("lic").contains("-sa")), "licenses", "W-IMG-SHAREALIKE", "name", "the whole must be shared alike", "error" if strict else "warn"),
+        gates.finding(bare, "licenses", "E-IMG-UNLABELED", "name", f"generated, without the label '{GENERATED_LABEL}'"),
     ]
     if files is not None:
         changed = credits.filter("sha256 is not null").join(files.select("name", F.col("sha256").alias("actual")), "name").filter("actual <> sha256")
-        out.append(gates.finding(changed, "licenses", "E-IMG-HASH", "name", "the file does not match the recorded sha256"))
+        out.append(gates.finding(changed, "licenses", "E-IMG-HASH", "name", "not the file whose digest was recorded"))
     return gates.union(*out)
 
 

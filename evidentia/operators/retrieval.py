@@ -22,7 +22,7 @@ class Index:
 
     def write(self, folder: str) -> None:
         """Postings are kept by term, so that a query's terms read few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.doclen.write.mode("overwrite").parquet(f"{folder}/doclen")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
@@ -31,8 +31,13 @@ class Index:
         return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("postings", "doclen", "stats")))
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """From (chunk_id, text). Chunks without a term count in the statistics; the mean length is rounded to 4 places."""
+def build_index(chunks: DataFrame, sources: DataFrame | None = None) -> Index:
+    """From (chunk_id, text), or (chunk_id, source_id, text) where only chunks of ready ``sources(id, status)`` count.
+
+    Chunks without a term count in the statistics; the mean length is rounded to 4 places.
+    """
+    if sources is not None:
+        chunks = chunks.join(sources.filter("status = 'ready'").select(F.col("id").alias("source_id")), "source_id", "left_semi")
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
     doclen = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
     postings = tokens.select(F.explode("tokens").alias("term"), "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))

@@ -14,6 +14,7 @@ from ..operators import chunking, claims, contradictions, gates, lint, publishin
 from ..operators.schema_rules import validate
 from ..sources import files, pages
 from ..streaming import windows
+from . import cases
 
 QUERY = "the reason of a nation and the hain ering"
 TERMS = "documents with rare terms tion ering hain"
@@ -106,7 +107,7 @@ def find_in_text(spark, d):
 def _evidence(spark, d):
     """Evidence from passages found in documents; every fifth passage is tampered with."""
     spans = _spans(spark, d).join(t(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("said")), "passage_id")
-    said = F.when(F.col("passage_id") % 5 == 0, F.concat(F.lit("#"), F.substring("said", 2, 100000))).otherwise(F.col("said"))
+    said = F.when(F.col("passage_id") % 5 == 0, F.concat(F.lit("#"), F.expr("substring(said, 2)"))).otherwise(F.col("said"))
     return spans.select(F.col("passage_id").alias("claim_id"), "source_id", F.col("span_start").cast("int").alias("start"), F.col("span_end").cast("int").alias("end"), said.alias("quote"), F.lit(None).cast("string").alias("quote_sha256"), F.lit(False).alias("redacted"))
 
 
@@ -115,7 +116,7 @@ def quote_gate(spark, d):
 
 
 def quote_budget(spark, d):
-    quotes = _evidence(spark, d).withColumns({"ord": F.col("claim_id") * 1_000_000_000 + F.col("source_id"), "quote": F.substring("quote", 1, 120)}).withColumn("source_id", F.col("source_id") % 7)
+    quotes = _evidence(spark, d).withColumn("ord", F.col("claim_id") * 1_000_000_000 + F.col("source_id")).withColumn("source_id", F.col("source_id") % 7)
     return claims.budget(quotes, distinct_spans=False).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("granted").alias("granted"), F.coalesce(F.sum(F.when(F.col("granted"), F.length("quote"))), F.lit(0)).alias("chars"))
 
 
@@ -170,8 +171,8 @@ def _orders(spark, d):
 
 
 def _conversations(spark, d):
-    rows = t(spark, d, "conversations").filter("text is not null")
-    return rows.select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("topic_key"), "text", F.lit("statement").alias("kind"), F.lit(False).alias("volatile"), F.lit(None).cast("string").alias("as_of"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"))
+    rows = t(spark, d, "conversations")
+    return rows.select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("topic_key"), F.coalesce("text", F.lit("")).alias("text"), F.lit("statement").alias("kind"), F.lit(False).alias("volatile"), F.lit(None).cast("string").alias("as_of"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"))
 
 
 def _members(df: DataFrame, detector: str) -> DataFrame:
@@ -197,9 +198,9 @@ def topic_all_detectors(spark, d):
 
 
 def _adjudications(spark, d):
-    """Customers' conflicts: those with an even number are settled, for the first claim or for all."""
-    found = contradictions.detect(_orders(spark, d)).filter("cast(topic_key as long) % 2 = 0")
-    outcome = F.element_at(F.array(*map(F.lit, ("supersede", "both_stand", "retract", "scope_split"))), (F.col("topic_key").cast("long") / 2 % 4 + 1).cast("int"))
+    """All customers' conflicts are settled, for the first claim or for all; a split of the scope changes nothing."""
+    found = contradictions.detect(_orders(spark, d))
+    outcome = F.element_at(F.array(*map(F.lit, ("supersede", "both_stand", "retract", "scope_split"))), (F.col("topic_key").cast("long") % 4 + 1).cast("int"))
     return found.select("cluster_id", "topic_key", outcome.alias("outcome"), F.array_min("claim_ids").alias("winner"), "claim_ids")
 
 
@@ -212,6 +213,12 @@ def adjudicate_unapplied(spark, d):
     return contradictions.unapplied(_orders(spark, d), _adjudications(spark, d)).select("id", F.coalesce("new_status", "new_confidence").alias("change"))
 
 
+def cluster_gate(spark, d):
+    """Two thirds of the conflicts are settled, some by superseding for nobody; nothing is applied."""
+    settled = _adjudications(spark, d).filter("cast(topic_key as long) % 3 <> 0").withColumn("winner", F.expr("if(cast(topic_key as long) % 5 = 0, null, winner)"))
+    return gates.clusters(_orders(spark, d), settled).groupBy("code", "subject").agg(F.count("*").alias("n"))
+
+
 def plan_orphans(spark, d):
     placed = t(spark, d, "orders").select(F.lit("s").alias("section"), F.col("o_custkey").alias("id"))
     held = t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "retracted").otherwise("active").alias("status"), F.lit("reported").alias("confidence"))
@@ -289,9 +296,9 @@ def order_cube(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalized_hash, source_ids, url_canonical, url_dup_groups, term_df, doclen, bm25_topk, bm25_restricted, bm25_per_source_topk, search_hits, find_benchmark_spans, find_in_text, quote_gate,
     quote_budget, chunk_coverage, chunk_rows, chunk_index, tier_gate, volatility_gate, gate_report, topic_numeric_conflict, topic_recency_spread, topic_polarity, topic_all_detectors, adjudicate_apply,
-    adjudicate_unapplied, plan_orphans, ordinals, dialogue_plan, package_checksums, page_lang_title, page_lint, page_text, page_nodes, page_images, fetch_refusals, props_schema, numbers_and_dates,
+    adjudicate_unapplied, cluster_gate, plan_orphans, ordinals, dialogue_plan, package_checksums, page_lang_title, page_lint, page_text, page_nodes, page_images, fetch_refusals, props_schema, numbers_and_dates,
     event_windows, events_as_of, order_cube,
-)}
+)} | cases.QUERIES
 
 # ------------------------------------------------------------------------ SQL twins
 
@@ -320,11 +327,11 @@ _O = "o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR)
 _NUM = "abs(a.x - b.x) / greatest(abs(a.x), abs(b.x)) > 0.05"
 _REC = "a.v AND b.v AND abs(date_diff('day', a.dt, b.dt)) > 180"
 _NEG = "regexp_matches(lower(text), '\\b(not|no|never|cannot|can''t|without|fails to|does not|do not|is not|are not|lacks|absent|excludes|unavailable|non-)\\b')"
-_CV = f"c AS (SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS topic_key, {_NEG} AS neg FROM conversations WHERE text IS NOT NULL)"
+_CV = f"c AS (SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS topic_key, {_NEG.replace('lower(text)', "lower(coalesce(text, ''))")} AS neg FROM conversations)"
 _CLS = "'cls_' || substr(sha256(topic_key), 1, 12)"
 _PAIRS = f"p AS (SELECT a.topic_key, a.id, {_NUM} AS num, {_REC} AS rec FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND (({_NUM}) OR ({_REC})))"
 _ADJ = f"""m AS (SELECT topic_key, min(id) AS winner, list(DISTINCT id) AS members FROM p GROUP BY topic_key),
-adj AS (SELECT topic_key, winner, unnest(members) AS id, ['supersede', 'both_stand', 'retract', 'scope_split'][CAST(CAST(topic_key AS BIGINT) // 2 % 4 + 1 AS INT)] AS outcome FROM m WHERE CAST(topic_key AS BIGINT) % 2 = 0)"""
+adj AS (SELECT topic_key, winner, unnest(members) AS id, ['supersede', 'both_stand', 'retract', 'scope_split'][CAST(CAST(topic_key AS BIGINT) % 4 + 1 AS INT)] AS outcome FROM m)"""
 _LEDGER = """l AS (SELECT d.doc_id, source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 4 AS t, CASE WHEN toxic = 1 THEN 'statement' ELSE 'number' END AS kind, quality FROM documents d JOIN labels USING (doc_id))"""
 _TIERS = """tg AS (SELECT 'E-TIER-D' AS code, CAST(doc_id AS VARCHAR) AS subject FROM l WHERE t = 3 AND quality = 1
   UNION ALL SELECT 'E-TIER-WEAK', CAST(doc_id AS VARCHAR) FROM l WHERE t = 2 AND quality = 1 AND kind = 'number'
@@ -353,7 +360,7 @@ SELECT doc_id, CAST(length(c) AS BIGINT) AS text_len, sha256(c) AS sha256 FROM n
     "find_in_text": """WITH p AS (SELECT doc_id, unnest(range(1, length(text) - 1)) AS i, text FROM documents), h AS (SELECT doc_id, count(*) AS n, sum(i - 1) AS starts FROM p WHERE substr(text, i, 3) = 'the' GROUP BY doc_id)
 SELECT doc_id, CASE WHEN n IS NULL THEN 'nomatch' ELSE 'exact' END AS status, coalesce(n, 0) AS n, CAST(starts AS BIGINT) AS starts FROM documents LEFT JOIN h USING (doc_id)""",
     "quote_gate": f"WITH {_SPANS} SELECT doc_id, item_id, CASE WHEN item_id % 5 = 0 THEN 'E-QUOTE-MISMATCH' ELSE 'ok' END AS code FROM sp",
-    "quote_budget": f"""WITH RECURSIVE {_SPANS}, e AS (SELECT doc_id % 7 AS source_id, doc_id, item_id, length(q) AS size, len(list_filter(string_split(q, ' '), lambda w: w <> '')) AS words FROM (SELECT doc_id, item_id, substr(CASE WHEN item_id % 5 = 0 THEN '#' || substr(said, 2) ELSE said END, 1, 120) AS q FROM sp)),
+    "quote_budget": f"""WITH RECURSIVE {_SPANS}, e AS (SELECT doc_id % 7 AS source_id, doc_id, item_id, length(q) AS size, len(list_filter(string_split(q, ' '), lambda w: w <> '')) AS words FROM (SELECT doc_id, item_id, CASE WHEN item_id % 5 = 0 THEN '#' || substr(said, 2) ELSE said END AS q FROM sp)),
 a AS (SELECT source_id, size, row_number() OVER (PARTITION BY source_id ORDER BY item_id, doc_id) AS k FROM e WHERE words <= 25 AND size BETWEEN 1 AND 200),
 f AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS chars FROM e
       UNION ALL SELECT f.source_id, a.k, f.n + CASE WHEN f.n < 3 AND f.chars + size <= 500 THEN 1 ELSE 0 END, f.chars + CASE WHEN f.n < 3 AND f.chars + size <= 500 THEN size ELSE 0 END FROM f JOIN a ON a.source_id = f.source_id AND a.k = f.k + 1),
@@ -373,6 +380,10 @@ SELECT o.id, CASE WHEN outcome = 'supersede' AND adj.id <> winner THEN 'supersed
 CASE WHEN outcome = 'both_stand' THEN 'contested' ELSE 'reported' END AS confidence, CASE WHEN outcome = 'supersede' AND adj.id <> winner THEN winner END AS superseded_by FROM o LEFT JOIN adj ON adj.id = o.id""",
     "adjudicate_unapplied": f"""WITH {_O}, {_PAIRS}, {_ADJ}
 SELECT id, CASE outcome WHEN 'supersede' THEN 'superseded' WHEN 'retract' THEN 'retracted' ELSE 'contested' END AS change FROM adj WHERE outcome = 'both_stand' OR (outcome <> 'scope_split' AND id <> winner)""",
+    "cluster_gate": f"""WITH {_O}, {_PAIRS}, {_ADJ}, s AS (SELECT *, CAST(topic_key AS BIGINT) AS c FROM adj), f AS (
+SELECT DISTINCT 'E-CLUSTER-OPEN' AS code, {_CLS} AS subject FROM s WHERE c % 3 = 0 UNION ALL SELECT DISTINCT 'E-ADJ-NOWINNER', {_CLS} FROM s WHERE c % 3 <> 0 AND c % 5 = 0 AND outcome = 'supersede'
+UNION ALL SELECT 'E-ADJ-UNAPPLIED', id FROM s WHERE c % 3 <> 0 AND (outcome = 'both_stand' OR (outcome <> 'scope_split' AND id <> winner AND c % 5 <> 0)))
+SELECT code, subject, count(*) AS n FROM f GROUP BY code, subject""",
     "plan_orphans": """SELECT 'E-PLAN-ORPHAN' AS code, CAST(o_custkey AS VARCHAR) AS subject, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey
 WHERE c_custkey IS NULL OR c_mktsegment = 'BUILDING' GROUP BY o_custkey""",
     "ordinals": """WITH f AS (SELECT l_partkey AS id, min((l_linenumber, l_orderkey)) AS pos FROM lineitem GROUP BY 1)
@@ -395,4 +406,4 @@ SELECT pointer, message, count(*) AS n FROM m GROUP BY ALL''',
     "page_nodes": r'''WITH h AS (SELECT regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '<script>', 'g') AS x FROM pages),
 t AS (SELECT unnest(regexp_extract_all(x, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM h) SELECT lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT '#document', count(*) FROM pages''',
     "page_images": "SELECT page_id AS doc_id, regexp_extract(html, '<img[^>]*src=.([^ >]*).', 1) AS name FROM pages WHERE contains(html, '<img')",
-}
+} | cases.ORACLES

@@ -20,9 +20,12 @@ MEDIA = {"html": "text/html", "htm": "text/html", "md": "text/markdown", "markdo
 
 
 def captures(spark: SparkSession, path: str, most: int = 25 << 20) -> DataFrame:
-    """(path, media_type, content, raw_sha256) of the files under a path that aren't larger than ``most`` bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= most)
-    return files.select("path", media_type(F.col("path")).alias("media_type"), "content", F.sha2("content", 256).alias("raw_sha256"))
+    """(path, media_type, content, raw_sha256, status, error) of the files under a path; those larger than ``most`` bytes fail unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = lambda df, content, error: df.select(
+        "path", media_type(F.col("path")).alias("media_type"), content.alias("content"), F.sha2(content, 256).alias("raw_sha256"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), error.alias("error"))
+    none, large = F.lit(None).cast("string"), F.format_string("%d bytes are more than the limit of %d", "length", F.lit(most))
+    return found(files.filter(F.col("length") <= most), F.col("content"), none).unionByName(found(files.filter(F.col("length") > most), F.lit(None).cast("binary"), large))
 
 
 def media_type(path: Column) -> Column:
@@ -119,8 +122,9 @@ def route(captured: DataFrame) -> DataFrame:
     rows = captured.withColumn("decoded", text).withColumn("md", html_to_markdown(F.col("decoded"), F.lit("")))
     rows = rows.withColumn("pdf", pdf_text(F.when(F.col("media_type") == "application/pdf", F.col("content"))))
     kind = F.col("media_type")
-    body = F.when(kind == "text/html", F.col("md.md")).when(kind.startswith("text/"), F.col("decoded")).when(kind == "application/pdf", F.col("pdf"))
-    return rows.select("path", F.when(body.isNotNull(), "ready").otherwise("needs_extraction").alias("status"), normalize(body).alias("text"))
+    failed = F.col("status") == "failed" if "status" in captured.columns else F.lit(False)
+    body = F.when(failed, None).when(kind == "text/html", F.col("md.md")).when(kind.startswith("text/"), F.col("decoded")).when(kind == "application/pdf", F.col("pdf"))
+    return rows.select("path", F.when(failed, "failed").when(body.isNotNull(), "ready").otherwise("needs_extraction").alias("status"), normalize(body).alias("text"))
 
 
 def blocked_address(address: str) -> str | None:

@@ -98,6 +98,25 @@ def test_substring_dedup(spark, monkeypatch, ranges):
     assert all(r["text"] == unchanged[r["id"]] for r in got if not r["n_removed"])
 
 
+def test_windows_of_one_hash_are_told_apart():
+    import numpy as np
+
+    from evidentia.llm.substring_dedup import repeats
+
+    h, more = np.array([5, 7, 5, 5, 7, 5, 9], np.uint64), np.array([1, 1, 2, 1, 1, 2, 3], np.uint32)
+    assert repeats(h, more).tolist() == [False, False, False, True, True, True, False]
+
+
+def test_repeated_texts_pass_in_shards(spark, monkeypatch):
+    from evidentia.llm import bloom
+
+    monkeypatch.setattr(bloom, "CAPACITY", 20)
+    rows = corpus()
+    want = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.undo()
+    assert want == {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
 def test_substring_dedup_inside_a_text_and_empty_table(spark):
     line = " ".join(f"w{i}" for i in range(25))
     df = spark.createDataFrame([(5, line + "\n" + line), (None, line)], "doc_id long, text string")

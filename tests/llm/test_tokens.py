@@ -17,13 +17,15 @@ def texts(n=300, seed=2):
     return plain + ["".join(rng.choice(STRANGE) for _ in range(rng.randint(0, 50))) for _ in range(n // 2)] + ["", " ", "a\nb", "a\n\nb", "word " * 9000]
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_is_the_tokenizer(name):
+def test_encoder_is_the_tokenizer(name, as_text):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    enc = tokens.Encoder(path)
-    some = texts()
+    plain.encode_special_tokens = as_text
+    enc = tokens.Encoder(path, as_text)
+    control = [x.content for x in plain.get_added_tokens_decoder().values()]
+    some = texts() + [f"a {x} b{x}c {x.upper()}{x} d" for x in control] + control
     for _ in range(2):
         got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode([t.encode() for t in some])]
         assert got == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
@@ -67,12 +69,11 @@ def table(spark, some):
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK_BYTES", 3000)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows, df = table(spark, texts(120))
+    rows, df = table(spark, texts(120) + ["ends<|endoftext|> and goes on", "<|endoftext|>"])
     folder = f"file://{tmp_path}/ids"
     huffman.write_token_ids(df, folder, path, 0)
     got = {r.doc_id: r for r in huffman.read_token_ids(spark, folder).collect()}
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     assert got[None].start == 0 and got[None].n_tokens == 1
     before = 1
     for i, t in sorted(rows):
@@ -110,7 +111,6 @@ def test_packing(spark, monkeypatch, kind):
     rows, df = table(spark, some)
     got = packing.pack(df.filter("doc_id is not null"), path, 2).collect()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     check_pieces(rows, got, plain, 2)
 
 
@@ -139,3 +139,29 @@ def test_combinations_fill_the_window():
 def test_crc_of_ids_in_spark(spark):
     df = spark.createDataFrame([(bytearray(b"abc"),)], "ids binary").selectExpr("crc32(ids) c")
     assert df.first().c == zlib.crc32(b"abc")
+
+
+def test_queries_of_ids_and_pieces_on_the_tables(spark):
+    from evidentia.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    plain, before = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op3_token_ids(spark, folder).collect()}
+    for i, t in docs:
+        ids = plain.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i] == (before, len(ids), crc(ids))
+        before += len(ids)
+    plain, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    out = queries.op5_packing(spark, folder).collect()
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, t in docs:
+        ids, at = plain.encode(t, add_special_tokens=False).ids + [2], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), crc(ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert all((b[0], b[1]) == ((a[0], a[1] + a[2]) if a[0] == b[0] else (a[0] + 1, 0)) for a, b in zip(spans, spans[1:])) and max(o + n for _, o, n in spans) <= 4096

@@ -61,6 +61,7 @@ def test_find(spark):
 
 URLS = [
     "HTTP://Example.COM:80/A/b?b=2&a=1&utm_source=x#frag", "https://h:443/", "https://h:8443/?q=a+b&q=%7E&e=", "http://user:pw@H.com/x/?ref=1", " https://h/p?a=1&a=0&A=2 ", "https://h", "https://h/?x=é&y=*", "https://h/a%20b?gclid=1&si=2&z=/",
+    "https://a.b/x?q=100%&z=1", "https://a.b/x?q=%zz&%=2", "https://a.b/?x=%E9&y=%25",
 ]
 
 
