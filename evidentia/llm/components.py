@@ -9,24 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, forget
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """One step: edges (u, v) with u > v that connect what ``edges`` connect, nearer to stars around smallest nodes; a checkpoint."""
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # large-star: each larger neighbour of u is tied to the smallest of u and its neighbours
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # small-star: u and its smaller neighbours are tied to the smallest of them
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    tied = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return cut(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``: component is the smallest node reachable."""
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    e, before = edges, None
     while True:
-        # large-star: each larger neighbour of u is tied to the smallest of u and its neighbours
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: u and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(tied.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e, last = contracted(e), e
+        if before is not None:
+            forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

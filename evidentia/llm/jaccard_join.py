@@ -12,7 +12,7 @@ postings are skipped without being read against each other; templates too small
 them are cut into single postings.
 
 Answer level: blocks with few possible pairs give those pairs. In a long, dense block no pairs are formed; it is
-worked off in rounds. In a round some centres (1, then 16, 256, ...) are compared with the block's sets, which all
+worked off in rounds. In a round some centres (1, then 64, then 1,024) are compared with the block's sets, which all
 then know the centre's answer. Sets that are connected by now are never compared again, and a block whose sets
 are all connected is done; so a block of copies of one text takes a round or two. From the second round on the answers of a pair are
 derived, where they decide, from the overlaps of both with the block's first centre (its anchor): at most
@@ -39,15 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .components import components
-from .store import cut, join_groups
+from .components import components, contracted
+from .store import cut, forget, join_groups
 from .words import WINDOW_R, Words, mix, release, text_slices
 
 SHINGLE = 5
 #: Blocks with up to so many possible partners a posting are compared pair by pair.
 FEW_PARTNERS = 8
 #: Centres of a block by round, the last number again and again.
-CENTRES = (1, 16, 256, 1024)
+CENTRES = (1, 64, 1024)
 #: Pairs of one centre that are compared in one place.
 PAIRS_AT_ONCE = 200
 #: Shingles counted by one cell of the sketch on average, and cells at most (a byte each is broadcast).
@@ -271,19 +271,25 @@ LIST = ["token", "block"]
 
 def _cut_hot(postings: DataFrame) -> DataFrame:
     """Postings of hot shingles with their blocks, cut as ``blocks`` does, but from the caps of each size."""
+    total = postings.count()
+    if not total:
+        return postings.select("cls", *LIST, "size", "cap")
     sizes = postings.groupBy("token", "size").agg(F.max("cap").alias("reach"), F.count("*").alias("__n"))
     order = Window.partitionBy("token").orderBy("size")
     first = F.col("size") > F.coalesce(F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     sizes = sizes.withColumn("first", F.when(first, F.col("size"))).withColumn("block", F.max("first").over(order)).select("token", "size", "block", "__n")
-    return join_groups(postings.drop("block"), sizes, ["token", "size"], "__n", postings.count()).select("cls", *LIST, "size", "cap")
+    return join_groups(postings.drop("block"), sizes, ["token", "size"], "__n", total).select("cls", *LIST, "size", "cap")
 
 
 def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, c, sizes, same): the overlaps of the distinct ``pairs(a, c, sizes)``; pairs of one centre c are spread over many places."""
-    counts = pairs.groupBy("c").agg(F.count("*").alias("__n"))
-    spread = F.ceil(F.col("__n") / PAIRS_AT_ONCE)
-    placed = join_groups(pairs, counts, "c", "__n", pairs.count()).select("a", "c", "sizes", F.pmod(F.xxhash64("a"), spread).alias("place"))
-    centres = counts.join(own.toDF("c", "items_c"), "c").select("c", "items_c", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("place"))
+    """(a, c, sizes, same): the overlaps of the distinct ``pairs(a, c, sizes, n)``.
+
+    ``n`` bounds the pairs of a centre c by the block in which they met; they are spread over so many places that
+    each has some ``PAIRS_AT_ONCE``, and the centre's items go once to each.
+    """
+    place = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PAIRS_AT_ONCE))
+    placed = pairs.select("a", "c", "sizes", place.alias("place"))
+    centres = placed.select("c", "place").distinct().join(own.toDF("c", "items_c"), "c")
     both = placed.join(own.toDF("a", "items_a"), "a").join(centres, ["c", "place"]).select("a", "c", "sizes", "items_a", "items_c")
     return both.mapInArrow(_shared, "a long, c long, sizes int, same int")
 
@@ -307,51 +313,48 @@ def _open(c: Column) -> Column:
 
 
 def block_links(postings: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (u, v) between classes: they connect all that links inside the blocks of ``postings(cls, token, block, size, cap)`` connect.
+    """Edges (u, v) between classes: they connect all that links inside the blocks of ``postings(cls, token, block, size, cap)`` connect.
 
-    ``own`` has each class's (cls, items).
+    ``own`` has each class's (cls, items). A class's label is a class that it is known to be connected to.
     """
-    links = postings.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
-    component = links.toDF("cls", "now")
+    edges = postings.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    held = ["cls", *LIST, "size", "cap", "label", "s", "anchor"]
     live = cut(postings.select("cls", *LIST, "size", "cap", F.col("cls").alias("label"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("anchor")))
     central = F.struct((F.col("cap") / F.col("size")).alias("central"), "cls", "size", "cap", "label", "s")
     for turn in count():
         most, total = CENTRES[min(turn, len(CENTRES) - 1)], live.count()
         if not total:
-            return links
+            return edges
         if turn:  # what is outside each block's largest part, in as many slots as the round has centres
             slot = F.when(F.col("rest") <= most, F.col("cls")).otherwise(F.pmod(F.xxhash64("cls"), F.lit(most)))
             chosen = live.filter("label <> top").groupBy(*LIST, slot.alias("slot")).agg(F.max(central).alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"))
         else:
             chosen = live.groupBy(*LIST).agg(F.max(central).alias("c"), F.count("*").alias("n"), F.count("*").alias("rest"))
-        chosen = cut(chosen)
-        centres = chosen.groupBy(*LIST).agg(F.collect_list("c").alias("centres"), F.max("n").alias("__n"))  # ``most`` at most
-        met = join_groups(live.select("cls", *LIST, "size", "cap", "label", "s", "anchor"), centres, LIST, "__n", total)
+        centres = cut(chosen.groupBy(*LIST).agg(F.collect_list("c").alias("centres"), F.max("n").alias("__n"), F.max("rest").alias("rest")))  # ``most`` at most
+        met = join_groups(live.select(*held), centres.drop("rest"), LIST, "__n", total)
         met = met.withColumn("chosen", F.exists("centres", lambda x: x["cls"] == F.col("cls")))
         met = met.withColumn("c", F.explode(F.filter("centres", _open))).withColumn("sure", F.expr("coalesce(7 * (s + c.s - anchor) >= 3 * (size + c.size), false)"))
-        pairs = cut(met.groupBy(F.col("cls").alias("a"), F.col("c.cls").alias("c")).agg(F.max("sure").alias("sure"), F.max(F.col("size") + F.col("c.size")).alias("sizes")))
+        pairs = cut(met.groupBy(F.col("cls").alias("a"), F.col("c.cls").alias("c")).agg(F.max("sure").alias("sure"), F.max(F.col("size") + F.col("c.size")).alias("sizes"), F.max("__n").alias("n")))
         same = cut(_compared(pairs.filter("not sure"), own))
-        new = cut(same.filter("7 * same >= 3 * sizes").select("a", "c").unionByName(pairs.filter("sure").select("a", "c")).toDF("u", "v"))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            component = cut(components(links)).toDF("cls", "now")
+        new = same.filter("7 * same >= 3 * sizes").select("a", "c").unionByName(pairs.filter("sure").select("a", "c")).toDF("u", "v")
+        edges, before = contracted(edges.unionByName(new)), edges
 
         # the centres have met their block, and where they were all outside its largest part, so has everything
-        label = F.coalesce("now", "label").alias("label")
-        live = cut(live.select("cls", *LIST, "size", "cap", "label", "s", "anchor").join(component, "cls", "left").select("cls", *LIST, "size", "cap", label, "s", "anchor"))
-        gone = chosen.select("c.cls", *LIST, "c.label").join(component, "cls", "left").select("cls", *LIST, label)
-        left = live.groupBy(*LIST, "label").agg(F.count("*").alias("n")).unionByName(gone.select(*LIST, "label", F.lit(-1).cast("long").alias("n")))
-        left = left.groupBy(*LIST, "label").agg(F.sum("n").alias("n")).filter("n > 0")
-        top = left.groupBy(*LIST).agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+        now = edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("now"))
+        gone = centres.select(*LIST, F.explode("centres.cls").alias("cls"))
+        met = live.select(*held).join(now, "cls", "left").withColumn("label", F.coalesce("now", "label")).join(gone, ["cls", *LIST], "left_anti").select(*held)
+        if not turn:  # each block's first centre is its anchor: its sets know what they share with it
+            anchors = centres.select(*LIST, F.col("centres")[0]["cls"].alias("c"), F.col("centres")[0]["size"].alias("anchor"), "__n")
+            met = join_groups(met.drop("s", "anchor"), anchors, LIST, "__n", total)
+            met = met.join(same.select(F.col("a").alias("cls"), "c", F.col("same").alias("s")), ["cls", "c"], "left").select(*held)
+        left = cut(met)
+        labels = left.groupBy(*LIST, "label").agg(F.count("*").alias("n"))
+        top = labels.groupBy(*LIST).agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
         if turn:
-            top = top.join(chosen.filter(F.col("rest") <= most).select(*LIST).distinct(), LIST, "left_anti")
+            top = top.join(centres.filter(F.col("rest") <= most).select(*LIST), LIST, "left_anti")
         top = top.select(*LIST, F.col("most.label").alias("top"), (F.col("n") - F.col("most.n")).alias("rest"), "n", F.col("n").alias("__n"))
-        live = join_groups(live, top, LIST, "__n", total).drop("__n").join(gone.select("cls", *LIST), ["cls", *LIST], "left_anti")
-        if not turn:  # each block's first centre is its anchor: its sets know what they share with it
-            anchors = chosen.select(*LIST, F.col("c.cls").alias("c"), F.col("c.size").alias("anchor"), F.col("n").alias("__n"))
-            live = join_groups(live.drop("s", "anchor"), anchors, LIST, "__n", total).drop("__n")
-            live = live.join(same.select(F.col("a").alias("cls"), "c", F.col("same").alias("s")), ["cls", "c"], "left").drop("c")
-        live = cut(live)
+        live, met = cut(join_groups(left, top, LIST, "__n", total).drop("__n")), live
+        forget(before, centres, pairs, same, met, left)
 
 
 def _overlap(kind: str):
@@ -421,7 +424,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = cut(postings.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
     own = sets_of(members, members.count(), True).withColumnRenamed("id", "rep").join(members, ["cls", "rep"], "left_semi")
     inside = block_links(postings, cut(own.dropDuplicates(["cls"]).select("cls", "items")))
-    label = cut(components(inside))
+    label = inside.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    label = cut(label.unionByName(inside.select("v", "v").toDF("node", "component").distinct().join(label, "node", "left_anti")))
 
     # pairs of other blocks, but for those that are connected already
     pairs = found.filter("b is not null").select("a", "b").distinct()

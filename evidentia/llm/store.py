@@ -26,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*done: DataFrame) -> None:
+    """Removes the files of checkpoints that nothing reads any more; what is no checkpoint is left alone."""
+    for df in done:
+        plan = df._jdf.queryExecution().logical()
+        if plan.nodeName().startswith("LogicalRDD") or plan.getClass().getSimpleName() == "LogicalRDD":
+            file = plan.rdd().getCheckpointFile()
+            if file.isDefined():
+                path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place, removed when the driver ends."""
     ensure_shared_dir(spark)
