@@ -9,20 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, forget
+from .store import cut, forget, join_groups
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """One step: edges (u, v) with u > v that connect what ``edges`` connect, nearer to stars around smallest nodes; a checkpoint."""
+    """One step: edges (u, v) with u > v that connect what ``edges`` connect, nearer to stars around smallest nodes; a checkpoint.
+
+    A node may have most of all edges, so in the small-star nodes meet their edges by ``join_groups``.
+    """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # large-star: each larger neighbour of u is tied to the smallest of u and its neighbours
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
     # small-star: u and its smaller neighbours are tied to the smallest of them
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    tied = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return cut(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    tied = join_groups(large, least, "u", "n", large.count()).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    done = cut(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    forget(large)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
