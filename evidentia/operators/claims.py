@@ -155,6 +155,7 @@ def render_markdown(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -
 
 def render_html(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
     """(ordinal, id, body): a list item of the HTML ledger for each resolved claim; thin ones have no ordinal."""
+    # The fragments of HTML below, which other tools read.
     esc = lambda c: escape_html(F.coalesce(c, F.lit("")))
     name = F.concat(esc(F.coalesce(F.nullif("title", F.lit("")), "source_id")), F.when(F.length("publisher") > 0, F.concat(F.lit(" &middot; "), esc(F.col("publisher")))).otherwise(""))
     linked = F.when(F.col("locator").startswith("http"), F.concat(F.lit('<a href="'), esc(F.col("locator")), F.lit('" rel="nofollow noopener">'), name, F.lit("</a>"))).otherwise(name)
