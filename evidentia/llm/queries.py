@@ -103,7 +103,52 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "families", "n_findings", "findings")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """The twin of ``op13``: each round is a pair of tables, assignments and codebooks."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM
+  (SELECT v.vec_id, v.label, v.part, v.x, c.entry, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far
+   FROM v JOIN c{r} c ON c.part = v.part) GROUP BY ALL),""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT part, entry, pos, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y
+         FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS pos FROM a{r}) GROUP BY ALL),
+n{r} AS (SELECT part, entry, list(y ORDER BY pos) AS x FROM m{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n{r} n ON n.part = c.part AND n.entry = c.entry),""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda y: y IS NULL OR NOT isfinite(y)))),
+v AS MATERIALIZED (SELECT vec_id, label, part, list_slice(w, part * len(w) // {parts} + 1, (part + 1) * len(w) // {parts}) AS x FROM k, range({parts}) p(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM v QUALIFY entry < {entries}),{"".join(steps)}
+e AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, h"""
+
+
 QUERIES = {
+    "op11_simhash": op11_simhash,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
     "op7_license_scan": op7_license_scan, "op8_piece_sampling": op8_piece_sampling,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op9_chat_format": op9_chat_format,
@@ -113,6 +158,30 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op2_exact_dedup": op2_exact_dedup}
 
 ORACLES = {
+    "op13_vector_codes": lloyd_sql(),
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gc AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+lc AS (SELECT lang, term, sum(c) AS c FROM gc GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY lang),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(gc.c, 0) AS c, CAST(1 + (1000000000 * (coalesce(gc.c, 0) + 2)) // (gn.n + 2 * v.v) AS BIGINT) AS p
+      FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN gc ON gc.lang = gn.lang AND gc.source = gn.source AND gc.term = kept.term),
+q AS (SELECT lc.lang, lc.term, CAST(1 + (1000000000 * (lc.c + 2)) // (ln.n + 2 * v.v) AS BIGINT) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10""",
     "op9_chat_format": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
