@@ -55,13 +55,13 @@ class Codebooks:
     """The entries of every part and their running sums, of a size that doesn't grow with the input."""
 
     def __init__(self, vectors: np.ndarray, most: int):
+        if 4 * most * most * max(1, vectors.shape[1]) >= 2**63:
+            raise ValueError(f"a component of {most / SCALE} is too large: squared distances leave 64 bits")
         self.length, self.parts, self.packed = vectors.shape[1], _edges(vectors.shape[1]), _packed(most)
         self.entries = [vectors[:, p].astype(np.int64) for p in self.parts]
         self.sums, self.counts = [np.zeros_like(e) for e in self.entries], np.zeros((PARTS, len(vectors)), np.int64)
         #: Whether float64 holds every sum of products.
         self.floats = 4 * most * most * max(1, self.length) < 2**53
-        if 4 * most * most * max(1, self.length) >= 2**63:
-            raise ValueError(f"a component of {most / SCALE} is too large: squared distances leave 64 bits")
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The codes (n, 4) of whole-number vectors, and the sums of their squared distances."""
@@ -97,7 +97,7 @@ class Codebooks:
 
 
 def _vectors(column: pa.Array, books: Codebooks) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), books.packed).reshape(len(column), books.length)
+    return np.ndarray((len(column), books.length), books.packed, b"".join(column.to_pylist()) or bytes(8))
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -174,7 +174,8 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     if first is None:
         return spark.createDataFrame([], f"`{id_col}` long, code string, error long, label_error long, codebooks_sha256 string")
     kept = kept.filter(F.size("vec") == first["n"])
-    start = _whole(np.array([r["vec"] for r in kept.orderBy(*order).select("vec").limit(ENTRIES).collect()]).reshape(-1, first["n"]))
+    chosen = [r["vec"] for r in kept.orderBy(*order).select("vec").limit(ENTRIES).collect()]
+    start = _whole(np.array(chosen, np.float64).reshape(len(chosen), first["n"]))
     most = int(kept.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(F.floor(x * SCALE).cast("double"))))).alias("m")).first()["m"] or 0)
     books = Codebooks(start, most)
 
