@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, claims, contradictions, gates, lint, publishing, retrieval, schema_rules
-from .sources import files, pages
+from .operators import chunking, claims, contradictions, extraction, gates, lint, merge, publishing, retrieval, schema_rules
+from .sources import files, snapshots
+from .sources.store import Store, cut
 
 
 class Engine:
@@ -18,6 +19,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, **tables: DataFrame):
         self.spark, self.tables = spark, dict(tables)
+        self._parsed: lint.Site | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -29,12 +31,30 @@ class Engine:
 
     # collecting and indexing
 
-    def add(self, new: DataFrame) -> DataFrame:
-        self.tables["sources"] = files.upsert_sources(self["sources"], new) if "sources" in self.tables else new
-        return self["sources"]
-
-    def extract(self, captured: DataFrame) -> DataFrame:
-        return files.route(captured)
+    def add(self, new: DataFrame, order: str = "seq") -> DataFrame:
+        """Takes in sources in the order of a column; returns an outcome a row."""
+        known = self.tables.get("sources", new.drop(order).limit(0))
+        self.tables["sources"], outcomes = merge.merge_sources(known, new, order)
+        return outcomes
+
+    def extract(self, captured: DataFrame, force: Column | bool = False) -> DataFrame:
+        """Brings ``texts`` in step with captures; returns an outcome a source."""
+        held = ("source_id", "text", "raw_sha256", "normalized_sha256", "normalizer_version")
+        known = self.tables.get("texts", self.spark.createDataFrame([], "source_id string, text string, raw_sha256 string, normalized_sha256 string, normalizer_version int"))
+        done = cut(extraction.extract(captured, known, force))
+        self.tables["texts"] = done.filter("text is not null").select(*held)
+        return done
+
+    def freeze(self, folder: str) -> str:
+        """Keeps sources and texts as a seed; returns its id."""
+        return snapshots.freeze(Store(self.spark, folder), self["sources"].withColumnRenamed("id", "source_id"), self["texts"])
+
+    def seed(self, folder: str, seed: str) -> DataFrame:
+        """Begins with a seed's sources and texts; returns them with what is wrong with them."""
+        found = snapshots.thaw(self.spark, Store(self.spark, folder), seed)
+        self.tables["sources"] = found.drop("text", "code", "digest").withColumnRenamed("source_id", "id")
+        self.tables["texts"] = found.filter("text is not null").select("source_id", "text")
+        return found
 
     def chunk(self, target: int = chunking.TARGET, overlap: int = chunking.OVERLAP) -> DataFrame:
         spans = chunking.chunk(self["texts"], target, overlap)
@@ -59,10 +79,12 @@ class Engine:
 
     # the ledger
 
-    def claim_add(self, new: DataFrame) -> DataFrame:
+    def claim_add(self, new: DataFrame, order: str = "seq") -> DataFrame:
+        """Takes in claims in the order of a column, the last one of a text counts; returns an outcome a row."""
         new = claims.normalize_claims(new)
-        self.tables["claims"] = claims.upsert(self["claims"], new) if "claims" in self.tables else new
-        return self["claims"]
+        empty = F.when(F.col("text").isNull(), "no text")
+        self.tables["claims"], outcomes = merge.merge(self.tables.get("claims", new.drop(order).limit(0)), new, "id", order, empty)
+        return outcomes
 
     def claim_set(self, changes: DataFrame) -> DataFrame:
         self.tables["claims"] = claims.set_fields(self["claims"], changes)
@@ -71,8 +93,9 @@ class Engine:
     def contradictions(self) -> DataFrame:
         return contradictions.detect(self["claims"], self.tables.get("adjudications"))
 
-    def adjudicate(self, new: DataFrame, apply: bool = False) -> DataFrame:
-        self.tables["adjudications"] = claims.upsert(self["adjudications"], new, "cluster_id") if "adjudications" in self.tables else new
+    def adjudicate(self, new: DataFrame, apply: bool = False, order: str = "seq") -> DataFrame:
+        """Records adjudications in the order of a column; the last one of a cluster counts."""
+        self.tables["adjudications"], _ = merge.merge(self.tables.get("adjudications", new.drop(order).limit(0)), new, "cluster_id", order)
         if apply:
             self.tables["claims"] = contradictions.apply_outcomes(self["claims"], self["adjudications"])
         return self["adjudications"]
@@ -81,27 +104,36 @@ class Engine:
         return claims.ordinals(self["claims"], claims.placements(self["plan"]))
 
     def ledger(self, form: str = "json") -> DataFrame:
-        """``form``: html, md, json or sources."""
+        """``form``: html, md or json as (place, offset, line), or sources."""
         if form == "sources":
             return claims.source_listing(self["sources"], self["claims"])
         full = claims.resolved(self["claims"], self.ordinals())
-        if form == "json":
-            return claims.render_json(full)
         ordered = claims.evidence_rows(full).join(full.select(F.col("id").alias("claim_id"), "ordinal"), "claim_id").withColumn("ord", F.struct("ordinal", "claim_id", "position"))
         granted = claims.budget(ordered.filter("ordinal is not null"))
-        return (claims.ledger_html if form == "html" else claims.ledger_markdown)(full, self["sources"], granted)
+        return claims.ledger_lines(claims.ledger_pieces(full, self["sources"], granted, form), form)
+
+    def write_ledger(self, folder: str, form: str = "json") -> list[dict]:
+        """Writes a ledger as part files; returns the list of them."""
+        return files.write_lines(self.ledger(form), folder)
 
     def inject(self, ledger: DataFrame, begin: str = "<!-- LEDGER -->", end: str = "<!-- /LEDGER -->") -> DataFrame:
-        """Pages with the ledger (one row) between their markers; ``html`` is null where the first marker is missing."""
+        """Pages with the ledger (its lines, or one row ``body``) between their markers; ``html`` is null where the first marker is missing."""
+        ledger = claims.whole(ledger) if "line" in ledger.columns else ledger
         return self["pages"].crossJoin(F.broadcast(ledger.select("body"))).withColumn("html", claims.inject(F.col("html"), F.col("body"), begin, end)).drop("body")  # one row
 
     # gates and publishing
 
+    def _site(self) -> lint.Site:
+        """The parsed pages, for as long as the pages are the same."""
+        if self._parsed is None or self._parsed.pages is not self["pages"]:
+            self._parsed = lint.Site(self["pages"])
+        return self._parsed
+
     def lint(self, waivers: dict[str, str] | None = None) -> DataFrame:
-        return lint.lint(self["pages"], waivers)
+        return lint.lint(self["pages"], waivers, site=self._site())
 
     def licenses(self, strict: bool = False) -> DataFrame:
-        return publishing.licenses(pages.dom_nodes(self["pages"]), pages.page_texts(self["pages"]), self["credits"], strict=strict)
+        return publishing.licenses(self._site().nodes, self._site().texts, self["credits"], strict=strict)
 
     def validate(self, records: DataFrame, schema: dict) -> DataFrame:
         return schema_rules.validate(records, schema)
@@ -124,7 +156,7 @@ class Engine:
         if "plan" in have:
             found.append(gates.plan(rows, claims.placements(self["plan"])))
         if "pages" in have:
-            found.append(gates.html(rows, pages.dom_nodes(self["pages"]), pages.page_texts(self["pages"])))
+            found.append(gates.html(rows, self._site().nodes, self._site().texts))
             open_ = self.lint(waivers).filter("not waived")
             found.append(gates.finding(open_, "lint", F.col("rule"), F.format_string("%d:%d", "doc_id", "line"), F.col("detail")))
         if "credits" in have and "pages" in have:

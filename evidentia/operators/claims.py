@@ -1,14 +1,13 @@
-"""The claim table: defaults, upsert, ordinals, marks, quote budgets and renderings."""
+"""The claim table: defaults, ordinals, marks, quote budgets and renderings."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import claim_id
 from ..functions.text import escape_html, is_http_url, word_count
+from .ranges import numbered, running
 
 # The budget of verbatim quotation.
 MAX_QUOTE_WORDS, MAX_QUOTE_CHARS, MAX_QUOTES_PER_SOURCE, MAX_CHARS_PER_SOURCE = 25, 200, 3, 500
@@ -27,11 +26,6 @@ def normalize_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumns(filled).withColumn("id", claim_id(F.col("text")))
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """``rows`` take the place of rows with the same key."""
-    return table.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-
-
 def set_fields(claims: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Non-null columns of ``changes`` overwrite those of the claims with the same id."""
     fields = [c for c in changes.columns if c != key]
@@ -54,23 +48,11 @@ def placements(plan: DataFrame) -> DataFrame:
 
 
 def ordinals(claims: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, ordinal) of citable claims: by first place in the plan, the unplaced ones after, by id.
-
-    Ordinals number the whole ledger, so ranks are kept apart by section and by stretches of it (65,536 positions or
-    ids, or the ids that begin alike); a stretch's ranks begin where those before end.
-    """
+    """(id, ordinal) of citable claims: by first place in the plan, the unplaced ones after, by id; numbered by ranges."""
     first = placed.groupBy("id").agg(F.min(F.struct("section", "position")).alias("at"))
     cited = claims.filter(citable(F.col("status"), F.col("confidence"))).select("id").join(first, "id", "left")
-    keyed = cited.select("id", F.col("at.section").alias("section"), F.col("at.position").alias("position"))
-    begins = F.substring("id", 1, 7) if dict(claims.dtypes)["id"] == "string" else F.floor(F.col("id") / 65536)
-    keyed = keyed.withColumns({"stretch": F.floor(F.col("position") / 65536), "begins": F.when(F.col("position").isNull(), begins)})
-    place = ["section", "stretch", "begins"]
-    sizes = keyed.groupBy(*place).agg(F.count("*").alias("n"))  # a row for each stretch
-    before = Window.orderBy(*(F.asc_nulls_last(c) for c in place)).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*(F.col(c).alias(f"{c}_") for c in place), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = keyed.withColumn("own", F.row_number().over(Window.partitionBy(*place).orderBy("position", "id")))
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in place))
-    return ranked.join(bases, same).select("id", (F.col("own") + F.col("base")).alias("ordinal"))
+    order = [F.asc_nulls_last("section"), F.asc_nulls_last("position"), "id"]
+    return numbered(cited.select("id", F.col("at.section").alias("section"), F.col("at.position").alias("position")), order, "ordinal").select("id", "ordinal")
 
 
 def evidence_rows(claims: DataFrame) -> DataFrame:
@@ -128,12 +110,6 @@ def resolved(claims: DataFrame, ords: DataFrame) -> DataFrame:
     return claims.join(ords, "id", "left").filter(F.col("ordinal").isNotNull() | thin).withColumn("marks", marks(F.col("confidence"), F.col("volatile")))
 
 
-def render_json(ledger: DataFrame) -> DataFrame:
-    """One row: the resolved ledger as JSON, the thin tail last."""
-    entries = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ordinal").isNull().alias("thin"), "ordinal", "id", F.struct(*ledger.columns).alias("claim")))), lambda x: x["claim"])
-    return ledger.agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), entries.alias("ledger")), {"ignoreNullFields": "false"}).alias("body"))
-
-
 def _printed(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
     """A row for each claim and piece of evidence (or none), with source and granted quote."""
     ev = evidence_rows(ledger).join(sources.select(F.col("id").alias("source_id"), "title", "publisher", "tier", "locator"), "source_id", "left")
@@ -172,25 +148,47 @@ def render_html(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> Da
     return ledger.join(lines, ledger["id"] == lines["claim_id"], "left").select("ordinal", "id", body.alias("body"))
 
 
-def _joined(rows: DataFrame, order: list[str], body: str = "body") -> DataFrame:
-    """One row: the bodies in order, a line each. What a reader opens is one file, so one task writes it."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, body))), lambda x: x[body])
-    return rows.agg(F.array_join(lines, "\n").alias("body"))
+def _fixed(spark: SparkSession, *pieces: tuple[int, str]) -> DataFrame:
+    """Lines around the entries, as many as there are kinds of them."""
+    return spark.createDataFrame([(at, None, None, line) for at, line in pieces], "block int, ordinal long, id string, line string")
+
 
+def ledger_pieces(ledger: DataFrame, sources: DataFrame, granted: DataFrame, form: str) -> DataFrame:
+    """(block, ordinal, id, line): the lines of a whole ledger as ``json``, ``md`` or ``html``; the first three columns are their order.
 
-def ledger_html(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
-    """(body,): the whole HTML ledger, cited claims in an ordered list and then the thin ones, if there are any."""
-    items = render_html(ledger, sources, granted)
-    cited, thin = _joined(items.filter("ordinal is not null"), ["ordinal"]), _joined(items.filter("ordinal is null"), ["id"])
+    HTML has the cited claims in an ordered list and then the thin ones, if there are any.
+    """
+    spark = ledger.sparkSession
+    thin = F.col("ordinal").isNull()
+    columns = ["block", F.col("ordinal").cast("long").alias("ordinal"), F.col("id").cast("string").alias("id"), "line"]
+    if form == "json":
+        entries = ledger.select(F.when(thin, 2).otherwise(1).alias("block"), "ordinal", "id", F.to_json(F.struct(*ledger.columns), {"ignoreNullFields": "false"}).alias("line"))
+        return entries.select(*columns).unionByName(_fixed(spark, (0, '{"schema_version":1,"ledger":['), (3, "]}")))
+    if form == "md":
+        gap = F.when(F.col("ordinal") > 1, "\n").otherwise("")
+        entries = render_markdown(ledger, sources, granted).select(F.lit(1).alias("block"), "ordinal", F.lit("").alias("id"), F.concat(gap, F.regexp_replace("body", r"\n\z", "")).alias("line"))
+        return entries.select(*columns).unionByName(_fixed(spark, (0, "# Ledger\n")))
+    items = render_html(ledger, sources, granted).select(F.when(thin, 4).otherwise(1).alias("block"), "ordinal", "id", F.col("body").alias("line"))
     note = '<li class="ledger-note">Inferences of the author. They are recorded and cited nowhere, since no source stands behind them.</li>'
-    tail = F.when(F.length("thin") > 0, F.concat(F.lit(f'<ul class="ledger ledger-thin">\n{note}\n'), "thin", F.lit("\n</ul>\n"))).otherwise("")
-    both = cited.crossJoin(thin.withColumnRenamed("body", "thin"))  # a row each
-    return both.select(F.concat(F.lit('<ol class="ledger">\n'), "body", F.when(F.length("body") > 0, "\n").otherwise(""), F.lit("</ol>\n"), tail).alias("body"))
+    around = _fixed(spark, (3, f'<ul class="ledger ledger-thin">\n{note}'), (5, "</ul>"))
+    around = around.crossJoin(F.broadcast(ledger.filter(thin).select(F.lit(1).alias("one")).limit(1))).drop("one")  # one row or none
+    return items.select(*columns).unionByName(_fixed(spark, (0, '<ol class="ledger">'), (2, "</ol>"))).unionByName(around)
+
+
+def ledger_lines(pieces: DataFrame, form: str, parts: int | None = None) -> DataFrame:
+    """(place, offset, line): every line of a ledger, its place from 1 and the byte that it begins at; the file is these lines, each with a line break."""
+    order = ["block", F.asc_nulls_first("ordinal"), F.asc_nulls_first("id")]
+    placed = running(pieces, order, {"place": F.lit(1).cast("long"), "offset": F.octet_length("line").cast("long") + 1}, parts)
+    if form == "json":  # entries but the first begin with a comma
+        comma = F.when(F.col("block").isin(1, 2) & (F.col("place") > 1), ",").otherwise("")
+        placed = placed.withColumns({"line": F.concat(comma, "line"), "offset": F.col("offset") + F.greatest(F.lit(0), F.col("place") - 2)})
+    return placed.select((F.col("place") + 1).alias("place"), "offset", "line")
 
 
-def ledger_markdown(ledger: DataFrame, sources: DataFrame, granted: DataFrame) -> DataFrame:
-    """(body,): the whole Markdown ledger."""
-    return _joined(render_markdown(ledger, sources, granted), ["ordinal"]).select(F.concat(F.lit("# Ledger\n\n"), "body").alias("body"))
+def whole(lines: DataFrame) -> DataFrame:
+    """(body,): lines as one text, for a page that is to hold them all; a page is one cell anyhow."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return lines.agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("body"))
 
 
 def source_listing(sources: DataFrame, claims: DataFrame) -> DataFrame:

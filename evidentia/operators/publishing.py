@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import asset_name
-from ..functions.text import is_http_url
+from ..functions.text import is_http_url, strip
 from . import gates, retrieval
 from .claims import evidence_rows
+from .ranges import with_next
 
 PAUSE_BOUNDARY, PAUSE_SPEAKER, PAUSE_SENTENCE = 600, 320, 180
 # Licences that an image may have.
@@ -16,17 +19,19 @@ PERMITTED = ("cc0", "pd", "public domain", "cc by", "cc by 2.0", "cc by 3.0", "c
 GENERATED_LABEL = "Generated illustration"
 
 
-def dialogue_plan(lines: DataFrame, script: list[str] | None = None, order: str = "n") -> DataFrame:
-    """(segment_id, speaker, text, pause_after_ms, out): pauses look one line ahead. ``script`` names columns that tell scripts apart."""
-    w = Window.partitionBy(*(script or [F.lit(0)])).orderBy(order)
-    following = F.lead("segment").over(w), F.lead("speaker").over(w)
-    rows = lines.withColumns({"last": F.lead(order).over(w).isNull(), "next_segment": following[0], "next_speaker": following[1]})
-    final = F.trim("text").rlike(r"[.!?]\"?$")
-    pause = (
-        F.when(F.col("last") | ~F.col("next_segment").eqNullSafe(F.col("segment")), PAUSE_BOUNDARY).when(F.col("next_speaker") != F.col("speaker"), PAUSE_SPEAKER).when(final, PAUSE_SENTENCE).otherwise(0)
-    )
+def dialogue_plan(lines: DataFrame, script: list[str] | None = None, order: str = "n", parts: int | None = None) -> DataFrame:
+    """(segment_id, speaker, text, pause_after_ms, out): pauses look one line ahead. ``script`` names columns that tell scripts apart.
+
+    Lines are dealt into ranges of the order of all scripts, and a range gets the first line after it, so one script
+    may be as long as all others together.
+    """
+    script = script or []
+    rows = with_next(lines, [*script, order], list(dict.fromkeys([*script, order, "segment", "speaker"])), parts)
+    other = reduce(Column.__or__, (~F.col(f"next.{c}").eqNullSafe(F.col(c)) for c in [*script, "segment"]))
+    final = strip(F.col("text")).rlike(r"[.!?]\"?\z")
+    pause = F.when(F.col("next").isNull() | other, PAUSE_BOUNDARY).when(F.col("next.speaker") != F.col("speaker"), PAUSE_SPEAKER).when(final, PAUSE_SENTENCE).otherwise(0)
     name = F.format_string("s%04d", order)
-    return rows.select(*(script or []), name.alias("segment_id"), "speaker", "text", pause.alias("pause_after_ms"), F.concat(F.lit("build/audio/"), name, F.lit(".wav")).alias("out"))
+    return rows.select(*script, name.alias("segment_id"), "speaker", "text", pause.alias("pause_after_ms"), F.concat(F.lit("build/audio/"), name, F.lit(".wav")).alias("out"))
 
 
 def voices(speakers: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
@@ -38,7 +43,7 @@ def voices(speakers: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
 
 def denied(license_: Column) -> Column:
     """Why a licence can't be used, or null."""
-    low = F.lower(F.trim(license_))
+    low = F.lower(strip(license_))
     return F.when(low.contains("-nc"), "NonCommercial").when(low.contains("-nd"), "NoDerivatives").when(low.contains("unknown"), "unknown").when(low.contains("all rights reserved"), "all rights reserved")
 
 
@@ -55,7 +60,7 @@ def licenses(nodes: DataFrame, texts: DataFrame, credits: DataFrame, files: Data
     share-alike licence is a warning, or an error if ``strict``. ``files``: (name, sha256) of assets at hand.
     """
     used = images(nodes).distinct()
-    rows = credits.withColumns({"lic": F.trim(F.coalesce("license", F.lit(""))), "why": denied(F.coalesce("license", F.lit("")))})
+    rows = credits.withColumns({"lic": strip(F.coalesce("license", F.lit(""))), "why": denied(F.coalesce("license", F.lit("")))})
     lacks = lambda *names: F.array_compact(F.array(*(F.when(F.coalesce(F.length(n), F.lit(0)) == 0, F.lit(n)) for n in names)))
     sourced, generated = rows.filter("origin = 'sourced'"), rows.filter("origin = 'generated'")
     fields = sourced.select("name", F.explode(lacks("source", "credit", "license")).alias("f")).unionByName(generated.select("name", F.explode(lacks("generator", "prompt")).alias("f")))

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import find_all, find_first, find_tolerant, preview, span, tokenize
+from ..sources.store import Store
 
 K1, B = 1.2, 0.75
 
 
+#: Files of chunks and postings are kept apart by so many buckets of sources and of terms.
+BUCKETS = 64
+
+
+def bucket(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x.cast("string")), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 @dataclass
 class Index:
     """``postings`` (term, chunk_id, tf), ``doclen`` (chunk_id, dl) and ``stats`` (n_docs, avgdl; one row)."""
@@ -20,15 +33,43 @@ class Index:
     doclen: DataFrame
     stats: DataFrame
 
-    def write(self, folder: str) -> None:
-        """Postings are kept by term, so that a query's terms read few row groups."""
-        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.doclen.write.mode("overwrite").parquet(f"{folder}/doclen")
-        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    def tables(self) -> dict[str, DataFrame]:
+        return {"postings": self.postings.withColumn("bucket", bucket(F.col("term"))), "doclen": self.doclen, "stats": self.stats}
+
+    def write(self, folder: str) -> int:
+        """Publishes the index as a version; postings are kept apart by term, so that a query's terms read few files."""
+        return Store(self.postings.sparkSession, folder).publish(self.tables(), {"postings": ["bucket"]}, {"postings": ["term", "chunk_id"]})
 
     @staticmethod
-    def read(spark: SparkSession, folder: str) -> Index:
-        return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("postings", "doclen", "stats")))
+    def read(spark: SparkSession, folder: str, version: int | None = None) -> Index:
+        store = Store(spark, folder)
+        version = store.latest() if version is None else version
+        return Index(*(store.read(x, version) for x in ("postings", "doclen", "stats")))
+
+
+class ChunkStore:
+    """Chunks by source and their index, published together: a reader of one version never sees one without the other."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.store = Store(spark, folder)
+
+    def publish(self, chunks: DataFrame, sources: DataFrame | None = None) -> int:
+        """``chunks``: (chunk_id, source_id, text) and more; ``sources`` as for ``build_index``."""
+        tables = {"chunks": chunks.withColumn("bucket", bucket(F.col("source_id")))} | build_index(chunks, sources).tables()
+        return self.store.publish(tables, {"chunks": ["bucket"], "postings": ["bucket"]}, {"chunks": ["source_id", "chunk_id"], "postings": ["term", "chunk_id"]})
+
+    def chunks(self, source=None, version: int | None = None) -> DataFrame:
+        """All chunks, or those of one source: then only its bucket is read."""
+        rows = self.store.read("chunks", version)
+        return (rows if source is None else rows.filter(F.col("bucket") == bucket(F.lit(source))).filter(F.col("source_id") == source)).drop("bucket")
+
+    def chunks_of(self, sources: DataFrame, version: int | None = None) -> DataFrame:
+        """The chunks of the sources in ``sources.source_id``; Spark prunes buckets that none of them lies in as it runs."""
+        wanted = sources.select("source_id").distinct().withColumn("bucket", bucket(F.col("source_id")))
+        return self.store.read("chunks", version).join(wanted, ["bucket", "source_id"], "left_semi").drop("bucket")
+
+    def index(self, version: int | None = None) -> Index:
+        return Index.read(self.store.spark, self.store.folder, version)
 
 
 def build_index(chunks: DataFrame, sources: DataFrame | None = None) -> Index:
@@ -52,8 +93,12 @@ def query_terms(spark: SparkSession, query: str) -> DataFrame:
 
 def bm25(index: Index, query: str, restrict: str | None = None) -> DataFrame:
     """(chunk_id, score) of chunks with a term of the query; document frequencies and means are those of the whole index."""
-    terms = F.broadcast(query_terms(index.postings.sparkSession, query))
-    hits = index.postings.join(terms, "term")
+    terms = query_terms(index.postings.sparkSession, query)
+    postings = index.postings
+    if "bucket" in postings.columns:  # a kept index: only the files of the query's terms are read
+        known = [r["term"] for r in terms.collect()]
+        postings = postings.filter(F.col("bucket").isin(*(bucket(F.lit(x)) for x in known)) & F.col("term").isin(known)).drop("bucket")
+    hits = postings.join(F.broadcast(terms), "term")
     df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the query
     if restrict is not None:
         hits = hits.filter(F.col("chunk_id").startswith(restrict))
@@ -109,24 +154,46 @@ def quote(texts: DataFrame, start: Column, end: Column) -> DataFrame:
     return texts.select("source_id", F.when(ok, span(F.col("text"), start, end)).alias("quote"), ok.alias("in_range"))
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def grams(x: pd.Series, n: pd.Series) -> pd.Series:
+    """The distinct runs of n characters of a text."""
+    return pd.Series([None if t is None else list({t[i : i + k] for i in range(len(t) - k + 1)}) for t, k in zip(x, n)], dtype=object)
+
+
+def _meetings(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(passage_id, source_id) of the texts that hold a passage's rarest piece. ``held``: (source_id, piece), ``wanted``: (passage_id, piece)."""
+    held = held.join(wanted.select("piece").distinct(), "piece", "left_semi")
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "piece", "left").groupBy("passage_id").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return rarest.join(held, "piece").select("passage_id", "source_id")
+
+
+def _by_grams(texts: DataFrame, passages: DataFrame) -> list[DataFrame]:
+    """(passage_id, source_id) for passages without a term: those of 1, 2 and more characters meet texts by grams of 1, 2 and 3."""
+    size = F.least(F.length("text"), F.lit(GRAM))
+    sizes = sorted(r["n"] for r in passages.select(size.alias("n")).distinct().collect())  # three values at most
+    piece = lambda df, key, n: df.select(key, F.explode(grams(F.col("text"), F.lit(n))).alias("piece"))
+    return [_meetings(piece(texts, "source_id", n), piece(passages.filter(size == n), "passage_id", n)) for n in sizes]
+
+
 def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """(source_id, passage_id, span_start, span_end): the first place of each passage in each text that holds it.
 
-    A substring join without trying every pair: a passage is looked for only where all of its index terms
-    occur, which its rarest term decides by an equi-join; ``contains`` confirms. Passages without a term are
-    few and short, and only those are tried everywhere.
+    A substring join without trying every pair: a passage is looked for only where its rarest index term occurs, or,
+    if it has none, as a mark or the inside of a word hasn't, its rarest gram of three characters; both are equi-joins,
+    and ``contains`` confirms. Empty passages are found nowhere.
     """
-    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("piece"))
     # the first and last word of a passage may be cut out of longer words of the text
     inner = passages.withColumn("text", F.regexp_replace("text", r"^\S+|\S+$", " "))
     wanted = terms(inner, "passage_id")
-    held = terms(texts, "source_id").join(wanted.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = wanted.join(df, "term", "left").groupBy("passage_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = rarest.join(held, "term").select("passage_id", "source_id")
-    checked = pairs.join(passages.select("passage_id", F.col("text").alias("needle")), "passage_id").join(texts.select("source_id", "text"), "source_id")
-    bare = passages.join(wanted.select("passage_id").distinct(), "passage_id", "left_anti").select("passage_id", F.col("text").alias("needle")).filter("length(needle) > 0")
-    everywhere = texts.select("source_id", "text").join(bare, F.col("text").contains(F.col("needle"))).select(*checked.columns)
-    found = checked.filter(F.col("text").contains(F.col("needle"))).unionByName(everywhere)
+    pairs = _meetings(terms(texts, "source_id"), wanted)
+    bare = passages.join(wanted.select("passage_id").distinct(), "passage_id", "left_anti").filter("length(text) > 0").select("passage_id", "text")
+    pairs = reduce(DataFrame.unionByName, _by_grams(texts, bare), pairs)
+    found = pairs.join(passages.select("passage_id", F.col("text").alias("needle")), "passage_id").join(texts.select("source_id", "text"), "source_id").filter(F.col("text").contains(F.col("needle")))
     start = find_first(F.col("text"), F.col("needle"))
     return found.select("source_id", "passage_id", start.alias("span_start"), (start + F.length("needle")).alias("span_end"))

@@ -88,6 +88,14 @@ def lint_words(spark, d):
     return _linted(spark, d, WORDS)
 
 
+def subtree_text(spark, d):
+    """The characters of text below every element of pages made from keys, and how many elements those are."""
+    html = F.expr("concat('<html><body><div>', repeat('<p>xx</p>', s % 5), '<section>', repeat('y', cast(k % 7 as int)), '<b>z<i>u</i></b></section></div><ul>', repeat('<li>o<br></li>', cast(k % 3 as int)), '</ul></body></html>')")
+    nodes = pages.dom_nodes(_parts(spark, d).select(F.col("k").alias("doc_id"), html.alias("html")))
+    sums = pages.subtree_sums(nodes, {"chars": F.length("own_text").cast("long"), "elements": (~F.col("tag").startswith("#")).cast("long")})
+    return sums.filter("tag not like '#%'").groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("elements").alias("elements"))
+
+
 def color_spaces(spark, d):
     rows = _parts(spark, d).selectExpr("k", "s * 5 AS r", "k * 7 % 256 AS g", "k * 13 % 256 AS b")
     written = F.when(F.col("k") % 2 == 0, F.format_string("#%02x%02x%02x", "r", F.col("g").cast("int"), F.col("b").cast("int"))).otherwise(F.format_string("rgb(%d, %d, %d)", "r", "g", "b"))
@@ -128,7 +136,8 @@ def html_gate(spark, d):
         F.expr("concat('c', k)").alias("id"), F.expr("if(k % 11 = 0, 'retracted', 'active')").alias("status"), F.expr("k % 2 = 0").alias("volatile"), F.lit("1871-02-03").alias("as_of"),
         F.expr("get(array('verified', 'reported', 'contested', 'inferred'), cast(k % 4 as int))").alias("confidence"),
         F.expr("array(named_struct('source_id', concat('s', k % 9), 'start', cast(k as int), 'end', cast(k + 1 as int), 'quote', trim(repeat(concat('stated', k, ' '), 26)), 'quote_sha256', cast(null as string), 'redacted', false))").alias("evidence"))
-    return _counted(gates.html(held, pages.dom_nodes(rendered), pages.page_texts(rendered)))
+    parsed = pages.Parsed(rendered, "nodes", "texts")
+    return _counted(gates.html(held, parsed.nodes, parsed.texts))
 
 
 _LIVE = "k % 13 <> 0 AND k % 11 <> 0 AND k % 17 <> 0"
@@ -149,7 +158,8 @@ def license_gate(spark, d):
         F.expr("concat('img', k, '.png')").alias("name"), F.expr("get(array('sourced', 'generated', 'found'), cast(k % 3 as int))").alias("origin"), F.lit("u").alias("source"), F.expr("if(k % 7 = 0, null, concat('Photo by P', k))").alias("credit"),
         F.expr("get(array('CC BY 4.0', 'CC BY-NC 4.0', 'CC0', 'CC BY-SA 4.0', 'Foo'), cast(k % 5 as int))").alias("license"), F.expr("if(k % 4 = 0, null, 'm')").alias("generator"), F.lit("x").alias("prompt"), F.expr("if(k % 6 = 0, repeat('a', 64), null)").alias("sha256"))
     at_hand = rows.select(F.expr("concat('img', k, '.png')").alias("name"), F.expr("repeat(if(k % 12 = 0, 'b', 'a'), 64)").alias("sha256"))
-    return _counted(publishing.licenses(pages.dom_nodes(shown), pages.page_texts(shown), credits, at_hand))
+    parsed = pages.Parsed(shown, "nodes", "texts")
+    return _counted(publishing.licenses(parsed.nodes, parsed.texts, credits, at_hand))
 
 
 _IMG, _SOURCED = "'img' || k || '.png'", "k % 10 <> 9 AND k % 3 = 0"
@@ -243,9 +253,10 @@ def ledger_html(spark, d):
 
 
 def ledger_json(spark, d):
-    entry = "array<struct<id:string,ordinal:int,marks:array<string>>>"
-    body = _book(spark, d).ledger("json").select(F.posexplode(F.from_json("body", f"ledger {entry}")["ledger"]).alias("place", "e"))
-    return body.select(F.col("place").cast("long").alias("place"), "e.id", F.col("e.ordinal").cast("long").alias("ordinal"), F.array_join("e.marks", " ").alias("marks"))
+    entry = "struct<id:string,ordinal:int,marks:array<string>>"
+    lines = _book(spark, d).ledger("json").filter(F.col("line").rlike('^,?[{]"') & ~F.col("line").startswith('{"schema_version"'))
+    body = lines.select((F.col("place") - 2).alias("place"), "offset", F.from_json(F.regexp_replace("line", "^,", ""), entry).alias("e"))
+    return body.select("place", "e.id", F.col("e.ordinal").cast("long").alias("ordinal"), F.array_join("e.marks", " ").alias("marks"))
 
 
 def ledger_sources(spark, d):
@@ -266,6 +277,8 @@ g AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY nk ORDER BY ord
 e AS (SELECT o.*, g.id IS NOT NULL AS shown, ['checked', 'reported', 'thin', 'contested'][k % 4 + 1] AS label, 'ABCD'[nk % 4 + 1] AS tier, n_name AS title FROM o LEFT JOIN g ON g.id = o.id JOIN nation ON n_nationkey = nk)"""
 _MARK = "'<span class=\"mark m-' || label || '\">' || label || '</span>' || CASE WHEN k % 2 = 0 THEN ' <span class=\"mark m-moving\">moving</span>' ELSE '' END"
 
+_LINES = "SELECT row_number() OVER w AS place, CAST(coalesce(sum(strlen(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", line FROM l WINDOW w AS (ORDER BY {})"
+
 # ------------------------------------------------------------------- sources and packages
 
 
@@ -345,7 +358,7 @@ def events_in_ranges(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    lint_surfaces, lint_colors, lint_words, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
+    lint_surfaces, lint_colors, lint_words, subtree_text, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
     claim_defaults, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules,
     event_sessions, events_in_ranges,
 )}
@@ -354,6 +367,11 @@ _LIN = lambda x: f"CASE WHEN {x} / 255.0 <= 0.04045 THEN {x} / 255.0 / 12.92 ELS
 
 ORACLES = {
     "lint_surfaces": _expected(SURFACES), "lint_colors": _expected(COLORS), "lint_words": _expected(WORDS),
+    "subtree_text": f"""WITH {_PARTS}, e AS (SELECT k, s % 5 AS ps, k % 7 AS ys, k % 3 AS ls FROM p), x AS (
+SELECT k, 'html' AS tag, 1 AS n, 2 * ps + ys + 2 + ls AS chars, 7 + ps + 2 * ls AS elements FROM e UNION ALL SELECT k, 'body', 1, 2 * ps + ys + 2 + ls, 6 + ps + 2 * ls FROM e UNION ALL SELECT k, 'div', 1, 2 * ps + ys + 2, 4 + ps FROM e
+UNION ALL SELECT k, 'p', ps, 2 * ps, ps FROM e WHERE ps > 0 UNION ALL SELECT k, 'section', 1, ys + 2, 3 FROM e UNION ALL SELECT k, 'b', 1, 2, 2 FROM e UNION ALL SELECT k, 'i', 1, 1, 1 FROM e
+UNION ALL SELECT k, 'ul', 1, ls, 1 + 2 * ls FROM e UNION ALL SELECT k, 'li', ls, ls, 2 * ls FROM e WHERE ls > 0 UNION ALL SELECT k, 'br', ls, 0, ls FROM e WHERE ls > 0)
+SELECT k AS doc_id, tag, CAST(n AS BIGINT) AS n, CAST(chars AS BIGINT) AS chars, CAST(elements AS BIGINT) AS elements FROM x""",
     "color_spaces": f"""WITH {_PARTS}, c AS (SELECT k, {_LIN('(s * 5)')} AS r, {_LIN('(k * 7 % 256)')} AS g, {_LIN('(k * 13 % 256)')} AS b FROM p),
 m AS (SELECT *, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS x, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS y, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS z FROM c),
 q AS (SELECT *, 0.2104542553 * x + 0.7936177850 * y - 0.0040720468 * z AS l, sqrt((1.9779984951 * x - 2.4285922050 * y + 0.4505937099 * z) ** 2 + (0.0259040371 * x + 0.7827717662 * y - 0.8086757660 * z) ** 2) AS ch FROM m)
@@ -380,17 +398,21 @@ z AS (SELECT DISTINCT source_id, 0::BIGINT AS k, 0::BIGINT AS c, 0::BIGINT AS ch
  UNION ALL SELECT z.source_id, a.k, c + (c < 3 AND chars + size <= 500)::INT, chars + CASE WHEN c < 3 AND chars + size <= 500 THEN size ELSE 0 END, granted + CASE WHEN c < 3 AND chars + size <= 500 THEN n ELSE 0 END FROM z JOIN a ON a.source_id = z.source_id AND a.k = z.k + 1)
 SELECT source_id, any_value(n) AS n, max(granted) AS granted FROM z JOIN (SELECT source_id, count(*) AS n FROM q GROUP BY 1) USING (source_id) GROUP BY source_id""",
     "claim_defaults": """SELECT 'clm_' || substr(sha256(lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))), 1, 12) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'retracted' ELSE 'active' END AS status, c_custkey % 3 = 0 AS volatile, 0::BIGINT AS links, '' AS notes FROM customer""",
-    "ledger_markdown": f"""WITH {_BOOK} SELECT '# Ledger' || chr(10) || chr(10) || string_agg(ordinal || '. **' || text || '**  ' || chr(10) || '   `' || label || CASE WHEN k % 2 = 0 THEN ' moving' ELSE '' END || '`' || CASE WHEN k % 2 = 0 THEN ' · as of 2024-01-01' ELSE '' END
+    "ledger_markdown": f"""WITH {_BOOK}, l AS (SELECT 0 AS o, '# Ledger' || chr(10) AS line UNION ALL
+SELECT ordinal, CASE WHEN ordinal > 1 THEN chr(10) ELSE '' END || ordinal || '. **' || text || '**  ' || chr(10) || '   `' || label || CASE WHEN k % 2 = 0 THEN ' moving' ELSE '' END || '`' || CASE WHEN k % 2 = 0 THEN ' · as of 2024-01-01' ELSE '' END
 || CASE k % 3 WHEN 0 THEN ' · [recheck](https://x/y)' WHEN 1 THEN ' · recheck URL withheld; not an http(s) address: ftp://x' ELSE '' END || chr(10) || '   - tier ' || tier || ' · ' || title || ' · '
-|| CASE WHEN shown THEN '"said <' || k || '>"' ELSE 'chars ' || k || '-' || (k + 9) END || chr(10), chr(10) ORDER BY ordinal) AS body FROM e""",
-    "ledger_html": f"""WITH {_BOOK}, thin AS (SELECT string_agg('<li class="ledger-entry" id="c-' || id || '"><p class="ledger-claim">' || replace(text, '&', '&amp;') || '</p><p class="ledger-meta"><span class="mark m-thin">thin</span>'
+|| CASE WHEN shown THEN '"said <' || k || '>"' ELSE 'chars ' || k || '-' || (k + 9) END FROM e)
+{_LINES.format('o')}""",
+    "ledger_html": f"""WITH {_BOOK}, thin AS (SELECT id, '<li class="ledger-entry" id="c-' || id || '"><p class="ledger-claim">' || replace(text, '&', '&amp;') || '</p><p class="ledger-meta"><span class="mark m-thin">thin</span>'
 || CASE WHEN k % 2 = 0 THEN ' <span class="mark m-moving">moving</span><span class="as-of">as of 2024-01-01</span>' ELSE '' END || CASE k % 3 WHEN 0 THEN '<a class="recheck" href="https://x/y" rel="nofollow noopener">recheck</a>' WHEN 1 THEN '<span class="recheck">recheck URL withheld; not an http(s) address: ftp://x</span>' ELSE '' END
-|| '</p><p class="ledger-source"><span class="tier tier-none">no source</span> author''s inference; weigh it as opinion.</p></li>', chr(10) ORDER BY id) AS t FROM b WHERE active AND inferred)
-SELECT '<ol class="ledger">' || chr(10) || string_agg('<li class="ledger-entry" id="c-' || id || '" value="' || ordinal || '"><p class="ledger-claim">' || replace(text, '&', '&amp;') || '</p><p class="ledger-meta">' || replace({_MARK}, 'm-thin', 'm-thin')
+|| '</p><p class="ledger-source"><span class="tier tier-none">no source</span> author''s inference; weigh it as opinion.</p></li>' AS t FROM b WHERE active AND inferred),
+l AS (SELECT 0 AS block, 0 AS ordinal, '' AS id, '<ol class="ledger">' AS line UNION ALL SELECT 2, 0, '', '</ol>' UNION ALL
+SELECT 3, 0, '', '<ul class="ledger ledger-thin">' || chr(10) || '<li class="ledger-note">Inferences of the author. They are recorded and cited nowhere, since no source stands behind them.</li>' UNION ALL SELECT 4, 0, id, t FROM thin UNION ALL SELECT 5, 0, '', '</ul>' UNION ALL
+SELECT 1, ordinal, id, '<li class="ledger-entry" id="c-' || id || '" value="' || ordinal || '"><p class="ledger-claim">' || replace(text, '&', '&amp;') || '</p><p class="ledger-meta">' || {_MARK}
 || CASE WHEN k % 2 = 0 THEN '<span class="as-of">as of 2024-01-01</span>' ELSE '' END || CASE k % 3 WHEN 0 THEN '<a class="recheck" href="https://x/y" rel="nofollow noopener">recheck</a>' WHEN 1 THEN '<span class="recheck">recheck URL withheld; not an http(s) address: ftp://x</span>' ELSE '' END
 || '</p><p class="ledger-source"><span class="tier tier-' || tier || '">tier ' || tier || '</span> ' || CASE WHEN nk % 2 = 0 THEN '<a href="https://n/' || nk || '" rel="nofollow noopener">' || title || ' &middot; P</a>' ELSE title || ' &middot; P' END
-|| CASE WHEN shown THEN '<q class="ledger-quote">said &lt;' || k || '&gt;</q>' ELSE '<span class="ledger-span">quote withheld under the quote budget; chars ' || k || '&ndash;' || (k + 9) || ' of the source</span>' END || '</p></li>', chr(10) ORDER BY ordinal)
-|| chr(10) || '</ol>' || chr(10) || '<ul class="ledger ledger-thin">' || chr(10) || '<li class="ledger-note">Inferences of the author. They are recorded and cited nowhere, since no source stands behind them.</li>' || chr(10) || any_value(t) || chr(10) || '</ul>' || chr(10) AS body FROM e, thin""",
+|| CASE WHEN shown THEN '<q class="ledger-quote">said &lt;' || k || '&gt;</q>' ELSE '<span class="ledger-span">quote withheld under the quote budget; chars ' || k || '&ndash;' || (k + 9) || ' of the source</span>' END || '</p></li>' FROM e)
+{_LINES.format('block, ordinal, id')}""",
     "ledger_json": f"""WITH {_BOOK}, w AS (SELECT id, ordinal, k FROM o UNION ALL SELECT id, NULL, k FROM b WHERE active AND inferred)
 SELECT row_number() OVER (ORDER BY ordinal IS NULL, ordinal, id) - 1 AS place, id, ordinal, ['m-checked', 'm-reported', 'm-thin', 'm-contested'][k % 4 + 1] || CASE WHEN k % 2 = 0 THEN ' m-moving' ELSE '' END AS marks FROM w""",
     "ledger_sources": "SELECT 'ABCD'[n_nationkey % 4 + 1] AS tier, n_name AS title, 's' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 4 <> 2) AS n_claims FROM nation",

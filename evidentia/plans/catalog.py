@@ -14,7 +14,7 @@ from ..operators import chunking, claims, contradictions, gates, lint, publishin
 from ..operators.schema_rules import validate
 from ..sources import files, pages
 from ..streaming import windows
-from . import cases
+from . import cases, kept
 
 QUERY = "the reason of a nation and the hain ering"
 TERMS = "documents with rare terms tion ering hain"
@@ -28,12 +28,6 @@ def _texts(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _chunks(spark, d):
-    """Each document as one chunk."""
-    docs = t(spark, d, "documents")
-    return docs.select(F.format_string("src_%d#c0000", "doc_id").alias("chunk_id"), F.format_string("src_%d", "doc_id").alias("source_id"), "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-
-
 def _html(spark, d):
     return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
 
@@ -61,34 +55,34 @@ def url_dup_groups(spark, d):
 
 
 def term_df(spark, d):
-    index = retrieval.build_index(_chunks(spark, d))
+    index = retrieval.build_index(kept.chunks(spark, d))
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def doclen(spark, d):
-    index = retrieval.build_index(_chunks(spark, d))
+    index = retrieval.build_index(kept.chunks(spark, d))
     return index.doclen.crossJoin(F.broadcast(index.stats)).select("chunk_id", "dl", "n_docs", F.round("avgdl", 4).alias("avgdl"))  # stats is one row
 
 
 def bm25_topk(spark, d):
-    best = retrieval.top_k(retrieval.bm25(retrieval.build_index(_chunks(spark, d)), QUERY))
+    best = retrieval.top_k(retrieval.bm25(kept.kept_chunks(spark, d).index(), QUERY))
     return best.select("chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 def bm25_restricted(spark, d):
-    best = retrieval.top_k(retrieval.bm25(retrieval.build_index(_chunks(spark, d)), TERMS, "src_1"))
+    best = retrieval.top_k(retrieval.bm25(kept.kept_chunks(spark, d).index(), TERMS, "src_1"))
     return best.select("chunk_id", F.round("score", 4).alias("score"))
 
 
 def bm25_per_source_topk(spark, d):
-    chunks = _chunks(spark, d)
-    scores = retrieval.bm25(retrieval.build_index(chunks), QUERY).join(chunks.select("chunk_id", "source"), "chunk_id")
+    store = kept.kept_chunks(spark, d)
+    scores = retrieval.bm25(store.index(), QUERY).join(store.chunks().select("chunk_id", "source"), "chunk_id")
     return retrieval.top_k_per(scores, F.col("source"), 3).select("source", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 def search_hits(spark, d):
-    chunks = _chunks(spark, d)
-    return retrieval.search(retrieval.build_index(chunks), chunks, QUERY).select("chunk_id", F.col("rank").cast("long").alias("rank"), "preview")
+    store = kept.kept_chunks(spark, d)
+    return retrieval.search(store.index(), store.chunks(), QUERY).select("chunk_id", F.col("rank").cast("long").alias("rank"), "preview")
 
 
 def _spans(spark, d):
@@ -162,6 +156,16 @@ def gate_report(spark, d):
     return gates.report(gates.union(gates.tiers(rows, sources), gates.volatility(rows), gates.confidence(rows)))
 
 
+def gate_notes(spark, d):
+    """What five gates have checked and found, in their order; quotes are the first characters of documents, every source's text is an e."""
+    rows, sources = _ledger(spark, d)
+    said = sources.filter("id not like '%9'").select(F.col("id").alias("source_id"), F.lit("e").alias("text"))
+    placed = t(spark, d, "documents").select(F.lit("s").alias("section"), F.col("doc_id").alias("id"))
+    watch = gates.Watch()
+    found = gates.union(gates.plan(rows, placed, watch), gates.quotes(rows, said, watch), gates.tiers(rows, sources, watch), gates.volatility(rows, watch), gates.confidence(rows, watch))
+    return gates.notes(found, watch)
+
+
 def _orders(spark, d):
     rows = t(spark, d, "orders")
     return rows.select(
@@ -295,10 +299,10 @@ def order_cube(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalized_hash, source_ids, url_canonical, url_dup_groups, term_df, doclen, bm25_topk, bm25_restricted, bm25_per_source_topk, search_hits, find_benchmark_spans, find_in_text, quote_gate,
-    quote_budget, chunk_coverage, chunk_rows, chunk_index, tier_gate, volatility_gate, gate_report, topic_numeric_conflict, topic_recency_spread, topic_polarity, topic_all_detectors, adjudicate_apply,
+    quote_budget, chunk_coverage, chunk_rows, chunk_index, tier_gate, volatility_gate, gate_report, gate_notes, topic_numeric_conflict, topic_recency_spread, topic_polarity, topic_all_detectors, adjudicate_apply,
     adjudicate_unapplied, cluster_gate, plan_orphans, ordinals, dialogue_plan, package_checksums, page_lang_title, page_lint, page_text, page_nodes, page_images, fetch_refusals, props_schema, numbers_and_dates,
     event_windows, events_as_of, order_cube,
-)} | cases.QUERIES
+)} | cases.QUERIES | kept.QUERIES
 
 # ------------------------------------------------------------------------ SQL twins
 
@@ -370,6 +374,12 @@ SELECT e.source_id, count(*) AS n, any_value(z.granted) AS granted, any_value(z.
     "tier_gate": f"WITH {_LEDGER}, {_TIERS} SELECT * FROM tg",
     "volatility_gate": f"WITH {_LEDGER}, {_VOL} SELECT code, subject, count(*) AS n FROM vg GROUP BY code, subject",
     "gate_report": f"WITH {_LEDGER}, {_TIERS}, {_VOL} SELECT 'tiers' AS gate, count(*) AS errors, 0::BIGINT AS warnings FROM tg UNION ALL SELECT 'volatility', count(*), 0 FROM vg",
+    "gate_notes": f"""WITH {_LEDGER}, {_TIERS}, {_VOL}, n AS (SELECT count(*) AS n FROM l),
+q AS (SELECT count(*) AS bad FROM l JOIN documents USING (doc_id) WHERE l.source LIKE '%9' OR substr(coalesce(text, ''), 1, 1) <> 'e'), o AS (SELECT count(*) AS bad FROM documents ANTI JOIN labels USING (doc_id)),
+g AS (SELECT 2 AS place, 'quotes' AS gate, n AS checked, bad AS failed, bad AS errors FROM n, q UNION ALL SELECT 3, 'confidence', n, 0, 0 FROM n
+UNION ALL SELECT 4, 'tiers', n, (SELECT count(DISTINCT subject) FROM tg), (SELECT count(*) FROM tg) FROM n UNION ALL SELECT 5, 'volatility', n, (SELECT count(DISTINCT subject) FROM vg), (SELECT count(*) FROM vg) FROM n
+UNION ALL SELECT 7, 'plan', (SELECT count(*) FROM documents), bad, bad FROM o)
+SELECT CAST(place AS INTEGER) AS place, gate, checked, failed, errors, 0::BIGINT AS warnings, CASE WHEN errors = 0 THEN checked || ' checked' ELSE failed || ' of ' || checked END AS note FROM g""",
     "topic_numeric_conflict": f"WITH {_O} SELECT DISTINCT a.topic_key, a.id FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND {_NUM}",
     "topic_recency_spread": f"WITH {_O} SELECT DISTINCT a.topic_key, a.id FROM o a JOIN o b ON a.topic_key = b.topic_key AND a.id <> b.id AND {_REC}",
     "topic_polarity": f"WITH {_CV} SELECT DISTINCT a.topic_key, a.id FROM c a JOIN c b ON a.topic_key = b.topic_key AND a.neg <> b.neg",
@@ -406,4 +416,4 @@ SELECT pointer, message, count(*) AS n FROM m GROUP BY ALL''',
     "page_nodes": r'''WITH h AS (SELECT regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '<script>', 'g') AS x FROM pages),
 t AS (SELECT unnest(regexp_extract_all(x, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM h) SELECT lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT '#document', count(*) FROM pages''',
     "page_images": "SELECT page_id AS doc_id, regexp_extract(html, '<img[^>]*src=.([^ >]*).', 1) AS name FROM pages WHERE contains(html, '<img')",
-} | cases.ORACLES
+} | cases.ORACLES | kept.ORACLES

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import io
 import ipaddress
+import json
 import re
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.ids import canonical_locator, source_id
 from ..functions.text import normalize
+from .store import Files, Store
 
 MEDIA = {"html": "text/html", "htm": "text/html", "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "pdf": "application/pdf", "json": "application/json", "csv": "text/csv"}
 
@@ -47,9 +49,31 @@ def records_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return json_records(spark, path, schema)
 
 
-def write_records(df: DataFrame, path: str, key: str) -> None:
-    """JSON lines in the order of a key."""
-    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(path)
+def write_records(df: DataFrame, path: str, key: str) -> int:
+    """JSON lines in the order of a key, as a new version of what stands under a path: readers see the old records or the new ones."""
+    return Store(df.sparkSession, path).publish({"records": df}, order={"records": [key]}, form="json")
+
+
+def read_records(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """What ``write_records`` has written last, or as a version."""
+    return Store(spark, path).read("records", version)
+
+
+def write_lines(lines: DataFrame, path: str) -> list[dict]:
+    """Writes (offset, line) as part files and ``parts.json``: [{name, offset, bytes}] of the files that make the whole, in order.
+
+    A task writes a range of lines. The list is written last, so that it names whole files only.
+    """
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "offset").sortWithinPartitions("offset").select("line").write.text(f"{path}/parts")
+    at, out, found = 0, [], Files(spark, path)
+    for f in sorted(found.fs.listStatus(found.path("parts")), key=lambda f: f.getPath().getName()):  # a file a range
+        if f.getPath().getName().startswith("part-") and f.getLen():
+            out.append({"name": f.getPath().getName(), "offset": at, "bytes": f.getLen()})
+            at += f.getLen()
+    found.write_new("parts.json", json.dumps(out))
+    return out
 
 
 _MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -89,13 +113,6 @@ def canonical_texts(raw: DataFrame) -> DataFrame:
     return rows.select("source_id", "text", F.length("text").alias("text_len"), F.sha2("text", 256).alias("sha256"))
 
 
-def upsert_sources(known: DataFrame, new: DataFrame) -> DataFrame:
-    """A source seen again only refreshes when it was retrieved and its tier."""
-    again = known.join(new.select("id", F.col("retrieved_at").alias("r"), F.col("tier").alias("t"), F.col("tier_reason").alias("why")), "id", "left")
-    kept = again.withColumns({"retrieved_at": F.coalesce("r", "retrieved_at"), "tier": F.coalesce("t", "tier"), "tier_reason": F.coalesce("why", "tier_reason")}).select(*known.columns)
-    return kept.unionByName(new.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True)
-
-
 @pandas_udf(T.StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     """The text of PDFs, where a reader is installed and finds 40 characters and more; else null."""
@@ -114,17 +131,19 @@ def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else read(bytes(b)))
 
 
-def route(captured: DataFrame) -> DataFrame:
-    """(path, status, text) by media type: text and Markdown as they are, HTML and PDF through their readers; what has none waits for an extractor."""
+def route(captured: DataFrame, *carry: str) -> DataFrame:
+    """(path, status, text) by media type, and the columns ``carry``: text and Markdown as they are, HTML and PDF through
+    their readers; what has none waits for an extractor.
+    """
     from .pages import html_to_markdown
 
     text = decode(F.col("content"), F.lit(None).cast("string"))
-    rows = captured.withColumn("decoded", text).withColumn("md", html_to_markdown(F.col("decoded"), F.lit("")))
+    rows = captured.withColumn("decoded", text).withColumn("md", html_to_markdown(F.when(F.col("media_type") == "text/html", F.col("decoded")), F.lit("")))
     rows = rows.withColumn("pdf", pdf_text(F.when(F.col("media_type") == "application/pdf", F.col("content"))))
     kind = F.col("media_type")
     failed = F.col("status") == "failed" if "status" in captured.columns else F.lit(False)
     body = F.when(failed, None).when(kind == "text/html", F.col("md.md")).when(kind.startswith("text/"), F.col("decoded")).when(kind == "application/pdf", F.col("pdf"))
-    return rows.select("path", F.when(failed, "failed").when(body.isNotNull(), "ready").otherwise("needs_extraction").alias("status"), normalize(body).alias("text"))
+    return rows.select("path", F.when(failed, "failed").when(body.isNotNull(), "ready").otherwise("needs_extraction").alias("status"), normalize(body).alias("text"), *carry)
 
 
 def blocked_address(address: str) -> str | None:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -193,7 +194,9 @@ def test_renderings(spark):
     html = {r.ordinal: r.body for r in claims.render_html(full, sources, granted).collect()}
     assert "A &lt;b&gt;" in html[1] and "withheld; not an http(s)" in html[1] and '<q class="ledger-quote">Hello</q>' in html[1] and "m-thin" in html[None]
     assert '"Hello"' in claims.render_markdown(full, sources, granted).first().body
-    assert '"ordinal":1' in claims.render_json(full).first().body
+    lines = claims.ledger_lines(claims.ledger_pieces(full, sources, granted, "json"), "json")
+    read = json.loads(claims.whole(lines).first().body)
+    assert [(c["ordinal"], c["text"]) for c in read["ledger"]] == [(1, "A <b>"), (None, "thin")] and read["schema_version"] == 1
     assert claims.source_listing(sources, rows).first().n_claims == 1
     page = spark.createDataFrame([("x<!--a-->old<!--b-->y",), ("none",), ("x<!--a-->y",), ("<!--b--><!--a-->o<!--b-->",)], "p string").select(claims.inject(F.col("p"), F.lit("NEW\n\n"), "<!--a-->", "<!--b-->").alias("o")).collect()
     assert [r.o for r in page] == ["x<!--a-->\nNEW\n<!--b-->y", None, "x<!--a-->\nNEW\n<!--b-->y", "<!--b--><!--a-->\nNEW\n<!--b-->"]
@@ -354,4 +357,4 @@ def test_whole_ledgers_are_injected(spark):
     e = Engine(spark, claims=rows, sources=sources, pages=pages_, plan=spark.createDataFrame([], "ord int, claim_ids array<string>"))
     out = e.inject(e.ledger("html")).select("doc_id", "html", publishing.injected(F.col("html"), "<!-- LEDGER -->", "<!-- /LEDGER -->").alias("there")).orderBy("doc_id").collect()
     assert out[0].there and '<ol class="ledger">' in out[0].html and '<ul class="ledger ledger-thin">' in out[0].html and out[1].html is None
-    assert e.ledger("md").first().body.startswith("# Ledger\n\n1. **A**")
+    assert claims.whole(e.ledger("md")).first().body.startswith("# Ledger\n\n1. **A**")
