@@ -39,8 +39,10 @@ from .words import as_bytes, release
 LEAST, TOP, SCALE = 10, 10, 1_000_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 BREAK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-#: Bytes of a text whose terms are listed at once, and counted terms that a task holds.
-PIECE, HELD = 1 << 20, 200_000
+#: Bytes of a text whose terms are listed at once, and counted terms that a task holds, about.
+PIECE, HELD = 1 << 20, 500_000
+#: A counted term is one number, occurrences and documents times this.
+DOCUMENT = 1 << 40
 #: Sources of a block of postings, and pairs of blocks that a task holds.
 BLOCK, BLOCKS = 64, 256
 #: Groups, or buckets of them, up to this number are broadcast; more are joined by a shuffle.
@@ -58,35 +60,38 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs): occurrences and documents, those of a task added up as far as memory is given."""
-    counts, docs = {}, {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for group, found in counts.items():
-            terms = list(found)
-            columns = [pa.array([g] * len(terms), pa.string()) for g in group]
-            columns.append(pa.array(terms, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64()), pa.array([docs[group][t] for t in terms], pa.int64())], ["lang", "source", "term", "n", "docs"])
-        counts.clear()
-        docs.clear()
-
-    for b in batches:
-        langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, (lang, source) in enumerate(zip(langs, sources)):
-            text = as_bytes(b.column(2).slice(i, 1))[0]
-            if not text:
-                continue
-            own = Counter()
-            for piece in _pieces(text.lower()):
-                own.update(TERM.findall(piece))
-            n, d = counts.setdefault((lang, source), Counter()), docs.setdefault((lang, source), Counter())
-            n.update(own)
-            d.update(own.keys())
-            if i % 64 == 0 and sum(map(len, counts.values())) > HELD:
-                yield from rows()
-    yield from rows()
-    release()
+def _count(held: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, source, term, n, docs): occurrences and documents, those of a task added up as far as memory is given."""
+        groups = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for group, found in groups.items():
+                packed = np.fromiter(found.values(), np.int64, len(found))
+                columns = [pa.array([g] * len(found), pa.string()) for g in group]
+                columns.append(pa.array(list(found), pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed % DOCUMENT), pa.array(packed // DOCUMENT)], ["lang", "source", "term", "n", "docs"])
+            groups.clear()
+
+        for b in batches:
+            langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, group in enumerate(zip(langs, sources)):
+                text = as_bytes(b.column(2).slice(i, 1))[0]
+                if not text:
+                    continue
+                own = Counter()
+                for piece in _pieces(text.lower()):
+                    own.update(TERM.findall(piece))
+                found = groups.setdefault(group, {})
+                seen = found.get
+                for term, n in own.items():
+                    found[term] = seen(term, 0) + n + DOCUMENT
+                if sum(map(len, groups.values())) > held:
+                    yield from rows()
+        yield from rows()
+        release()
+
+    return count
 
 
 def share(n: Column, total: str, terms: str = "terms") -> Column:
@@ -110,43 +115,41 @@ def _near(df: DataFrame, n: int) -> DataFrame:
 def counted(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     """(lang, term, source, n, total, once): the kept terms of each group; ``once`` is 1 in one row of each (lang, term)."""
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
-    found = plain.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    found = plain.mapInArrow(_count(HELD), "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     term = Window.partitionBy("lang", "term")
     sums = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = sums.select("lang", "term", "source", "n", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("docs"), F.min("source").over(term).alias("least"))
     return whole.filter(F.col("docs") >= LEAST).select("lang", "term", "source", "n", "total", (F.col("source") == F.col("least")).cast("long").alias("once"))
 
 
-def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, a, b, value): what terms that both sources have add to their pair, a < b, summed over a task."""
-    held = {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, i, j), sums in held.items():
-            a, b = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(a), pa.string()), pa.array(a + i * BLOCK), pa.array(b + j * BLOCK), pa.array(sums[a, b])], ["lang", "a", "b", "value"]
-            )
-        held.clear()
-
-    for batch in batches:
-        columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        lists = {}
-        for name in ("k", "p", "p0", "k2", "p2", "p02"):
-            values, cuts = columns[name].values.to_numpy(), columns[name].offsets.to_numpy()
-            lists[name] = values, cuts
-        for row, key in enumerate(zip(columns["lang"].to_pylist(), columns["i"].to_pylist(), columns["j"].to_pylist())):
-            k, p, p0, k2, p2, p02 = (v[c[row] : c[row + 1]] for v, c in lists.values())
-            p, p0, p2, p02 = p[:, None], p0[:, None], p2[None], p02[None]
-            value = _f(p, p2) - _f(p, p02) - _f(p0, p2) + _f(p0, p02)
-            if key[1] == key[2]:
-                value = np.where(k[:, None] < k2[None], value, 0)
-            if key not in held:
-                if len(held) >= BLOCKS:
-                    yield from rows()
-                held[key] = np.zeros((BLOCK, BLOCK), np.int64)
-            held[key][k[:, None], k2[None]] += value
-    yield from rows()
+def _sum_pairs(block: int, blocks: int):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, a, b, value): what terms that both sources have add to their pair, a < b, summed over a task."""
+        held = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, i, j), values in held.items():
+                a, b = np.nonzero(values)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a + i * block), pa.array(b + j * block), pa.array(values[a, b])], ["lang", "a", "b", "value"])
+            held.clear()
+
+        for batch in batches:
+            columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            lists = [(columns[name].values.to_numpy(), columns[name].offsets.to_numpy()) for name in ("k", "p", "p0", "k2", "p2", "p02")]
+            for row, key in enumerate(zip(columns["lang"].to_pylist(), columns["i"].to_pylist(), columns["j"].to_pylist())):
+                k, p, p0, k2, p2, p02 = (v[c[row] : c[row + 1]] for v, c in lists)
+                p, p0, p2, p02 = p[:, None], p0[:, None], p2[None], p02[None]
+                value = _f(p, p2) - _f(p, p02) - _f(p0, p2) + _f(p0, p02)
+                if key[1] == key[2]:
+                    value = np.where(k[:, None] < k2[None], value, 0)
+                if key not in held:
+                    if len(held) >= blocks:
+                        yield from rows()
+                    held[key] = np.zeros((block, block), np.int64)
+                held[key][k[:, None], k2[None]] += value
+        yield from rows()
+
+    return sums
 
 
 def _pairs(posted: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
@@ -169,7 +172,7 @@ def _pairs(posted: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     columns = ["lang", "i", "j", "k", "p", "p0", "k2", "p2", "p02"]
     inside = own.selectExpr("lang", "i", "i j", "k", "p", "p0", "k k2", "p p2", "p0 p02")
     met = inside.select(*columns).unionByName(own.join(other, ["lang", "term"]).filter("i < j").select(*columns))
-    parts.append(met.mapInArrow(_sum_pairs, "lang string, a long, b long, value long"))
+    parts.append(met.mapInArrow(_sum_pairs(BLOCK, BLOCKS), "lang string, a long, b long, value long"))
 
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     names = _near(groups.select("lang", F.col("k").alias("a"), "source"), n_groups)
