@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import find_all, find_first, find_tolerant, preview, span, tokenize
-from ..sources.store import Store
+from ..sources.store import Store, cut
 
 K1, B = 1.2, 0.75
 
@@ -55,7 +56,8 @@ class ChunkStore:
 
     def publish(self, chunks: DataFrame, sources: DataFrame | None = None) -> int:
         """``chunks``: (chunk_id, source_id, text) and more; ``sources`` as for ``build_index``."""
-        tables = {"chunks": chunks.withColumn("bucket", bucket(F.col("source_id")))} | build_index(chunks, sources).tables()
+        tokens = cut(indexed(chunks, sources).select("chunk_id", tokenize(F.col("text")).alias("tokens")))  # once for all tables
+        tables = {"chunks": chunks.withColumn("bucket", bucket(F.col("source_id")))} | index_of(tokens).tables()
         return self.store.publish(tables, {"chunks": ["bucket"], "postings": ["bucket"]}, {"chunks": ["source_id", "chunk_id"], "postings": ["term", "chunk_id"]})
 
     def chunks(self, source=None, version: int | None = None) -> DataFrame:
@@ -72,14 +74,23 @@ class ChunkStore:
         return Index.read(self.store.spark, self.store.folder, version)
 
 
+def indexed(chunks: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """The chunks that an index covers."""
+    if sources is None:
+        return chunks
+    return chunks.join(sources.filter("status = 'ready'").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+
+
 def build_index(chunks: DataFrame, sources: DataFrame | None = None) -> Index:
     """From (chunk_id, text), or (chunk_id, source_id, text) where only chunks of ready ``sources(id, status)`` count.
 
     Chunks without a term count in the statistics; the mean length is rounded to 4 places.
     """
-    if sources is not None:
-        chunks = chunks.join(sources.filter("status = 'ready'").select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
+    return index_of(indexed(chunks, sources).select("chunk_id", tokenize(F.col("text")).alias("tokens")))
+
+
+def index_of(tokens: DataFrame) -> Index:
+    """From (chunk_id, tokens)."""
     doclen = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
     postings = tokens.select(F.explode("tokens").alias("term"), "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     stats = doclen.agg(F.count("*").alias("n_docs"), F.coalesce(F.round(F.avg("dl"), 4), F.lit(0.0)).alias("avgdl"))
@@ -154,14 +165,29 @@ def quote(texts: DataFrame, start: Column, end: Column) -> DataFrame:
     return texts.select("source_id", F.when(ok, span(F.col("text"), start, end)).alias("quote"), ok.alias("in_range"))
 
 
-#: Characters of a gram.
-GRAM = 3
+#: Characters of a gram; and so many different grams at most are named to all tasks.
+GRAM, FEW_GRAMS = 3, 100_000
+
+
+def _runs(text: str, sizes: Iterable[int]) -> set[str]:
+    return {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def grams(x: pd.Series, n: pd.Series) -> pd.Series:
     """The distinct runs of n characters of a text."""
-    return pd.Series([None if t is None else list({t[i : i + k] for i in range(len(t) - k + 1)}) for t, k in zip(x, n)], dtype=object)
+    return pd.Series([None if t is None else list(_runs(t, [k])) for t, k in zip(x, n)], dtype=object)
+
+
+def _wanted_grams(spark: SparkSession, wanted: list[str]):
+    """The grams of a text that are among ``wanted``."""
+    sent, sizes = spark.sparkContext.broadcast(frozenset(wanted)), sorted({len(x) for x in wanted})
+
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def held(x: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else list(_runs(t, sizes) & sent.value) for t in x], dtype=object)
+
+    return held
 
 
 def _meetings(held: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,11 +199,21 @@ def _meetings(held: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _by_grams(texts: DataFrame, passages: DataFrame) -> list[DataFrame]:
-    """(passage_id, source_id) for passages without a term: those of 1, 2 and more characters meet texts by grams of 1, 2 and 3."""
+    """(passage_id, source_id) for passages without a term: those of 1, 2 and more characters meet texts by grams of 1, 2 and 3.
+
+    Few grams are named to all tasks, which then look at each text once and hand on those alone; with more of them all
+    grams of the texts meet them in a join.
+    """
     size = F.least(F.length("text"), F.lit(GRAM))
-    sizes = sorted(r["n"] for r in passages.select(size.alias("n")).distinct().collect())  # three values at most
-    piece = lambda df, key, n: df.select(key, F.explode(grams(F.col("text"), F.lit(n))).alias("piece"))
-    return [_meetings(piece(texts, "source_id", n), piece(passages.filter(size == n), "passage_id", n)) for n in sizes]
+    wanted = passages.select("passage_id", F.explode(grams(F.col("text"), size)).alias("piece"))
+    known = [r["piece"] for r in wanted.select("piece").distinct().limit(FEW_GRAMS + 1).collect()]
+    if not known:
+        return []
+    if len(known) <= FEW_GRAMS:
+        held = texts.select("source_id", F.explode(_wanted_grams(texts.sparkSession, known)(F.col("text"))).alias("piece"))
+    else:
+        held = reduce(DataFrame.unionByName, (texts.select("source_id", F.explode(grams(F.col("text"), F.lit(n))).alias("piece")) for n in range(1, GRAM + 1)))
+    return [_meetings(held, wanted)]
 
 
 def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:

@@ -249,7 +249,9 @@ def test_a_ledger_in_parts_is_the_ledger(spark, tmp_path):
 # --------------------------------------------------------------------- short needles
 
 
-def test_short_needles_meet_their_texts_by_grams(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_short_needles_meet_their_texts_by_grams(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW_GRAMS", few)
     rng = random.Random(2)
     alphabet = "ab .,!\n漢é😀"
     texts = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, "")]
