@@ -11,7 +11,7 @@ from ..functions.ids import asset_name
 from ..functions.text import is_http_url, strip
 from . import gates, retrieval
 from .claims import evidence_rows
-from .ranges import with_next
+from .ranges import reached, running, with_next
 
 PAUSE_BOUNDARY, PAUSE_SPEAKER, PAUSE_SENTENCE = 600, 320, 180
 # Licences that an image may have.
@@ -132,5 +132,41 @@ def injected(page: Column, begin: str, end: str) -> Column:
     return (a > 0) & (b > a) & page.substr(a, b - a).contains('class="ledger"')
 
 
+#: So many failed verifications in a row block a workspace.
+MOST_REVISIONS = 3
+
+
+def history_states(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """(workspace, seq, action, revise_before, revise_after, state, code) of (workspace, seq, action, to_state).
+
+    Actions are ``failed`` and ``passed`` (verifications), ``unblock`` and ``advance`` (to a state). A failure adds one to
+    the count of revisions, up to the third, which blocks; passing and unblocking set it to none. So what a stretch of
+    history does to the count is either "set, then so many more" or "so many more", and stretches can be put together
+    in any grouping: the count before an event is the failures before it less those up to the last reset. Both are
+    running values over ranges of all events in order, so one workspace may have most of them.
+
+    Illegal steps are found and change nothing: E-STATE-BLOCKED, an advance while blocked, and E-UNBLOCK-IDLE, unblocking
+    what isn't blocked; so is E-ACTION-UNKNOWN. Null workspaces are one workspace; events with one place in the order are
+    taken in the order of their action.
+    """
+    events = events.select("workspace", "seq", "action", "to_state")
+    order = [F.asc_nulls_first("workspace"), "seq", "action", "to_state"]
+    action = F.col("action")
+    counted = running(events, order, {"fails": F.coalesce((action == "failed").cast("long"), F.lit(0))}, parts)
+    marked = reached(counted, order, F.when(action.isin("passed", "unblock"), F.col("fails")), "reset", parts)
+    begins = marked.groupBy(F.col("workspace").alias("__w")).agg(F.min("fails").alias("begin"))
+    own = marked.join(begins, F.col("workspace").eqNullSafe(F.col("__w")))
+    before = F.least(F.lit(MOST_REVISIONS), F.col("fails") - F.greatest(F.col("begin"), F.col("reset")))
+    rows = own.withColumn("revise_before", before.cast("int"))
+    blocked = F.col("revise_before") >= MOST_REVISIONS
+    after = F.when(action == "failed", F.least(F.lit(MOST_REVISIONS), F.col("revise_before") + 1)).when(action.isin("passed", "unblock"), 0).otherwise(F.col("revise_before"))
+    rows = rows.withColumn("revise_after", after.cast("int"))
+    state = (
+        F.when(F.col("revise_after") >= MOST_REVISIONS, "BLOCKED").when(action.isin("failed", "unblock"), "REVISE").when(action == "passed", "VERIFY").when(action == "advance", F.col("to_state"))
+    )
+    code = F.when((action == "advance") & blocked, "E-STATE-BLOCKED").when((action == "unblock") & ~blocked, "E-UNBLOCK-IDLE").when(action.isNull() | ~action.isin("failed", "passed", "unblock", "advance"), "E-ACTION-UNKNOWN")
+    return rows.select("workspace", "seq", "action", "revise_before", "revise_after", state.alias("state"), code.alias("code"))
+
+
 def append_history(history: DataFrame, to_state: str, at: str, note: str = "") -> DataFrame:
     return history.unionByName(history.sparkSession.range(1).select(F.lit(to_state).alias("state"), F.lit(at).alias("at"), F.lit(note).alias("note")))

@@ -30,6 +30,16 @@ def running(df: DataFrame, order: list[Column | str], values: dict[str, Column],
     return summed.drop("__part", *(f"__base_{v}" for v in values))
 
 
+def reached(df: DataFrame, order: list[Column | str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with the largest ``value`` of all rows before a row in the order; null where none of them has one."""
+    dealt = in_ranges(df.withColumn(name, value), order, parts)
+    tops = dealt.groupBy("__part").agg(F.max(name).alias("__top"))  # a row a range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.broadcast(tops.select("__part", F.max("__top").over(before).alias("__base")))
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(bases, "__part").withColumn(name, F.greatest("__base", F.max(name).over(own))).drop("__part", "__base")
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str, parts: int | None = None) -> DataFrame:
     """``df`` with the place of each row in the order, from 1."""
     return running(df, order, {name: F.lit(1).cast("long")}, parts).withColumn(name, F.col(name) + 1)

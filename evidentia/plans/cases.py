@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import color, css, text
-from ..operators import claims, contradictions, gates, lint, publishing, retrieval, schema_rules
+from ..operators import chunking, claims, contradictions, gates, lint, publishing, retrieval, schema_rules
 from ..sources import files, pages
 from ..streaming import windows
 
@@ -227,6 +227,59 @@ def claim_defaults(spark, d):
     return claims.normalize_claims(rows).select("id", "status", "volatile", F.size("contradicts").cast("long").alias("links"), "notes")
 
 
+def plan_contested(spark, d):
+    """Contested claims that a plan leaves out."""
+    held = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("if(c_custkey % 7 = 0, 'retracted', 'active')").alias("status"), F.expr("if(c_custkey % 4 = 0, 'contested', 'verified')").alias("confidence"))
+    return _counted(gates.plan(held, held.filter("id % 3 = 0").select(F.lit("s").alias("section"), "id")))
+
+
+def late_members(spark, d):
+    """Conflicts whose adjudications name all members, or only the first: those are open again, and say for whom."""
+    rows = t(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("topic_key"), F.lit("").alias("text"), F.lit("number").alias("kind"), (F.col("o_orderkey") * F.col("o_orderkey")).cast("double").alias("number"),
+        F.lit(False).alias("volatile"), F.lit(None).cast("string").alias("as_of"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"))
+    found = contradictions.detect(rows)
+    settled = found.filter("cast(topic_key as long) % 5 <> 0").select("cluster_id", F.lit("both_stand").alias("outcome"), F.expr("if(cast(topic_key as long) % 3 = 0, array(array_min(claim_ids)), claim_ids)").alias("claim_ids"))
+    return contradictions.detect(rows, settled).select("topic_key", "status", F.size("claim_ids").cast("long").alias("n"), F.array_join("unadjudicated_claim_ids", " ").alias("late"))
+
+
+def quote_excess(spark, d):
+    """Pages that print some quotes of one source: more than three, or too many characters, are found by page and source."""
+    pages_ = t(spark, d, "pages").withColumn("k", F.col("page_id"))
+    made = F.expr("transform(sequence(0, 5), i -> concat('wq', k, 'x', i, ' ', repeat('z', cast(k % 3 * 70 as int))))")
+    rows = pages_.select("k", "html", made.alias("said"))
+    rendered = rows.select(F.col("k").alias("doc_id"), F.concat(F.lit("<p>"), F.array_join(F.slice("said", 1, (F.col("k") % 7).cast("int")), " | "), F.lit('</p><i class="mark-legend">m</i>'), "html").alias("html"))
+    held = rows.select(F.posexplode("said").alias("i", "quote"), "k").select(
+        F.format_string("c%d-%d", "k", "i").alias("id"), F.lit("active").alias("status"), F.lit("verified").alias("confidence"), F.lit(False).alias("volatile"), F.lit(None).cast("string").alias("as_of"),
+        F.expr("array(named_struct('source_id', concat('s', k), 'start', i, 'end', i + 1, 'quote', quote, 'quote_sha256', cast(null as string), 'redacted', false))").alias("evidence"))
+    parsed = pages.Parsed(rendered, "nodes", "texts")
+    return _counted(gates.html(held, parsed.nodes, parsed.texts).filter("code = 'E-QUOTE-BUDGET'"))
+
+
+def cascade(spark, d):
+    """Up to five declarations compete for the colour of one paragraph: by inline style, id, later and earlier class, and name."""
+    light, dark = "color:#ccc", "color:#000"
+    style = F.expr(f"concat('body{{background:#fff}}', if(k % 7 = 0, '#y{{{dark}}}', ''), if(k % 3 = 0, '.x{{{dark}}}', ''), if(k % 5 = 0, '.z{{{light}}}', ''), if(k % 2 = 0, 'p{{{light}}}', ''))")
+    body = F.expr(f"concat('<p id=\"y\" class=\"x z\"', if(k % 11 = 0, ' style=\"{light}\"', ''), '>Text</p>')")
+    html = F.concat(F.lit("<html><head><style>"), style, F.lit("</style></head><body>"), body, F.lit("</body></html>"))
+    return lint.lint(_parts(spark, d).select(F.col("k").alias("doc_id"), html.alias("html")), rules=["a11y.contrast-body"]).select("doc_id", "snippet")
+
+
+def chunk_edges(spark, d):
+    """Chunks of texts made from keys: paragraphs under a heading for even keys, one long paragraph of sentences for odd ones."""
+    even = "concat('# H', k, '\\n', repeat(concat(repeat('wwwwwwwww ', 40), '\\n\\n'), cast(k % 13 + 1 as int)))"
+    odd = "concat(repeat(concat(repeat('a', 98), '. '), cast(k % 37 + 1 as int)), '\\n')"
+    made = _parts(spark, d).select(F.col("k").alias("source_id"), F.expr(f"if(k % 2 = 0, {even}, {odd})").alias("text"))
+    cuts = chunking.chunk(made)
+    return cuts.select(F.col("source_id").cast("long").alias("k"), F.col("ordinal").cast("long").alias("ordinal"), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), F.array_join("heading_path", "/").alias("heads"))
+
+
+def history_states(spark, d):
+    """All orders as events of their customers' workspaces."""
+    rows = t(spark, d, "orders").selectExpr("if(o_custkey % 3 = 0, 0, o_custkey) workspace", "o_orderkey seq", "get(array('failed', 'failed', 'advance', 'failed', 'advance', 'passed', 'failed', 'unblock', 'failed', 'advance', 'odd'), cast(o_orderkey % 11 as int)) action", "'COMPOSE' to_state")
+    return publishing.history_states(rows).select("workspace", "seq", "revise_before", "revise_after", "state", "code")
+
+
 # ----------------------------------------------------------------------- whole ledgers
 
 
@@ -359,7 +412,7 @@ def events_in_ranges(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     lint_surfaces, lint_colors, lint_words, subtree_text, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
-    claim_defaults, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules,
+    claim_defaults, plan_contested, late_members, quote_excess, cascade, chunk_edges, history_states, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules,
     event_sessions, events_in_ranges,
 )}
 
@@ -397,6 +450,27 @@ a AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS k FRO
 z AS (SELECT DISTINCT source_id, 0::BIGINT AS k, 0::BIGINT AS c, 0::BIGINT AS chars, 0::BIGINT AS granted FROM q
  UNION ALL SELECT z.source_id, a.k, c + (c < 3 AND chars + size <= 500)::INT, chars + CASE WHEN c < 3 AND chars + size <= 500 THEN size ELSE 0 END, granted + CASE WHEN c < 3 AND chars + size <= 500 THEN n ELSE 0 END FROM z JOIN a ON a.source_id = z.source_id AND a.k = z.k + 1)
 SELECT source_id, any_value(n) AS n, max(granted) AS granted FROM z JOIN (SELECT source_id, count(*) AS n FROM q GROUP BY 1) USING (source_id) GROUP BY source_id""",
+    "plan_contested": _findings("p AS (SELECT c_custkey AS k FROM customer)", (
+        ("E-PLAN-ORPHAN", "CAST(k AS VARCHAR)", "k % 3 = 0 AND k % 7 = 0"), ("E-CONTESTED-HIDDEN", "CAST(k AS VARCHAR)", "k % 7 <> 0 AND k % 4 = 0 AND k % 3 <> 0"))),
+    "late_members": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS c, CAST(o_orderkey AS DOUBLE) * o_orderkey AS x FROM orders),
+p AS (SELECT DISTINCT a.c, a.id FROM o a JOIN o b ON a.c = b.c AND a.id <> b.id AND abs(a.x - b.x) / greatest(abs(a.x), abs(b.x)) > 0.05),
+m AS (SELECT c, list(id ORDER BY id) AS ids FROM p GROUP BY c)
+SELECT CAST(c AS VARCHAR) AS topic_key, CASE WHEN c % 5 = 0 OR c % 3 = 0 THEN 'OPEN' ELSE 'RESOLVED' END AS status, CAST(len(ids) AS BIGINT) AS n, CASE WHEN c % 5 <> 0 AND c % 3 = 0 THEN array_to_string(ids[2:], ' ') ELSE '' END AS late FROM m""",
+    "quote_excess": """WITH p AS (SELECT page_id AS k, page_id % 7 AS shown FROM pages), q AS (SELECT k, shown, i, length('wq' || k || 'x' || i || ' ') + k % 3 * 70 AS n FROM p, range(6) r(i)),
+s AS (SELECT k, count(*) AS n, sum(n) AS chars FROM q WHERE i < shown GROUP BY k)
+SELECT 'E-QUOTE-BUDGET' AS code, 's' || k AS subject, 1::BIGINT AS n FROM s WHERE n > 3 OR chars > 500""",
+    "cascade": f"WITH {_PARTS} SELECT k AS doc_id, '#cccccc on #ffffff' AS snippet FROM p WHERE k % 11 = 0 OR (k % 7 <> 0 AND (k % 5 = 0 OR (k % 3 <> 0 AND k % 2 = 0)))",
+    "chunk_edges": f"""WITH {_PARTS}, e AS (SELECT k, 4 + length(CAST(k AS VARCHAR)) AS h, k % 13 + 1 AS n FROM p WHERE k % 2 = 0), o AS (SELECT k, k % 37 + 1 AS s FROM p WHERE k % 2 = 1),
+c AS (SELECT k, h, n, unnest(range((n + 2) // 3)) AS i FROM e), g AS (SELECT k, s, s // 10 + CASE WHEN s % 10 >= 6 THEN 1 ELSE 0 END AS m FROM o WHERE s > 15), f AS (SELECT k, s, m, unnest(range(m)) AS i FROM g)
+SELECT k, i AS ordinal, CASE WHEN i = 0 THEN 0 ELSE h + 1206 * i - 2 END AS span_start, CASE WHEN 3 * (i + 1) >= n THEN h + 402 * n ELSE h + 1206 * (i + 1) END AS span_end, 'H' || k AS heads FROM c
+UNION ALL SELECT k, 0, 0, 100 * s + 1, '' FROM o WHERE s <= 15
+UNION ALL SELECT k, i, 1000 * i, CASE WHEN i = m - 1 THEN 100 * s + 1 ELSE 1000 * (i + 1) END, '' FROM f""",
+    "history_states": """WITH e AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END AS workspace, o_orderkey AS seq, ['failed', 'failed', 'advance', 'failed', 'advance', 'passed', 'failed', 'unblock', 'failed', 'advance', 'odd'][o_orderkey % 11 + 1] AS action FROM orders),
+r AS (SELECT *, count(*) FILTER (action IN ('passed', 'unblock')) OVER (PARTITION BY workspace ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM e),
+b AS (SELECT *, CAST(least(3, count(*) FILTER (action = 'failed') OVER (PARTITION BY workspace, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS INTEGER) AS revise_before FROM r),
+a AS (SELECT *, CAST(CASE WHEN action = 'failed' THEN least(3, revise_before + 1) WHEN action IN ('passed', 'unblock') THEN 0 ELSE revise_before END AS INTEGER) AS revise_after FROM b)
+SELECT workspace, seq, revise_before, revise_after, CASE WHEN revise_after >= 3 THEN 'BLOCKED' WHEN action IN ('failed', 'unblock') THEN 'REVISE' WHEN action = 'passed' THEN 'VERIFY' WHEN action = 'advance' THEN 'COMPOSE' END AS state,
+CASE WHEN action = 'advance' AND revise_before >= 3 THEN 'E-STATE-BLOCKED' WHEN action = 'unblock' AND revise_before < 3 THEN 'E-UNBLOCK-IDLE' WHEN action = 'odd' THEN 'E-ACTION-UNKNOWN' END AS code FROM a""",
     "claim_defaults": """SELECT 'clm_' || substr(sha256(lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))), 1, 12) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'retracted' ELSE 'active' END AS status, c_custkey % 3 = 0 AS volatile, 0::BIGINT AS links, '' AS notes FROM customer""",
     "ledger_markdown": f"""WITH {_BOOK}, l AS (SELECT 0 AS o, '# Ledger' || chr(10) AS line UNION ALL
 SELECT ordinal, CASE WHEN ordinal > 1 THEN chr(10) ELSE '' END || ordinal || '. **' || text || '**  ' || chr(10) || '   `' || label || CASE WHEN k % 2 = 0 THEN ' moving' ELSE '' END || '`' || CASE WHEN k % 2 = 0 THEN ' · as of 2024-01-01' ELSE '' END

@@ -287,3 +287,24 @@ def test_tables_of_one_parse(spark):
     sums = pages.subtree_sums(parsed.nodes, {"n": F.lit(1).cast("long"), "chars": F.length("own_text").cast("long")})
     got = {r.tag: (r.n, r.chars) for r in sums.filter("doc_id = 1").collect()}
     assert got["p"] == (2, 2) and got["b"] == (1, 1) and got["#document"][0] == 8 and got["br"] == (1, 0)
+
+
+# -------------------------------------------------------------------------- history
+
+
+def test_history_is_walking_it(spark):
+    rng = random.Random(8)
+    actions = ["failed", "failed", "failed", "passed", "unblock", "advance", "odd", None]
+    events = [(rng.choice([None, "hot", "hot", "hot", *"abc"]), i, rng.choice(actions), rng.choice(["PLAN", "GROUND"])) for i in range(400)]
+    want, counts = {}, {}
+    for w, seq, action, to in events:
+        r = counts.get(w, 0)
+        after = min(3, r + 1) if action == "failed" else 0 if action in ("passed", "unblock") else r
+        state = "BLOCKED" if after >= 3 else {"failed": "REVISE", "unblock": "REVISE", "passed": "VERIFY", "advance": to}.get(action)
+        code = "E-STATE-BLOCKED" if action == "advance" and r >= 3 else "E-UNBLOCK-IDLE" if action == "unblock" and r < 3 else "E-ACTION-UNKNOWN" if action in (None, "odd") else None
+        want[seq], counts[w] = (w, r, after, state, code), after
+    df = spark.createDataFrame(rng.sample(events, len(events)), "workspace string, seq int, action string, to_state string").repartition(5)
+    for parts in (1, 11):
+        got = {r.seq: (r.workspace, r.revise_before, r.revise_after, r.state, r.code) for r in publishing.history_states(df, parts).collect()}
+        assert got == want
+    assert publishing.history_states(df.limit(0)).count() == 0
