@@ -181,7 +181,11 @@ class Engine:
         if public:
             ords = self.ordinals().withColumnRenamed("id", "claim_id")
             evidence = claims.redact(evidence.join(ords, "claim_id", "left").withColumn("ord", F.struct(F.coalesce("ordinal", F.lit(2**31 - 1)).alias("o"), "claim_id", "position")))
-        return publishing.provenance(self["sources"]), evidence
+        return publishing.provenance(self["sources"], public), evidence
+
+    def publish(self, folder: str, files: DataFrame, notes: DataFrame, question: str, at: str, public: bool = False) -> int:
+        """Writes a package as a version under a folder; returns its number."""
+        return publishing.package(Store(self.spark, folder), self["sources"], self["claims"], files, notes, question, at, self.ordinals() if public else None)
 
     def status(self, counts: DataFrame) -> DataFrame:
         return publishing.state(counts)

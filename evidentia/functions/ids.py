@@ -74,9 +74,28 @@ def canonical_url(url: Column) -> Column:
     )
 
 
-def canonical_locator(kind: Column, locator: Column) -> Column:
-    """By kind: url, paste, or a path relative to the workspace."""
-    return F.when(kind == "url", canonical_url(locator)).when(kind == "paste", paste_locator(locator)).otherwise(F.regexp_replace(F.replace(locator, F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
+def folded_path(path: Column) -> Column:
+    """A path without empty and ``.`` steps; ``..`` takes back the step before it. Above the beginning, relative paths keep it and absolute ones lose it."""
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    absolute = path.startswith("/")
+
+    def take(kept: Column, step: Column) -> Column:
+        back = (F.size(kept) > 0) & (F.element_at(F.concat(F.array(F.lit("")), kept), -1) != "..")
+        return F.when(step != "..", F.array_append(kept, step)).when(back, F.slice(kept, 1, F.size(kept) - 1)).when(absolute, kept).otherwise(F.array_append(kept, step))
+
+    walked = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), take), "/")
+    return F.concat(F.when(absolute, "/").otherwise(""), walked)
+
+
+def canonical_locator(kind: Column, locator: Column, root: str | None = None) -> Column:
+    """By kind: url, paste, or a path, relative to the workspace ``root`` if it lies in it; paths outside stay as they are."""
+    posix = F.replace(locator, F.lit("\\"), F.lit("/"))
+    path = folded_path(posix)
+    if root is not None:
+        top = root.rstrip("/") + "/"
+        path = F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 30)).otherwise(path)
+    path = F.when(path.startswith("..") | path.startswith("/"), posix).otherwise(path)
+    return F.when(kind == "url", canonical_url(locator)).when(kind == "paste", paste_locator(locator)).otherwise(path)
 
 
 @pandas_udf(T.BinaryType())
@@ -95,7 +114,3 @@ def asset_name(src: Column, declared: Column) -> Column:
     """The credits key of an image: its declared asset name, the digest of a data URI, or the last part of its path."""
     declared = F.nullif(F.trim(F.coalesce(declared, F.lit(""))), F.lit(""))
     return F.coalesce(declared, F.when(src.startswith("data:"), data_uri_asset(src)).otherwise(F.element_at(F.split(F.try_url_decode(F.replace(src, F.lit("+"), F.lit("%2B"))), "/"), -1)))
-
-
-def link_or_none(url: Column) -> Column:
-    return F.when(is_http_url(url), url)

@@ -132,7 +132,3 @@ def escape_html(x: Column, quote: bool = True) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"), ("'", "&#x27;")) if quote else ())):
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
-
-
-def day_gap(a: Column, b: Column) -> Column:
-    return F.abs(F.date_diff(F.try_to_date(a), F.try_to_date(b)))

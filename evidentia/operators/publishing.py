@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import asset_name
 from ..functions.text import is_http_url, strip
+from ..sources.store import Store, cut
 from . import gates, retrieval
-from .claims import evidence_rows
+from .claims import evidence_rows, redact
 from .ranges import reached, running, with_next
 
 PAUSE_BOUNDARY, PAUSE_SPEAKER, PAUSE_SENTENCE = 600, 320, 180
@@ -84,10 +85,34 @@ def licenses(nodes: DataFrame, texts: DataFrame, credits: DataFrame, files: Data
     return gates.union(*out)
 
 
-def provenance(sources: DataFrame) -> DataFrame:
-    """What a package tells about its sources; addresses that aren't http stay private."""
-    fields = [c for c in ("id", "kind", "title", "author", "publisher", "published_at", "retrieved_at", "tier", "tier_reason", "license", "raw_sha256", "normalized_sha256") if c in sources.columns]
-    return sources.select(*fields, F.when(is_http_url(F.col("locator")), F.col("locator")).alias("locator"))
+# What a package tells about each source.
+TOLD = "id kind locator canonical_locator title publisher tier tier_reason published_at retrieved_at raw_sha256 normalized_sha256 normalizer_version".split()
+
+
+def provenance(sources: DataFrame, public: bool = True) -> DataFrame:
+    """What a package tells about its sources; in public form addresses that aren't http stay private."""
+    hidden = ("locator", "canonical_locator") if public else ()
+    told = [F.when(is_http_url(F.col(c)), F.col(c)).alias(c) if c in hidden else F.col(c) for c in TOLD if c in sources.columns]
+    return sources.select(*told)
+
+
+def package(store: Store, sources: DataFrame, claims: DataFrame, files: DataFrame, notes: DataFrame, question: str, at: str, ordinals: DataFrame | None = None) -> int:
+    """Publishes a package as one version of a store: ``provenance``, ``evidence``, ``report``, ``summary`` and ``checksums``.
+
+    With ``ordinals`` (id, ordinal) the package is public: quotes beyond the budget give way to their hashes, private
+    addresses are left out. ``files``: (path, content); ``notes``: a report of the gates, which goes in only if it has
+    no errors. The summary, one row, counts claims and redactions.
+    """
+    public = ordinals is not None
+    evidence = evidence_rows(claims)
+    if public:
+        numbered = evidence.join(ordinals.withColumnRenamed("id", "claim_id"), "claim_id", "left")
+        evidence = redact(numbered.withColumn("ord", F.struct(F.coalesce("ordinal", F.lit(2**31 - 1)).alias("o"), "claim_id", "position"))).drop("ord", "ordinal", "granted")
+    evidence = cut(evidence)
+    counts = claims.agg(F.count("*").alias("claims")).crossJoin(evidence.agg(F.count_if(F.coalesce("redacted", F.lit(False))).alias("redacted_quotes")))  # a row each
+    summary = counts.select(F.lit(1).alias("schema_version"), F.lit(at).alias("generated_at"), F.lit(question).alias("question"), F.lit("public" if public else "private").alias("visibility"), "claims", "redacted_quotes")
+    report = notes.limit(0) if notes.filter("errors > 0").count() else notes  # a row a gate
+    return store.publish({"provenance": provenance(sources, public), "evidence": evidence, "report": report, "summary": summary, "checksums": checksums(files)}, order={"checksums": ["path"]})
 
 
 def checksums(files: DataFrame) -> DataFrame:
@@ -121,6 +146,32 @@ def state(counts: DataFrame) -> DataFrame:
     return counts.withColumn("state", out)
 
 
+# States in which nothing is left to do by the engine itself, and what comes next in the others, by its verbs.
+NEXT = {
+    "INIT": "add", "COLLECT": "extract", "EXTRACT": "chunk", "CHUNK": "index", "INDEX": "plan", "PLAN": "claim_add", "GROUND": "contradictions", "ADJUDICATE": "adjudicate", "COMPOSE": "inject", "RENDER": "verify",
+    "VERIFY": "package", "PACKAGE": "package", "REVISE": "verify", "DONE": "nothing", "BLOCKED": "unblock",
+}
+
+
+def status_report(workspaces: DataFrame, sources: DataFrame) -> DataFrame:
+    """(workspace, state, stored_state, revise_count, sources, sources_ready, sources_unsettled, next) of every workspace.
+
+    ``workspaces`` has the counts that ``state`` reads but for those of sources, which come from ``sources`` (workspace,
+    status) by one aggregate; a workspace without sources has none.
+    """
+    unsettled = F.count_if(F.col("status").isin("pending", "needs_extraction"))
+    per = sources.groupBy("workspace").agg(F.count("*").alias("n_sources"), F.count_if(F.col("status") == "ready").alias("n_ready"), unsettled.alias("n_unsettled"))
+    met = state(workspaces.join(per, "workspace", "left").na.fill(0, ["n_sources", "n_ready", "n_unsettled"]))
+    following = F.create_map(*(F.lit(x) for kv in NEXT.items() for x in kv))[F.col("state")]
+    return met.select("workspace", "state", "stored_state", "revise_count", F.col("n_sources").alias("sources"), F.col("n_ready").alias("sources_ready"), F.col("n_unsettled").alias("sources_unsettled"), following.alias("next"))
+
+
+def artifacts(files: DataFrame, begin: str = "<!-- LEDGER -->", end: str = "<!-- /LEDGER -->") -> DataFrame:
+    """(path, injected) of the pages among built files (path, html), by path: HTML at the top of ``build``, without the ledger's own page."""
+    pages = files.filter(F.col("path").rlike(r"^build/[^/]+\.html$") & (F.col("path") != "build/ledger.html"))
+    return pages.select("path", injected(F.col("html"), begin, end).alias("injected")).orderBy("path")
+
+
 def source_counts(sources: DataFrame) -> DataFrame:
     """One row (n_sources, n_ready, n_unsettled)."""
     return sources.agg(F.count("*").alias("n_sources"), F.count_if(F.col("status") == "ready").alias("n_ready"), F.count_if(F.col("status").isin("pending", "needs_extraction")).alias("n_unsettled"))

@@ -318,7 +318,7 @@ def ledger_sources(spark, d):
 
 def pages_injected(spark, d):
     """The ledger goes between markers; the end marker is missing on some pages, both on others."""
-    marked = t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.expr("get(array('a<!-- LEDGER -->old<!-- /LEDGER -->z', 'a<!-- LEDGER -->z', 'a'), cast(page_id % 3 as int))").alias("html"))
+    marked = t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.expr("concat(html, get(array('<!-- LEDGER -->old<!-- /LEDGER -->z', '<!-- LEDGER -->z', ''), cast(page_id % 3 as int)))").alias("html"))
     ledger = spark.range(1).select(F.lit('<ol class="ledger"></ol>\n').alias("body"))
     done = Engine(spark, pages=marked).inject(ledger)
     return done.select("doc_id", "html", publishing.injected(F.col("html"), "<!-- LEDGER -->", "<!-- /LEDGER -->").alias("injected"))
@@ -490,7 +490,7 @@ SELECT 1, ordinal, id, '<li class="ledger-entry" id="c-' || id || '" value="' ||
     "ledger_json": f"""WITH {_BOOK}, w AS (SELECT id, ordinal, k FROM o UNION ALL SELECT id, NULL, k FROM b WHERE active AND inferred)
 SELECT row_number() OVER (ORDER BY ordinal IS NULL, ordinal, id) - 1 AS place, id, ordinal, ['m-checked', 'm-reported', 'm-thin', 'm-contested'][k % 4 + 1] || CASE WHEN k % 2 = 0 THEN ' m-moving' ELSE '' END AS marks FROM w""",
     "ledger_sources": "SELECT 'ABCD'[n_nationkey % 4 + 1] AS tier, n_name AS title, 's' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 4 <> 2) AS n_claims FROM nation",
-    "pages_injected": """SELECT page_id AS doc_id, CASE WHEN page_id % 3 < 2 THEN 'a<!-- LEDGER -->' || chr(10) || '<ol class="ledger"></ol>' || chr(10) || '<!-- /LEDGER -->z' END AS html, CASE WHEN page_id % 3 < 2 THEN true END AS injected FROM pages""",
+    "pages_injected": """SELECT page_id AS doc_id, CASE WHEN page_id % 3 < 2 THEN html || '<!-- LEDGER -->' || chr(10) || '<ol class="ledger"></ol>' || chr(10) || '<!-- /LEDGER -->z' END AS html, CASE WHEN page_id % 3 < 2 THEN true END AS injected FROM pages""",
     "find_inexact": """SELECT doc_id, ['exact', 'inexact', 'nomatch'][doc_id % 3 + 1] AS status, CASE WHEN doc_id % 3 < 2 THEN length(coalesce(text, '')) + 1 END AS span_start, CASE doc_id % 3 WHEN 0 THEN length(coalesce(text, '')) + 15 WHEN 1 THEN length(coalesce(text, '')) + 17 END AS span_end FROM documents""",
     "quote_slices": "SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 40 THEN substr(text, 8, 33) END AS quote, length(coalesce(text, '')) >= 40 AS in_range FROM documents",
     "index_of_ready": "SELECT count(*) AS n_docs FROM documents WHERE doc_id % 3 <> 0",

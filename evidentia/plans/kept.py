@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import extraction, merge, publishing, retrieval
+from ..functions import ids, text
+from ..operators import extraction, gates, merge, publishing, retrieval
 from ..sources import files, snapshots
 from ..sources.store import Store, scratch, state_of
 from .cases import _BOOK, _book, t
@@ -139,8 +139,46 @@ def dialogue_one_script(spark, d):
     return publishing.dialogue_plan(lines).select("segment_id", F.col("pause_after_ms").cast("long").alias("pause_after_ms"))
 
 
+def locators_folded(spark, d):
+    """Paths with empty, single and double steps, inside and outside a workspace."""
+    made = F.expr("get(array(concat('/w/a/../b/./', k), concat('.//x/', k), concat('../out', k), concat('/other/../z', k), concat('a\\\\b\\\\', k), concat('/w/../w/c/', k), concat('a/b/../../../', k), concat('/../w//', k)), cast(k % 8 as int))")
+    return t(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumn("raw", made).select("k", ids.canonical_locator(F.lit("file"), F.col("raw"), "/w").alias("locator"))
+
+
+def workspace_reports(spark, d):
+    """Customers as workspaces, their orders as sources."""
+    spaces = t(spark, d, "customer").selectExpr(
+        "c_custkey workspace", "0 n_blockers", "c_custkey % 5 revise_count", "2 n_chunked", "c_custkey % 2 = 0 has_index", "true has_plan", "1 n_claims", "0 n_open", "1 n_artifacts", "1 n_injected", "c_custkey % 3 = 0 has_provenance", "if(c_custkey % 4 = 0, 'VERIFY', 'RENDER') stored_state")
+    sources = t(spark, d, "orders").selectExpr("o_custkey workspace", "get(array('ready', 'pending', 'failed'), cast(if(o_orderstatus = 'F', 0, if(o_orderstatus = 'P', 1, 2)) as int)) status")
+    return publishing.status_report(spaces, sources).drop("stored_state", "revise_count")
+
+
+def artifact_list(spark, d):
+    """Built files named after pages; some hold a ledger between its markers."""
+    rows = t(spark, d, "pages").select(F.expr("concat(get(array('build/', 'build/deep/', 'dist/'), cast(page_id % 3 as int)), if(page_id % 50 = 0, 'ledger', concat('p', page_id)), if(page_id % 4 = 1, '.txt', '.html'))").alias("path"),
+        F.expr("concat(html, if(page_id % 2 = 0, '<!-- LEDGER --><ol class=\"ledger\"></ol>', '<!-- LEDGER -->'), if(page_id % 5 = 0, '', '<!-- /LEDGER -->'))").alias("html"))
+    return publishing.artifacts(rows)
+
+
+def package_written(spark, d):
+    """A public package of documents as sources and claims, written and read back."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("k"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    quote = "if(k % 2 = 0, substring(text, 1, 10), repeat('q', 201))"
+    evidence = F.expr(f"array(named_struct('source_id', source, 'start', cast(k as int), 'end', cast(k + 1 as int), 'quote', {quote}, 'quote_sha256', cast(null as string), 'length', cast(null as int), 'redacted', false))")
+    held = docs.select(F.col("k").alias("id"), F.lit("active").alias("status"), F.lit("reported").alias("confidence"), evidence.alias("evidence"))
+    sources = docs.select(F.col("source").alias("id")).distinct().select("id", F.lit("file").alias("kind"), F.expr("if(id like '%1', concat('https://x/', id), id)").alias("locator"), F.expr("concat('/w/', id)").alias("canonical_locator"), F.lit("A").alias("tier"), F.lit("x").alias("notes"))
+    ordered = docs.select(F.col("k").alias("id"), F.col("k").alias("ordinal"))
+    watch = gates.Watch()
+    notes = gates.notes(gates.confidence(held, watch), watch)
+    store = Store(spark, scratch(spark, "package"))
+    publishing.package(store, sources, held, docs.select(F.concat(F.lit("t/"), F.col("k").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")), notes, "why?", "2024-01-01T00:00:00Z", ordered)
+    told = store.read("provenance").agg(F.count("*").alias("sources"), F.count("locator").alias("told"), F.count("canonical_locator").alias("paths"))
+    return store.read("summary").crossJoin(told).crossJoin(store.read("checksums").agg(F.count("*").alias("files"))).crossJoin(store.read("report").agg(F.count("*").alias("gates"))).crossJoin(store.read("evidence").agg(F.count("quote").alias("quotes")))  # a row each
+
+
 QUERIES = {f.__name__: f for f in (
     chunk_store_reads, needle_spans, claims_merged, claim_outcomes, sources_merged, source_outcomes, extraction_outcomes, records_written_back, seed_pinned, seed_blobs, ledger_files, dialogue_one_script,
+    locators_folded, workspace_reports, artifact_list, package_written,
 )}
 
 _CANON = r"rtrim(regexp_replace(regexp_replace(nfc_normalize({}), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') || chr(10)"
@@ -148,6 +186,15 @@ _TAKEN = "o AS (SELECT o_custkey AS id, o_orderstatus AS state, o_totalprice AS
 _DOCS = "b AS (SELECT source AS id, 'doc ' || doc_id AS title, ['A', 'B', NULL, 'D'][doc_id % 4 + 1] AS tier, doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN 'gone' END AS error, source LIKE '%2' OR source LIKE '%5' AS known FROM documents)"
 
 ORACLES = {
+    "locators_folded": "SELECT p_partkey AS k, ['b/', 'x/', '../out', '/other/../z', 'a/b/', 'c/', 'a/b/../../../', ''][p_partkey % 8 + 1] || p_partkey AS locator FROM part",
+    "workspace_reports": """WITH s AS (SELECT o_custkey AS c, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ready, count(*) FILTER (o_orderstatus = 'P') AS waiting FROM orders GROUP BY 1),
+w AS (SELECT c_custkey AS k, coalesce(n, 0) AS n, coalesce(ready, 0) AS ready, coalesce(waiting, 0) AS waiting FROM customer LEFT JOIN s ON c = c_custkey),
+x AS (SELECT *, CASE WHEN k % 5 >= 3 THEN 'BLOCKED' WHEN n = 0 THEN 'INIT' WHEN waiting > 0 OR ready = 0 THEN 'COLLECT' WHEN ready > 2 THEN 'EXTRACT' WHEN k % 2 <> 0 THEN 'CHUNK' WHEN k % 3 = 0 THEN 'DONE' WHEN k % 4 = 0 THEN 'VERIFY' ELSE 'RENDER' END AS state FROM w)
+SELECT k AS workspace, state, n AS sources, ready AS sources_ready, waiting AS sources_unsettled, CASE state WHEN 'BLOCKED' THEN 'unblock' WHEN 'INIT' THEN 'add' WHEN 'COLLECT' THEN 'extract' WHEN 'EXTRACT' THEN 'chunk' WHEN 'CHUNK' THEN 'index' WHEN 'DONE' THEN 'nothing' WHEN 'VERIFY' THEN 'package' ELSE 'verify' END AS next FROM x""",
+    "artifact_list": "SELECT 'build/p' || page_id || '.html' AS path, page_id % 2 = 0 AND page_id % 5 <> 0 AS injected FROM pages WHERE page_id % 3 = 0 AND page_id % 4 <> 1 AND page_id % 50 <> 0",
+    "package_written": """WITH d AS (SELECT doc_id AS k, source, CASE WHEN doc_id % 2 = 0 THEN length(substr(coalesce(text, ''), 1, 10)) ELSE 201 END AS n FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS i FROM d WHERE k % 2 = 0 AND n > 0), g AS (SELECT count(*) AS granted FROM r WHERE i <= 3), a AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS sources, count(DISTINCT source) FILTER (source LIKE '%1') AS told FROM documents)
+SELECT 1 AS schema_version, '2024-01-01T00:00:00Z' AS generated_at, 'why?' AS question, 'public' AS visibility, a.n AS claims, a.n - granted AS redacted_quotes, sources, told, 0::BIGINT AS paths, files, 1::BIGINT AS gates, granted AS quotes FROM a, g""",
     "chunk_store_reads": "SELECT 'src_' || doc_id || '#c0000' AS chunk_id, source, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256(coalesce(text, '')) AS sha256 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "needle_spans": """WITH n AS (SELECT item_id AS passage_id, substr(text, CAST(1 + item_id % 9 AS INT), CAST(1 + item_id % 6 AS INT)) AS x FROM benchmark UNION ALL
 SELECT -n_nationkey - 1, ['.', ', ', chr(10), '  ', '--', '?', ' a ', 'é', chr(10) || chr(10), '%', '...', ')', '«'][n_nationkey + 1] FROM nation WHERE n_nationkey < 13)

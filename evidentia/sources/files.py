@@ -41,6 +41,14 @@ def json_records(spark: SparkSession, path: str, schema: str, lines: bool = Fals
     return rows.withColumn("status", F.when(F.col("_corrupt_record").isNotNull(), "failed").otherwise(F.col("status"))) if "status" in rows.columns else rows
 
 
+def source_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records ``path/<id>/source.json``; one that can't be read is a failed source with the id of its folder."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").json(f"{path}/*/source.json").withColumn("__id", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    broken = F.col("_corrupt_record").isNotNull()
+    as_failed = {"id": F.when(broken, F.col("__id")).otherwise(F.col("id")), "status": F.when(broken, "failed").otherwise(F.col("status")), "error": F.when(broken, "source.json cannot be read").otherwise(F.col("error"))}
+    return rows.withColumns(as_failed).drop("__id", "_corrupt_record")
+
+
 def records_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As ``json_records``; a path that isn't there is an empty table."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

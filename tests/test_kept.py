@@ -289,6 +289,35 @@ def test_tables_of_one_parse(spark):
     assert got["p"] == (2, 2) and got["b"] == (1, 1) and got["#document"][0] == 8 and got["br"] == (1, 0)
 
 
+# -------------------------------------------------------------------- sources and packages
+
+
+def test_a_source_that_cannot_be_read_is_a_failed_row(spark, tmp_path):
+    for name, body in (("src_a", '{"id": "src_a", "status": "ready",\n "error": null}'), ("src_b", "{broken"), ("src_c", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "source.json").write_text(body)
+    got = files.source_records(spark, str(tmp_path), "id string, status string, error string")
+    assert [r for r in tuples(got, "id", "status", "error") if r[0] in ("src_a", "src_b")] == [("src_a", "ready", None), ("src_b", "failed", "source.json cannot be read")]
+
+
+def test_a_package_is_one_version(spark, tmp_path):
+    rows = claims.normalize_claims(spark.createDataFrame([("A claim", "verified")], "text string, confidence string")).withColumn("evidence", F.expr("array(named_struct('source_id', 's', 'start', 0, 'end', 2, 'quote', repeat('q', 300), 'quote_sha256', cast(null as string), 'length', cast(null as int), 'redacted', false))"))
+    sources = spark.createDataFrame([("s", "file", "/home/x", "x", "https://y")], "id string, kind string, locator string, canonical_locator string, notes string")
+    built = spark.createDataFrame([("a.html", b"1"), ("a.html", b"1"), ("b.html", None)], "path string, content binary")
+    e = Engine(spark, claims=rows, sources=sources, plan=spark.createDataFrame([], "ord int, claim_ids array<string>"))
+    watch = gates.Watch()
+    good = gates.notes(gates.confidence(rows, watch), watch)
+    bad = good.withColumn("errors", F.lit(1).cast("long"))
+    folder = str(tmp_path / "p")
+    assert e.publish(folder, built, good, "why?", "now", public=True) == 1 and e.publish(folder, built, bad, "why?", "now") == 2
+    store = Store(spark, folder)
+    first, second = ({n: store.read(n, v).collect() for n in store.manifest(v)} for v in (1, 2))
+    assert first["evidence"][0].redacted and first["evidence"][0].length == 300 and first["summary"][0].redacted_quotes == 1 and first["summary"][0].visibility == "public"
+    assert second["evidence"][0].quote == "q" * 300 and second["summary"][0].redacted_quotes == 0 and len(first["report"]) == 1 and second["report"] == []
+    assert first["provenance"][0].locator is None and second["provenance"][0].locator == "/home/x" and not hasattr(first["provenance"][0], "notes")
+    assert [r.path for r in first["checksums"]] == ["a.html", "b.html"]
+
+
 # -------------------------------------------------------------------------- history
 
 
