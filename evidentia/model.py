@@ -67,4 +67,21 @@ RULES: dict[str, dict] = {
     "credit": _record(
         "origin", origin=_text(enum=["sourced", "generated"]), sha256=_text(pattern=_hex("", 64)), **{name: _text() for name in ("source", "credit", "license", "license_url", "generator", "prompt", "created_at", "retrieved_at")},
     ),
+    "manifest": {
+        "type": "object", "required": ["schema_version", "state", "capabilities", "config"],
+        "properties": {
+            "schema_version": {"const": 1}, "created_at": _text(format="date-time"), "question": _text(), "revise_count": _whole(minimum=0), "blockers": _list(_text()), "tool_versions": {"type": "object"},
+            "state": _text(enum=["INIT", "COLLECT", "EXTRACT", "CHUNK", "INDEX", "PLAN", "GROUND", "ADJUDICATE", "COMPOSE", "RENDER", "VERIFY", "PACKAGE", "DONE", "REVISE", "BLOCKED"]),
+            "artifact_type": _maybe(enum=["answer", "explainer", "deck", "brief", "infographic", "podcast", None]),
+            "capabilities": _record("web_fetch image_gen tts", web_fetch=_text(enum=["agent", "script", "none"]), image_gen=_text(enum=["agent", "none"]), tts=_text(enum=["agent", "external", "none"])),
+            "config": {"type": "object", "properties": {"chunk_target": _whole(minimum=200), "chunk_overlap": _whole(minimum=0)}}, "lint_waivers": {"type": "object", "additionalProperties": _text(minLength=8)},
+            "history": _list({"type": "object", "required": ["state", "at"], "properties": {"state": _text(), "at": _text(format="date-time"), "note": _text()}}),
+        },
+    },
+    "dialogue": _record(
+        "schema_version episode speakers lines",
+        schema_version={"const": 1}, episode=_text(minLength=3), outline=_list(_record("name description size", name=_text(), description=_text(), size=_text(enum=["short", "medium", "long"]))),
+        speakers=_list(_record("name", name=_text(), voice_hint=_text()), minItems=1),
+        lines=_list(_record("n speaker text claims kind", n=_whole(minimum=1), speaker=_text(), text=_text(minLength=1), claims=_list(_text()), kind=_text(enum=["factual", "opinion", "banter", "transition"]), segment=_text()), minItems=1),
+    ),
 }

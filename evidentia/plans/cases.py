@@ -400,6 +400,18 @@ _RECORD = (
 )
 
 
+def manifest_rules(spark, d):
+    """Manifests and scripts made from keys, some of them against the rules."""
+    made = F.expr("""concat('{"schema_version":1,"state":"', if(k % 3 = 0, 'LATER', 'PLAN'), '","created_at":"', if(k % 5 = 0, 'soon', '2024-01-01T10:00:00Z'), '","revise_count":', k % 4 - 1,
+        ',"capabilities":{"web_fetch":"', if(k % 7 = 0, 'web', 'agent'), '","image_gen":"none"', if(k % 2 = 0, '', ',"tts":"none"'), '},"lint_waivers":{"a":"', if(k % 11 = 0, 'brief', 'long enough'), '"}', if(k % 13 = 0, '', ',"config":{"chunk_target":300}'),
+        ',"history":[{"state":"INIT","at":"', if(k % 17 = 0, '2024-01-01', '2024-01-01T10:00:00.5+02:00'), '"}]}')""")
+    script = F.expr("""concat('{"schema_version":1,"episode":"', if(k % 3 = 0, 'ab', 'abc'), '","speakers":[', if(k % 5 = 0, '', '{"name":"A"}'), '],"lines":[{"n":', k % 4, ',"speaker":"A","text":"', if(k % 7 = 0, '', 'x'), '","kind":"', if(k % 2 = 0, 'fact', 'banter'), '","claims":[]}]}')""")
+    rows = t(spark, d, "orders").withColumn("k", F.col("o_orderkey")).select("k", made.alias("manifest"), script.alias("dialogue"))
+    found = [gates.schemas(rows.select(F.col("k").alias("subject"), F.col(table).alias("json")), table).withColumn("table", F.lit(table)) for table in ("manifest", "dialogue")]
+    both = found[0].unionByName(found[1])
+    return both.groupBy("table", "subject", F.substring_index("detail", ":", 1).alias("pointer")).agg(F.count("*").alias("n"))
+
+
 def event_sessions(spark, d):
     found = windows.sessions(t(spark, d, "events"), "ts", ["user_id"], "6 hours")
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("most"))
@@ -412,13 +424,20 @@ def events_in_ranges(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     lint_surfaces, lint_colors, lint_words, subtree_text, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
-    claim_defaults, plan_contested, late_members, quote_excess, cascade, chunk_edges, history_states, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules,
+    claim_defaults, plan_contested, late_members, quote_excess, cascade, chunk_edges, history_states, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules, manifest_rules,
     event_sessions, events_in_ranges,
 )}
 
 _LIN = lambda x: f"CASE WHEN {x} / 255.0 <= 0.04045 THEN {x} / 255.0 / 12.92 ELSE (({x} / 255.0 + 0.055) / 1.055) ** 2.4 END"
 
+_MANIFESTS = (
+    ("manifest", "/state", "k % 3 = 0"), ("manifest", "/created_at", "k % 5 = 0"), ("manifest", "/revise_count", "k % 4 = 0"), ("manifest", "/capabilities/web_fetch", "k % 7 = 0"), ("manifest", "/capabilities", "k % 2 = 0"),
+    ("manifest", "/lint_waivers/a", "k % 11 = 0"), ("manifest", "", "k % 13 = 0"), ("manifest", "/history/0/at", "k % 17 = 0"), ("dialogue", "/episode", "k % 3 = 0"), ("dialogue", "/speakers", "k % 5 = 0"), ("dialogue", "/lines/0/n", "k % 4 = 0"),
+    ("dialogue", "/lines/0/text", "k % 7 = 0"), ("dialogue", "/lines/0/kind", "k % 2 = 0"),
+)
+
 ORACLES = {
+    "manifest_rules": "WITH p AS (SELECT o_orderkey AS k FROM orders), f AS (" + " UNION ALL ".join(f"SELECT '{name}' AS \"table\", CAST(k AS VARCHAR) AS subject, '{at}' AS pointer FROM p WHERE {when}" for name, at, when in _MANIFESTS) + ") SELECT \"table\", subject, pointer, count(*) AS n FROM f GROUP BY ALL",
     "lint_surfaces": _expected(SURFACES), "lint_colors": _expected(COLORS), "lint_words": _expected(WORDS),
     "subtree_text": f"""WITH {_PARTS}, e AS (SELECT k, s % 5 AS ps, k % 7 AS ys, k % 3 AS ls FROM p), x AS (
 SELECT k, 'html' AS tag, 1 AS n, 2 * ps + ys + 2 + ls AS chars, 7 + ps + 2 * ls AS elements FROM e UNION ALL SELECT k, 'body', 1, 2 * ps + ys + 2 + ls, 6 + ps + 2 * ls FROM e UNION ALL SELECT k, 'div', 1, 2 * ps + ys + 2, 4 + ps FROM e
