@@ -88,6 +88,14 @@ def lint_words(spark, d):
     return _linted(spark, d, WORDS)
 
 
+def lint_cyan_and_imports(spark, d):
+    """Cyan on dark pages; style sheets and pictures that styles load from outside."""
+    style = F.expr("concat('body{background:', if(k % 2 = 0, '#000', '#fff'), '}.q{color:', if(k % 3 = 0, 'cyan', 'red'), '}.u{background-image:url(', if(k % 5 = 0, 'https://x.example/', ''), 'a.png)}', if(k % 4 = 0, '@import \"//x.example/y.css\";', ''))")
+    html = F.concat(F.lit("<html><head><style>"), style, F.lit("</style></head><body></body></html>"))
+    found = lint.lint(_parts(spark, d).select(F.col("k").alias("doc_id"), html.alias("html")), rules=["slop.ai-palette", "struct.external-ref"])
+    return found.groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
 def subtree_text(spark, d):
     """The characters of text below every element of pages made from keys, and how many elements those are."""
     html = F.expr("concat('<html><body><div>', repeat('<p>xx</p>', s % 5), '<section>', repeat('y', cast(k % 7 as int)), '<b>z<i>u</i></b></section></div><ul>', repeat('<li>o<br></li>', cast(k % 3 as int)), '</ul></body></html>')")
@@ -423,7 +431,7 @@ def events_in_ranges(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    lint_surfaces, lint_colors, lint_words, subtree_text, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
+    lint_surfaces, lint_colors, lint_words, lint_cyan_and_imports, subtree_text, color_spaces, css_values, html_gate, license_gate, dialogue_gate, normalizer_gate, confidence_gate, topic_dates, topic_explicit, adjudications_recorded, quote_budget_spans,
     claim_defaults, plan_contested, late_members, quote_excess, cascade, chunk_edges, history_states, ledger_markdown, ledger_html, ledger_json, ledger_sources, pages_injected, find_inexact, quote_slices, index_of_ready, package_verify, provenance_public, workspace_states, fetch_guard, record_rules, manifest_rules,
     event_sessions, events_in_ranges,
 )}
@@ -439,6 +447,8 @@ _MANIFESTS = (
 ORACLES = {
     "manifest_rules": "WITH p AS (SELECT o_orderkey AS k FROM orders), f AS (" + " UNION ALL ".join(f"SELECT '{name}' AS \"table\", CAST(k AS VARCHAR) AS subject, '{at}' AS pointer FROM p WHERE {when}" for name, at, when in _MANIFESTS) + ") SELECT \"table\", subject, pointer, count(*) AS n FROM f GROUP BY ALL",
     "lint_surfaces": _expected(SURFACES), "lint_colors": _expected(COLORS), "lint_words": _expected(WORDS),
+    "lint_cyan_and_imports": f"""WITH {_PARTS} SELECT k AS doc_id, 'slop.ai-palette' AS rule, 'error' AS severity, 1::BIGINT AS n FROM p WHERE k % 6 = 0
+UNION ALL SELECT k, 'struct.external-ref', 'error', (k % 5 = 0)::BIGINT + (k % 4 = 0)::BIGINT FROM p WHERE k % 5 = 0 OR k % 4 = 0""",
     "subtree_text": f"""WITH {_PARTS}, e AS (SELECT k, s % 5 AS ps, k % 7 AS ys, k % 3 AS ls FROM p), x AS (
 SELECT k, 'html' AS tag, 1 AS n, 2 * ps + ys + 2 + ls AS chars, 7 + ps + 2 * ls AS elements FROM e UNION ALL SELECT k, 'body', 1, 2 * ps + ys + 2 + ls, 6 + ps + 2 * ls FROM e UNION ALL SELECT k, 'div', 1, 2 * ps + ys + 2, 4 + ps FROM e
 UNION ALL SELECT k, 'p', ps, 2 * ps, ps FROM e WHERE ps > 0 UNION ALL SELECT k, 'section', 1, ys + 2, 3 FROM e UNION ALL SELECT k, 'b', 1, 2, 2 FROM e UNION ALL SELECT k, 'i', 1, 1, 1 FROM e
