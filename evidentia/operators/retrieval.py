@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import find_all, find_first, find_tolerant, preview, span, tokenize
-from ..sources.store import Store, cut
+from ..sources.store import Store, cut, scratch
 
 K1, B = 1.2, 0.75
 
@@ -167,27 +169,86 @@ def quote(texts: DataFrame, start: Column, end: Column) -> DataFrame:
 
 #: Characters of a gram; and so many different grams at most are named to all tasks.
 GRAM, FEW_GRAMS = 3, 100_000
+_FOUND = T.ArrayType(T.StructType([T.StructField("piece", T.StringType()), T.StructField("at", T.IntegerType())]))
 
 
-def _runs(text: str, sizes: Iterable[int]) -> set[str]:
-    return {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
+@pandas_udf(_FOUND)
 def grams(x: pd.Series, n: pd.Series) -> pd.Series:
-    """The distinct runs of n characters of a text."""
-    return pd.Series([None if t is None else list(_runs(t, [k])) for t, k in zip(x, n)], dtype=object)
-
-
-def _wanted_grams(spark: SparkSession, wanted: list[str]):
-    """The grams of a text that are among ``wanted``."""
-    sent, sizes = spark.sparkContext.broadcast(frozenset(wanted)), sorted({len(x) for x in wanted})
-
-    @pandas_udf(T.ArrayType(T.StringType()))
-    def held(x: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else list(_runs(t, sizes) & sent.value) for t in x], dtype=object)
-
-    return held
+    """The distinct runs of n characters of a text and the first place of each."""
+    firsts = lambda t, k: {t[i : i + k]: i for i in range(len(t) - k, -1, -1)}
+    return pd.Series([None if t is None else [{"piece": g, "at": i} for g, i in firsts(t, k).items()] for t, k in zip(x, n)], dtype=object)
+
+
+def _codes(text: str, n: int) -> np.ndarray:
+    """A number for each run of n characters, n of 21 bits."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = chars[: max(0, len(chars) - n + 1)]
+    for k in range(1, n):
+        out = out << np.uint64(21) | chars[k : len(chars) - n + 1 + k]
+    return out
+
+
+class Spotter:
+    """Finds which of some grams a text holds, all places of a text at once: a table of hashes leaves few to be looked up."""
+
+    BITS, SPREAD = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, wanted: Iterable[str]):
+        self.by_size = []
+        for n in sorted({len(x) for x in wanted}):
+            named = sorted((int(_codes(x, n)[0]), x) for x in wanted if len(x) == n)
+            codes = np.array([c for c, _ in named], np.uint64)
+            table = np.zeros(1 << self.BITS, bool)
+            table[self._slot(codes)] = True
+            self.by_size.append((n, codes, [x for _, x in named], table))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * self.SPREAD) >> np.uint64(64 - self.BITS)
+
+    def __call__(self, text: str) -> tuple[list[int], list[int]]:
+        """Numbers of the grams that a text holds, in the order of ``names``, and the first place of each."""
+        found, places, base = [], [], 0
+        for n, codes, names, table in self.by_size:
+            own = _codes(text, n)
+            at = np.flatnonzero(table[self._slot(own)])
+            place = np.searchsorted(codes, own[at])
+            same = codes[np.minimum(place, len(codes) - 1)] == own[at]
+            first = np.full(len(codes), -1, np.int32)
+            first[place[same][::-1]] = at[same][::-1]  # the first place is written last
+            held = np.flatnonzero(first >= 0)
+            found += (held + base).tolist()
+            places += first[held].tolist()
+            base += len(codes)
+        return found, places
+
+    @property
+    def names(self) -> list[str]:
+        return [x for _, _, names, _ in self.by_size for x in names]
+
+
+#: Texts whose grams are handed over together.
+TEXTS_AT_ONCE = 512
+
+
+def _spotted(texts: DataFrame, wanted: list[str]) -> DataFrame:
+    """(source_id, piece, at): the grams of each text that are among ``wanted``, with the first place of each."""
+    sent = texts.sparkSession.sparkContext.broadcast(Spotter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spotter = sent.value
+        names = pa.array(spotter.names, pa.string())
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                ids, rows, pieces, places = batch.column(0).slice(i, TEXTS_AT_ONCE), [], [], []
+                for row, text in enumerate(batch.column(1).slice(i, TEXTS_AT_ONCE)):
+                    found, at = spotter(text.as_py() or "")
+                    rows += [row] * len(found)
+                    pieces += found
+                    places += at
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int32())), names.take(pa.array(pieces, pa.int32())), pa.array(places, pa.int32())], ["source_id", "piece", "at"])
+
+    kind = texts.select("source_id").schema[0].dataType.simpleString()
+    return texts.select("source_id", "text").mapInArrow(run, f"source_id {kind}, piece string, at int")
 
 
 def _meetings(held: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,22 +259,30 @@ def _meetings(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return rarest.join(held, "piece").select("passage_id", "source_id")
 
 
-def _by_grams(texts: DataFrame, passages: DataFrame) -> list[DataFrame]:
-    """(passage_id, source_id) for passages without a term: those of 1, 2 and more characters meet texts by grams of 1, 2 and 3.
+def _by_grams(texts: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Passages without a term, by grams: ((source_id, passage_id, span_start, span_end) of those that are a gram themselves, (passage_id, source_id) of
+    the texts that hold the rarest gram of a longer one). Passages of one and two characters are grams of their own size.
 
     Few grams are named to all tasks, which then look at each text once and hand on those alone; with more of them all
     grams of the texts meet them in a join.
     """
     size = F.least(F.length("text"), F.lit(GRAM))
-    wanted = passages.select("passage_id", F.explode(grams(F.col("text"), size)).alias("piece"))
+    wanted = passages.select("passage_id", F.explode(grams(F.col("text"), size)["piece"]).alias("piece"))
     known = [r["piece"] for r in wanted.select("piece").distinct().limit(FEW_GRAMS + 1).collect()]
     if not known:
-        return []
+        return None
     if len(known) <= FEW_GRAMS:
-        held = texts.select("source_id", F.explode(_wanted_grams(texts.sparkSession, known)(F.col("text"))).alias("piece"))
+        held = _spotted(texts, known)
     else:
-        held = reduce(DataFrame.unionByName, (texts.select("source_id", F.explode(grams(F.col("text"), F.lit(n))).alias("piece")) for n in range(1, GRAM + 1)))
-    return [_meetings(held, wanted)]
+        held = reduce(DataFrame.unionByName, (texts.select("source_id", F.inline(grams(F.col("text"), F.lit(n)))) for n in range(1, GRAM + 1)))
+        held = held.join(wanted.select("piece").distinct(), "piece", "left_semi")
+    folder = scratch(texts.sparkSession, "grams")
+    held.write.parquet(folder)  # one look at the texts
+    held = texts.sparkSession.read.schema(held.schema).parquet(folder)
+    whole = passages.filter(F.length("text") <= GRAM).select("passage_id", F.col("text").alias("piece"))
+    exact = held.join(whole, "piece").select("source_id", "passage_id", F.col("at").alias("span_start"), (F.col("at") + F.length("piece")).alias("span_end"))
+    longer = wanted.join(passages.filter(F.length("text") > GRAM).select("passage_id"), "passage_id", "left_semi")
+    return exact, _meetings(held.select("source_id", "piece"), longer)
 
 
 def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
@@ -229,7 +298,10 @@ def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
     wanted = terms(inner, "passage_id")
     pairs = _meetings(terms(texts, "source_id"), wanted)
     bare = passages.join(wanted.select("passage_id").distinct(), "passage_id", "left_anti").filter("length(text) > 0").select("passage_id", "text")
-    pairs = reduce(DataFrame.unionByName, _by_grams(texts, bare), pairs)
+    short = _by_grams(texts, bare)
+    if short is not None:
+        pairs = pairs.unionByName(short[1])
     found = pairs.join(passages.select("passage_id", F.col("text").alias("needle")), "passage_id").join(texts.select("source_id", "text"), "source_id").filter(F.col("text").contains(F.col("needle")))
     start = find_first(F.col("text"), F.col("needle"))
-    return found.select("source_id", "passage_id", start.alias("span_start"), (start + F.length("needle")).alias("span_end"))
+    spans = found.select("source_id", "passage_id", start.alias("span_start"), (start + F.length("needle")).alias("span_end"))
+    return spans if short is None else spans.unionByName(short[0])
