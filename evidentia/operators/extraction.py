@@ -24,18 +24,18 @@ from ..sources.store import cut
 from .gates import NORMALIZER_VERSION
 
 #: So many changed captures at most are named to all tasks; more are met by a shuffle.
-FEW = 200_000
+FEW = 100_000
 COLUMNS = ("source_id", "outcome", "code", "detail", "status", "text", "raw_sha256", "normalized_sha256", "normalizer_version")
 
 
 def decide(captured: DataFrame, stored: DataFrame, force: Column | bool = False) -> DataFrame:
-    """What is to be done for each source: ``step`` is unchanged, drifted, extract, failed or pending. No text is read."""
-    kept = stored.groupBy("source_id").agg(F.max_by(F.struct("raw_sha256", "normalized_sha256", "normalizer_version", F.sha2("text", 256).alias("actual")), F.coalesce("normalized_sha256", F.lit(""))).alias("old"))
+    """What is to be done for each source: ``step`` is unchanged, drifted, extract, failed or pending; ``old`` is what is stored. No capture is read."""
+    fields = F.struct("raw_sha256", "normalized_sha256", "normalizer_version", "text")
+    kept = stored.groupBy("source_id").agg(F.max_by(fields, F.coalesce("normalized_sha256", F.lit(""))).alias("old")).withColumn("actual", F.sha2("old.text", 256))
     new = captured.select("source_id", F.col("raw_sha256").alias("new_raw"), F.col("status").alias("capture"), (F.lit(force) if isinstance(force, bool) else force).alias("force"), F.lit(True).alias("captured"))
-    both = new.join(kept, "source_id", "full_outer")
-    recorded = F.nullif("old.normalized_sha256", F.lit(""))
-    held = F.col("old.actual").isNotNull() & ~F.coalesce("force", F.lit(False))
-    moved = held & ((recorded.isNotNull() & (recorded != F.col("old.actual"))) | ~F.col("old.normalizer_version").eqNullSafe(F.lit(NORMALIZER_VERSION)))
+    both = new.join(kept, "source_id", "full_outer").withColumn("recorded", F.nullif("old.normalized_sha256", F.lit("")))
+    held = F.col("actual").isNotNull() & ~F.coalesce("force", F.lit(False))
+    moved = held & ((F.col("recorded").isNotNull() & (F.col("recorded") != F.col("actual"))) | ~F.col("old.normalizer_version").eqNullSafe(F.lit(NORMALIZER_VERSION)))
     step = (
         F.when(F.col("captured").isNull(), F.when(moved, "drifted").otherwise("pending")).when(F.col("capture") == "failed", "failed").when(moved, "drifted")
         .when(held & F.col("old.raw_sha256").eqNullSafe(F.col("new_raw")), "unchanged").when(F.col("new_raw").isNull(), "pending").otherwise("extract")
@@ -47,35 +47,32 @@ def extract(captured: DataFrame, stored: DataFrame, force: Column | bool = False
     """``COLUMNS`` of every source after a run. ``captured``: (source_id, media_type, content, raw_sha256, status); ``stored``:
     (source_id, text, raw_sha256, normalized_sha256, normalizer_version). ``force`` may be a column of ``captured``.
     """
-    steps = decide(captured, stored, force)
-    old = stored.select("source_id", F.col("text").alias("old_text"), F.coalesce("normalized_sha256", F.lit("")).alias("old_sha")).dropDuplicates(["source_id", "old_sha"])
-    met = steps.withColumn("old_sha", F.coalesce("old.normalized_sha256", F.lit("")))
-
-    idle = met.filter("step <> 'extract'").join(old, ["source_id", "old_sha"], "left")
-    why = F.when(F.col("step") != "drifted", None).when(F.col("old.normalizer_version").eqNullSafe(F.lit(NORMALIZER_VERSION)), "its text is no longer the one that was recorded").otherwise("made by another version of the normalizer")
-    status = F.when(F.col("old.actual").isNotNull(), "ready").otherwise(F.col("step"))
+    met = cut(decide(captured, stored, force))  # stored texts are read once
+    idle = met.filter("step <> 'extract'")
+    stale = ~F.col("old.normalizer_version").eqNullSafe(F.lit(NORMALIZER_VERSION))
+    why = F.when(F.col("step") == "drifted", F.when(stale, "made by another version of the normalizer").otherwise("its text is no longer the one that was recorded"))
+    status = F.when(F.col("actual").isNotNull(), "ready").otherwise(F.col("step"))
     as_is = idle.select(
-        "source_id", F.col("step").alias("outcome"), F.when(F.col("step") == "drifted", "E-NORM-DRIFT").alias("code"), why.alias("detail"), status.alias("status"), F.col("old_text").alias("text"),
-        F.col("old.raw_sha256").alias("raw_sha256"), F.col("old.normalized_sha256").alias("normalized_sha256"), F.col("old.normalizer_version").alias("normalizer_version"),
+        "source_id", F.col("step").alias("outcome"), F.when(F.col("step") == "drifted", "E-NORM-DRIFT").alias("code"), why.alias("detail"), status.alias("status"), "old.text", "old.raw_sha256", "old.normalized_sha256", "old.normalizer_version",
     )
 
-    due = cut(met.filter("step = 'extract'").select(F.col("source_id").alias("__id"), F.col("new_raw").alias("__raw"), "force", "old", "old_sha").dropDuplicates(["__id", "__raw"]))
+    due = met.filter("step = 'extract'").select(F.col("source_id").alias("__id"), F.col("new_raw").alias("__raw"), F.coalesce("force", F.lit(False)).alias("__force")).dropDuplicates(["__id", "__raw"])
     few = F.broadcast(due) if due.count() <= FEW else due  # then no content is shuffled
     same_row = F.col("source_id").eqNullSafe(F.col("__id")) & (F.col("raw_sha256") == F.col("__raw"))
-    rows = captured.join(few, same_row).select("source_id", "media_type", "content", "status", "raw_sha256", few["force"].alias("force"), "old", "old_sha")
-    read = files.route(rows.withColumnRenamed("source_id", "path"), "raw_sha256", "force", "old", "old_sha").withColumnRenamed("path", "source_id")
-    found = read.join(old, ["source_id", "old_sha"], "left").withColumn("sha", F.sha2("text", 256))
-    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
-    same = F.col("sha") == F.col("old.actual")
-    refused = F.col("old.actual").isNotNull() & ~same & (F.nullif("old.normalized_sha256", F.lit("")).isNotNull()) & ~F.coalesce("force", F.lit(False))
-    outcome = F.when(blank, "needs_extraction").when(F.coalesce("force", F.lit(False)), "forced").when(refused, "drifted").when(same, "confirmed").otherwise("extracted")
+    rows = captured.join(few, same_row).select("source_id", "media_type", "content", "status", "raw_sha256", "__force")
+    read = files.route(rows.withColumnRenamed("source_id", "path"), "raw_sha256", "__force").withColumnRenamed("path", "source_id")
+    before = met.filter("step = 'extract' and actual is not null").select("source_id", "old", "actual", "recorded").dropDuplicates(["source_id"])
+    found = read.join(before, "source_id", "left").withColumn("sha", F.sha2("text", 256))
+    blank, same = F.col("text").isNull() | ~F.col("text").rlike(r"\S"), F.col("sha") == F.col("actual")
+    refused = F.col("recorded").isNotNull() & ~same
+    outcome = F.when(blank, "needs_extraction").when(F.col("__force"), "forced").when(refused, "drifted").when(same, "confirmed").otherwise("extracted")
     judged = found.withColumn("outcome", outcome)
-    stays = F.col("outcome").isin("needs_extraction", "drifted")
-    keep = lambda new, kept: F.when(stays, kept).otherwise(new)
+    stays, drifted = F.col("outcome").isin("needs_extraction", "drifted"), F.col("outcome") == "drifted"
+    keep = lambda new, kept: F.when(stays, F.col(f"old.{kept}")).otherwise(new).alias(kept)
     done = judged.select(
-        "source_id", "outcome", F.when(F.col("outcome") == "drifted", "E-NORM-DRIFT").alias("code"), F.when(F.col("outcome") == "drifted", "the capture gives another text, and a text that may be cited stays").alias("detail"),
-        F.when(~stays | F.col("old.actual").isNotNull(), "ready").otherwise("needs_extraction").alias("status"), keep(F.col("text"), F.col("old_text")).alias("text"), keep(F.col("raw_sha256"), F.col("old.raw_sha256")).alias("raw_sha256"),
-        keep(F.col("sha"), F.col("old.normalized_sha256")).alias("normalized_sha256"), keep(F.lit(NORMALIZER_VERSION), F.col("old.normalizer_version")).alias("normalizer_version"),
+        "source_id", "outcome", F.when(drifted, "E-NORM-DRIFT").alias("code"), F.when(drifted, "the capture gives another text, and a text that may be cited stays").alias("detail"),
+        F.when(~stays | F.col("actual").isNotNull(), "ready").otherwise("needs_extraction").alias("status"), keep(F.col("text"), "text"), keep(F.col("raw_sha256"), "raw_sha256"),
+        keep(F.col("sha"), "normalized_sha256"), keep(F.lit(NORMALIZER_VERSION), "normalizer_version"),
     )
     return as_is.unionByName(done)
 

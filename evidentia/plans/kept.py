@@ -88,7 +88,9 @@ def extraction_outcomes(spark, d):
     captured = docs.filter("k % 29 <> 0").select(
         F.col("k").alias("source_id"), F.lit("text/plain").alias("media_type"), F.encode(F.expr("concat(t, if(k % 6 in (2, 3), ' more', '  '))"), "UTF-8").alias("content"),
         F.expr("if(k % 41 = 0, null, sha2(concat(if(k % 6 = 0, 'raw', 'new'), k), 256))").alias("raw_sha256"), F.expr("if(k % 31 = 0, 'failed', 'pending')").alias("status"), F.expr("k % 6 = 3").alias("force"))
-    done = extraction.extract(captured, stored, F.col("force"))
+    kept = Store(spark, scratch(spark, "texts"))
+    kept.publish({"texts": stored})
+    done = extraction.extract(captured, kept.read("texts"), F.col("force"))
     return done.select(F.col("source_id").alias("doc_id"), "outcome", "code", F.sha2("text", 256).alias("sha256"))
 
 
