@@ -29,9 +29,9 @@ COLUMNS = ("source_id", "outcome", "code", "detail", "status", "text", "raw_sha2
 
 
 def decide(captured: DataFrame, stored: DataFrame, force: Column | bool = False) -> DataFrame:
-    """What is to be done for each source: ``step`` is unchanged, drifted, extract, failed or pending; ``old`` is what is stored. No capture is read."""
-    fields = F.struct("raw_sha256", "normalized_sha256", "normalizer_version", "text")
-    kept = stored.groupBy("source_id").agg(F.max_by(fields, F.coalesce("normalized_sha256", F.lit(""))).alias("old")).withColumn("actual", F.sha2("old.text", 256))
+    """What is to be done for each source: ``step`` is unchanged, drifted, extract, failed or pending; ``old`` is what is stored, but for the text. No capture is read."""
+    fields = F.struct("raw_sha256", "normalized_sha256", "normalizer_version", F.sha2("text", 256).alias("actual"))
+    kept = stored.groupBy("source_id").agg(F.max_by(fields, F.coalesce("normalized_sha256", F.lit(""))).alias("old")).withColumn("actual", F.col("old.actual"))
     new = captured.select("source_id", F.col("raw_sha256").alias("new_raw"), F.col("status").alias("capture"), (F.lit(force) if isinstance(force, bool) else force).alias("force"), F.lit(True).alias("captured"))
     both = new.join(kept, "source_id", "full_outer").withColumn("recorded", F.nullif("old.normalized_sha256", F.lit("")))
     held = F.col("actual").isNotNull() & ~F.coalesce("force", F.lit(False))
@@ -47,13 +47,14 @@ def extract(captured: DataFrame, stored: DataFrame, force: Column | bool = False
     """``COLUMNS`` of every source after a run. ``captured``: (source_id, media_type, content, raw_sha256, status); ``stored``:
     (source_id, text, raw_sha256, normalized_sha256, normalizer_version). ``force`` may be a column of ``captured``.
     """
-    met = cut(decide(captured, stored, force))  # stored texts are read once
+    met = cut(decide(captured, stored, force))  # digests only
     idle = met.filter("step <> 'extract'")
     stale = ~F.col("old.normalizer_version").eqNullSafe(F.lit(NORMALIZER_VERSION))
     why = F.when(F.col("step") == "drifted", F.when(stale, "made by another version of the normalizer").otherwise("its text is no longer the one that was recorded"))
     status = F.when(F.col("actual").isNotNull(), "ready").otherwise(F.col("step"))
     as_is = idle.select(
-        "source_id", F.col("step").alias("outcome"), F.when(F.col("step") == "drifted", "E-NORM-DRIFT").alias("code"), why.alias("detail"), status.alias("status"), "old.text", "old.raw_sha256", "old.normalized_sha256", "old.normalizer_version",
+        "source_id", F.col("step").alias("outcome"), F.when(F.col("step") == "drifted", "E-NORM-DRIFT").alias("code"), why.alias("detail"), status.alias("status"), F.lit(None).cast("string").alias("text"),
+        "old.raw_sha256", "old.normalized_sha256", "old.normalizer_version", F.col("actual").isNotNull().alias("__stays"),
     )
 
     due = met.filter("step = 'extract'").select(F.col("source_id").alias("__id"), F.col("new_raw").alias("__raw"), F.coalesce("force", F.lit(False)).alias("__force")).dropDuplicates(["__id", "__raw"])
@@ -68,13 +69,18 @@ def extract(captured: DataFrame, stored: DataFrame, force: Column | bool = False
     outcome = F.when(blank, "needs_extraction").when(F.col("__force"), "forced").when(refused, "drifted").when(same, "confirmed").otherwise("extracted")
     judged = found.withColumn("outcome", outcome)
     stays, drifted = F.col("outcome").isin("needs_extraction", "drifted"), F.col("outcome") == "drifted"
-    keep = lambda new, kept: F.when(stays, F.col(f"old.{kept}")).otherwise(new).alias(kept)
+    keep = lambda new, kept: F.when(~stays, new).otherwise(F.lit(None) if kept == "text" else F.col(f"old.{kept}")).alias(kept)
     done = judged.select(
         "source_id", "outcome", F.when(drifted, "E-NORM-DRIFT").alias("code"), F.when(drifted, "the capture gives another text, and a text that may be cited stays").alias("detail"),
         F.when(~stays | F.col("actual").isNotNull(), "ready").otherwise("needs_extraction").alias("status"), keep(F.col("text"), "text"), keep(F.col("raw_sha256"), "raw_sha256"),
-        keep(F.col("sha"), "normalized_sha256"), keep(F.lit(NORMALIZER_VERSION), "normalizer_version"),
+        keep(F.col("sha"), "normalized_sha256"), keep(F.lit(NORMALIZER_VERSION), "normalizer_version"), (stays & F.col("actual").isNotNull()).alias("__stays"),
     )
-    return as_is.unionByName(done)
+    # rows whose stored text stays meet it here, once; the others carry a new one or none
+    texts = stored.select("source_id", F.coalesce("normalized_sha256", F.lit("")).alias("__sha"), F.col("text").alias("__text")).dropDuplicates(["source_id", "__sha"])
+    rows = as_is.unionByName(done).withColumn("__kept", F.coalesce("normalized_sha256", F.lit("")))
+    same_text = F.col("__stays") & (F.col("source_id") == F.col("__source")) & (F.col("__kept") == F.col("__sha"))
+    joined = rows.join(texts.withColumnRenamed("source_id", "__source"), same_text, "left")
+    return joined.withColumn("text", F.when(F.col("__stays"), F.col("__text")).otherwise(F.col("text"))).select(*COLUMNS)
 
 
 def findings(extracted: DataFrame) -> DataFrame:
