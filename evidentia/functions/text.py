@@ -23,9 +23,15 @@ STOPWORDS = (
 # What marks a statement as negated.
 NEGATION = r"(?iU)\b(not|no|never|cannot|can't|without|fails to|does not|do not|is not|are not|lacks|absent|excludes|unavailable|non-)\b"
 
+#: The same with words of ASCII characters alone, as SQL engines see them, in lower-case texts: ``noñ`` holds the word ``no``.
+_WORD = "0-9A-Za-z_"
+NEGATION_ASCII = rf"(?<![{_WORD}])(?:(?:not|no|never|cannot|can't|without|fails to|does not|do not|is not|are not|lacks|absent|excludes|unavailable)(?![{_WORD}])|non-(?=[{_WORD}]))"
+
 # Multipliers after a number.
 MULTIPLIERS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "bn": 1e9, "b": 1e9, "billion": 1e9}
 _NUMBER = r"(?iU)(-?\d[\d,]*(?:\.\d+)?)\s*(%|k\b|m\b|bn\b|b\b|million|billion|thousand)?"
+_NUMBER_ASCII = rf"(?i)(-?[0-9][0-9,]*(?:\.[0-9]+)?)[\t\n\f\r ]*(%|(?:k|m|bn|b)(?![{_WORD}])|million|billion|thousand)?"
+_DATE, _DATE_ASCII = r"(?U)\b(\d{4}-\d{2}-\d{2})\b", rf"(?<![{_WORD}])([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?![{_WORD}])"
 
 
 @pandas_udf(T.StringType())
@@ -60,23 +66,25 @@ def tokenize(x: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
-def leading_number(x: Column) -> Column:
+def leading_number(x: Column, ascii: bool = False) -> Column:
     """The first number of a text times its multiplier; a percent sign does not scale."""
-    value = F.regexp_replace(F.regexp_extract(x, _NUMBER, 1), ",", "").try_cast("double")
-    suffix = F.lower(F.regexp_extract(x, _NUMBER, 2))
+    pattern = _NUMBER_ASCII if ascii else _NUMBER
+    value = F.regexp_replace(F.regexp_extract(x, pattern, 1), ",", "").try_cast("double")
+    suffix = F.lower(F.regexp_extract(x, pattern, 2))
     scale = F.lit(1.0)
     for word, times in MULTIPLIERS.items():
         scale = F.when(suffix == word, F.lit(times)).otherwise(scale)
     return value * scale
 
 
-def iso_dates(x: Column) -> Column:
+def iso_dates(x: Column, ascii: bool = False) -> Column:
     """The distinct dates written YYYY-MM-DD, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\b(\d{4}-\d{2}-\d{2})\b"), 1)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(_DATE_ASCII if ascii else _DATE), 1)))
 
 
-def negated(x: Column) -> Column:
-    return x.rlike(NEGATION)
+def negated(x: Column, ascii: bool = False) -> Column:
+    """Whether a text denies something; words end where a letter of any script does not follow, with ``ascii`` where none of A-Z does."""
+    return F.lower(F.translate(x, "İ", "i")).rlike(NEGATION_ASCII) if ascii else x.rlike(NEGATION)
 
 
 def span(text: Column, start: Column, end: Column) -> Column:
@@ -116,7 +124,9 @@ def find_tolerant(text: Column, needle: Column) -> Column:
     return F.when((F.length(norm_ws(needle)) > 0) & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(hit)).alias("end")))
 
 
-def word_count(x: Column) -> Column:
+def word_count(x: Column, ascii: bool = False) -> Column:
+    if ascii:
+        return F.size(F.filter(F.split(x, r"[\t\n\x0b\f\r ]+"), lambda w: w != ""))
     return F.size(F.filter(F.split(norm_ws(x), " "), lambda w: w != ""))
 
 
