@@ -62,11 +62,11 @@ def _linked(claims: DataFrame) -> DataFrame:
 
 
 def flags(claims: DataFrame) -> DataFrame:
-    """Active claims of topics with two and more, with a column for each detector."""
+    """Active claims of topics with two and more, with a column for each detector. A ``number`` or ``negated`` of the claims' own goes before what their text says."""
     active = claims.filter(F.coalesce("status", F.lit("active")) == "active")
     read = active.withColumns({
         "number": F.col("number") if "number" in claims.columns else leading_number(F.col("text")), "dates": iso_dates(F.col("text")),
-        "negated": F.coalesce(negated(F.col("text")), F.lit(False)), "volatile": F.coalesce("volatile", F.lit(False)),
+        "negated": F.coalesce(F.col("negated") if "negated" in claims.columns else negated(F.col("text")), F.lit(False)), "volatile": F.coalesce("volatile", F.lit(False)),
     })
     detectors = {n: d() for n, d in DETECTORS.items()}
     known = {k: v for aggregates, _ in detectors.values() for k, v in aggregates.items()}
