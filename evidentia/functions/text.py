@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,10 +41,14 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def _folded(x: str) -> str:
+    return x.lower() if x.isascii() else unicodedata.normalize("NFKD", x).casefold()
+
+
 @pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition and case folding."""
-    return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKD", x).casefold())
+    return s.map(lambda x: None if x is None else _folded(x))
 
 
 def strip(x: Column) -> Column:
@@ -66,6 +72,16 @@ def tokenize(x: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
+_STOPPED, _TERM = frozenset(STOPWORDS), re.compile("[a-z0-9]{2,}")
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))
+def term_counts(s: pd.Series) -> pd.Series:
+    """The terms that ``tokenize`` gives, each once, with how often."""
+    counted = lambda x: [{"term": w, "tf": n} for w, n in Counter(_TERM.findall(_folded(x))).items() if w not in _STOPPED]
+    return pd.Series([None if x is None else counted(x) for x in s], dtype=object)
+
+
 def leading_number(x: Column, ascii: bool = False) -> Column:
     """The first number of a text times its multiplier; a percent sign does not scale."""
     pattern = _NUMBER_ASCII if ascii else _NUMBER
