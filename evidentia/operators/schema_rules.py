@@ -27,14 +27,19 @@ def _problem(bad: Column, pointer: Column, message: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), one).otherwise(_none())
 
 
-def _key(name: str) -> str:
-    return "$['" + name.replace("'", "\\'") + "']"
+def _member(value: Column, members: Column, name: str) -> Column:
+    """A member of an object, null where it is missing (a JSON null is there); names that a path can't spell are looked up."""
+    return F.try_element_at(members, F.lit(name)) if set(name) & set("'?\\") or not name else F.try_variant_get(value, f"$['{name}']", "variant")
 
 
 def problems(value: Column, schema: dict, pointer: Column | None = None) -> Column:
-    """What is wrong with a VARIANT value by ``schema``."""
+    """What is wrong with a VARIANT value by ``schema``. The value and its kind are found once and given a name, however many checks read them; of a missing one nothing is wrong."""
     pointer = F.lit("") if pointer is None else pointer
-    kind = F.schema_of_variant(value)
+    named = F.array(F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind")))
+    return F.get(F.transform(named, lambda x: F.when(x["value"].isNull(), _none()).otherwise(_problems(x["value"], x["kind"], schema, pointer))), F.lit(0))
+
+
+def _problems(value: Column, kind: Column, schema: dict, pointer: Column) -> Column:
     text = lambda: F.try_variant_get(value, "$", "string")
     number = lambda: F.try_variant_get(value, "$", "double")
     is_string, is_number, is_array, is_object = (kind.rlike(TYPES[t]) for t in ("string", "number", "array", "object"))
@@ -59,13 +64,14 @@ def problems(value: Column, schema: dict, pointer: Column | None = None) -> Colu
     if "items" in schema:
         each = F.flatten(F.transform(items, lambda x, i: problems(x, schema["items"], F.concat(pointer, F.lit("/"), i.cast("string")))))
         found.append(F.coalesce(F.when(is_array, each), _none()))
-    fields = F.map_keys(F.when(is_object, F.try_variant_get(value, "$", "map<string,variant>")))
+    members = F.when(is_object, F.try_variant_get(value, "$", "map<string,variant>"))
+    fields = F.map_keys(members)
+    member = lambda name: _member(value, members, name)
     for name in schema.get("required", []):
-        found.append(_problem(is_object & ~F.array_contains(fields, name), pointer, f"missing '{name}'"))
+        found.append(_problem(is_object & member(name).isNull(), pointer, f"missing '{name}'"))
     props = schema.get("properties", {})
     for name, inner in props.items():
-        inside = problems(F.try_variant_get(value, _key(name), "variant"), inner, F.concat(pointer, F.lit(f"/{name}")))
-        found.append(F.when(is_object & F.array_contains(fields, name), inside).otherwise(_none()))
+        found.append(problems(member(name), inner, F.concat(pointer, F.lit(f"/{name}"))))  # only objects have members
     extra = schema.get("additionalProperties", True)
     others = F.array_except(fields, F.array(*map(F.lit, props)) if props else F.array().cast("array<string>"))
     if extra is False:
@@ -86,5 +92,5 @@ def problems(value: Column, schema: dict, pointer: Column | None = None) -> Colu
 def validate(records: DataFrame, schema: dict, json_col: str = "json", subject_col: str = "subject") -> DataFrame:
     """(subject, pointer, message) of JSON records; what can't be parsed is a problem at the root."""
     parsed = records.select(F.col(subject_col).alias("subject"), F.try_parse_json(json_col).alias("v"))
-    broken = parsed.filter("v is null").select("subject", F.lit("").alias("pointer"), F.lit("not JSON").alias("message"))
-    return parsed.filter("v is not null").select("subject", F.explode(problems(F.col("v"), schema)).alias("p")).select("subject", "p.pointer", "p.message").unionByName(broken)
+    found = F.when(F.col("v").isNull(), F.array(F.struct(F.lit("").alias("pointer"), F.lit("not JSON").alias("message"))).cast(PROBLEMS)).otherwise(problems(F.col("v"), schema))
+    return parsed.select("subject", F.explode(found).alias("p")).select("subject", "p.pointer", "p.message")
